@@ -346,7 +346,8 @@ def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den:
         return staged(texts.select("set1", "text").mapInPandas(run, "set1 long, shingles array<long>").dropDuplicates(["set1"]), "shingles")
 
     rows = some.where("sigs IS NOT NULL").select(F.explode("sigs").alias("sig"), "set1")
-    shared = rows.groupBy("sig").agg(F.min("set1").alias("p"), F.max("set1").alias("q")).where("p < q").select("sig", "p")
+    # Written out, so that both sides of the join are exchanged for it and a hot signature's side can be split.
+    shared = staged(rows.groupBy("sig").agg(F.min("set1").alias("p"), F.max("set1").alias("q")).where("p < q").select("sig", "p"), "shared")
     members_of = staged(rows.join(shared, "sig").distinct(), "members")
     stars = members_of.where("set1 <> p").select(F.col("p").alias("a"), F.col("set1").alias("b")).distinct()
     links = staged(_verified(stars, classes, sets, num, den), "links")
