@@ -35,7 +35,7 @@ BROADCAST_IDS = 1_000_000
 CELLS = 128
 #: Chance that a shingle of one set is also in an unrelated set of its band, and cost of a candidate in signatures.
 CHANCE, CANDIDATE_COST = 0.3, 3.0
-PIECE = 2_000_000
+PIECE = 500_000
 
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -202,7 +202,7 @@ def _prepared(docs: DataFrame, k: int, bands: Bands, seed: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for f in slices(frames, "text"):
+        for f in slices(frames, "text", PIECE):
             texts = f["text"].map(text_or_empty).tolist()
             doc, h = shingle_sets(texts, k, seed)
             n = np.bincount(doc, minlength=len(texts))
@@ -334,7 +334,7 @@ def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den:
         texts = docs.select("doc_id", "text").join(near.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in slices(frames, "text"):
+            for f in slices(frames, "text", PIECE):
                 doc, h = shingle_sets(f["text"].map(text_or_empty).tolist(), k, seed)
                 ends = np.searchsorted(doc, np.arange(len(f) + 1))
                 one = np.zeros(len(f), dtype=np.uint64)
