@@ -27,6 +27,8 @@ from .common import slices, staged, text_or_empty
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Members up to which a signature is looked at pair by pair.
 SMALL = 32
+#: Largest over least size of a band.
+BAND_RATIO = 1.23
 #: Shingles of one block of a large signature.
 BLOCK_SHINGLES = 2_000_000
 #: Candidate documents up to which their ids are broadcast (8 bytes each).
@@ -34,7 +36,7 @@ BROADCAST_IDS = 1_000_000
 #: Cells of the sketch that rules most candidates out before sets are fetched.
 CELLS = 128
 #: Chance that a shingle of one set is also in an unrelated set of its band, and cost of a candidate in signatures.
-CHANCE, CANDIDATE_COST = 0.3, 3.0
+CHANCE, CANDIDATE_COST = 0.03, 3.0
 PIECE = 500_000
 
 _U = np.uint64
@@ -121,11 +123,16 @@ def shingle_sets(texts: list[str], k: int, seed: int = 0) -> tuple[np.ndarray, n
 
 @dataclass(frozen=True)
 class Bands:
-    """Size bands, and for each: the number of segments, and how many of them count double."""
+    """Size bands, and for each: the number of segments, how many of them count double, and how many to spare.
+
+    A set with no more empty segments than there are to spare sends no signature for them: the others still leave one in
+    which a similar pair agrees. Without that, all sets with one segment empty would meet.
+    """
 
     low: np.ndarray
     segments: np.ndarray
     double: np.ndarray
+    spare: np.ndarray
     numerator: int
     denominator: int
 
@@ -133,19 +140,19 @@ class Bands:
         return np.searchsorted(self.low, size, side="right") - 1
 
 
-def band_edges(num: int, den: int, most: int) -> np.ndarray:
+def band_edges(most: int) -> np.ndarray:
     low, at = [], 1
     while at <= most:
         low.append(at)
-        at = max(at + 1, at * den * den // (num * num))
+        at = max(at + 1, int(at * BAND_RATIO))
     return np.array([*low, at], dtype=np.int64)
 
 
 def allocate(num: int, den: int, most: int, members: dict[int, int]) -> Bands:
     """Segments by band. A pair whose smaller set is in a band differs in at most ``differ`` shingles, so segments that
     count one or two, ``differ + 1`` in all, leave one in which the pair differs by less than it counts."""
-    low = band_edges(num, den, most)
-    segments, double = [], []
+    low = band_edges(most)
+    segments, double, spares = [], [], []
     for b in range(len(low)):
         high = int(low[b + 1]) - 1 if b + 1 < len(low) else int(low[b])
         differ = (high + high * den // num) * (den - num) // (den + num)
@@ -156,9 +163,18 @@ def allocate(num: int, den: int, most: int, members: dict[int, int]) -> Bands:
         sent = ones + twos * (1 + per)
         cost = sent + CANDIDATE_COST * members.get(b, 0) * (ones * meet + twos * (1 + per) * np.minimum(1, meet / CHANCE))
         best = int(cost.argmin())
-        segments.append(int(ones[best] + twos[best]))
-        double.append(int(twos[best]))
-    return Bands(low, np.array(segments), np.array(double), num, den)
+        # Or single segments only, with some to spare for empty ones: their usual number and four deviations.
+        spare = 0
+        for _ in range(20):
+            empty = (differ + 1 + spare) * np.exp(-int(low[b]) / (differ + 1 + spare))
+            spare = int(np.ceil(empty + 4 * np.sqrt(empty)))
+        m = differ + 1 + spare
+        plain = m + CANDIDATE_COST * members.get(b, 0) * m * CHANCE ** (high / m)
+        if spare <= differ + 1 and plain <= cost[best]:
+            segments.append(m), double.append(0), spares.append(spare)
+        else:
+            segments.append(int(ones[best] + twos[best])), double.append(int(twos[best])), spares.append(0)
+    return Bands(low, np.array(segments), np.array(double), np.array(spares), num, den)
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +198,10 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, bands: Bands) -> tup
         owner = np.repeat(np.arange(n_docs), m)
         number = np.arange(len(total)) - base[owner]
         salt = (band[owner] + 1).astype(np.uint64) * _C1 + (number + 1).astype(np.uint64) * _C2
-        docs.append(owner)
-        sigs.append(mix(mix(total) + salt))
+        empty = np.bincount(key, minlength=len(total)) == 0
+        skip = empty & (np.bincount(owner[empty], minlength=n_docs) <= bands.spare[np.maximum(band, 0)])[owner]
+        docs.append(owner[~skip])
+        sigs.append(mix(mix(total) + salt)[~skip])
         two = seg < bands.double[np.maximum(band, 0)][d]
         if two.any():
             docs.append(d[two])
@@ -311,10 +329,10 @@ def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den:
     spark = docs.sparkSession
     # Band sizes from text lengths, over all rows: an estimate that costs depend on, and no result.
     guess = F.greatest(F.lit(1), F.floor(F.octet_length("text") / 6)).cast("long")
-    step = 2 * np.log(den / num)
+    step = np.log(BAND_RATIO)
     rough = {r[0]: r[1] for r in docs.where("text IS NOT NULL").groupBy(F.floor(F.log(guess) / F.lit(float(step))).alias("b")).count().collect()}  # one row per power of the band ratio
     most = 1 + max([int(np.exp((b + 1) * step)) * 6 for b in rough], default=1)
-    edges = band_edges(num, den, most)
+    edges = band_edges(most)
     members = {b: rough.get(int(np.log(max(1, low)) / step), 0) for b, low in enumerate(edges)}
     bands = allocate(num, den, most, members)
     for seed in range(4):

@@ -31,7 +31,8 @@ INSULTS = frozenset("bastard bitch bullshit clown creep cretin damn degenerate d
 PREFIXES = (3, 4, 5, 6)
 GROUPS = 4  # mined lexicons of each length, so that voters differ
 LEAST_DOCS = 5
-LEAST_SHARE = 0.8
+#: Toxic documents with a key for each clean one, at least.
+MOST_CLEAN = 50
 MAX_LEXICON = 4000
 _WORD = re.compile(r"[^\W\d_]+")
 TOXIC, CLEAN, SILENT = 1, 0, -1
@@ -64,11 +65,9 @@ def mine(rows: DataFrame, least_docs: int = LEAST_DOCS, most: int = MAX_LEXICON)
             yield pd.DataFrame({"kind": [k for k, _ in keys], "key": [w for _, w in keys], "toxic": [tox[k] for k in keys], "clean": [clean[k] for k in keys]})
 
     counts = rows.mapInPandas(run, "kind int, key string, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
-    n_toxic, n_clean = max(1, n[0]), max(1, n[1] - n[0])
-    # the share of toxic among a balanced number of either class, with half a document more on either side
-    a, b = (F.col("toxic") + 0.5) / n_toxic, (F.col("clean") + 0.5) / n_clean
-    strong = counts.where((F.col("toxic") >= least_docs) & (a / (a + b) >= LEAST_SHARE) & (F.col("toxic") >= F.col("clean")))
+    # Precise keys only: near copies of one toxic document carry its other words along, which clean documents hold too.
+    precise = F.col("clean") * MOST_CLEAN <= F.col("toxic")
+    strong = counts.where((F.col("toxic") >= least_docs) & precise)
     return strong.orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "kind", "key").limit(most).toPandas()
 
 
