@@ -29,6 +29,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 SMALL = 32
 #: Largest over least size of a band.
 BAND_RATIO = 1.23
+#: Bits of the sieve of shared signatures (16 MB), and signatures up to which it is of use.
+SIEVE_BITS, SIEVE_SIGNATURES = 1 << 27, 8_000_000
 #: Shingles of one block of a large signature.
 BLOCK_SHINGLES = 2_000_000
 #: Candidate documents up to which their ids are broadcast (8 bytes each).
@@ -268,6 +270,29 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _met(sets: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` (sig, set1) without most of those whose signature isn't shared, so that they aren't sent again.
+
+    The sieve has SIEVE_BITS bits at any size of input. Above SIEVE_SIGNATURES shared signatures it would let most
+    rows through and is left out; the join that follows gives the same result either way.
+    """
+    if shared.count() > SIEVE_SIGNATURES:
+        return rows
+    bits = np.zeros(SIEVE_BITS, dtype=bool)
+    bits[shared.select(F.pmod("sig", F.lit(SIEVE_BITS)).cast("int").alias("b")).toPandas()["b"].to_numpy()] = True
+    packed = sets.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own = np.repeat(f["set1"].to_numpy(), f["sigs"].map(len))
+            sig = np.concatenate([np.empty(0, dtype=np.int64), *f["sigs"]])
+            at = sig % SIEVE_BITS
+            hit = (packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            yield pd.DataFrame({"sig": sig[hit], "set1": own[hit]})
+
+    return sets.where("sigs IS NOT NULL").select("sigs", "set1").mapInPandas(run, "sig long, set1 long")
+
+
 def _similar(inter: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return inter * den >= (a + b - inter) * num
 
@@ -366,7 +391,7 @@ def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den:
     rows = some.where("sigs IS NOT NULL").select(F.explode("sigs").alias("sig"), "set1")
     # Written out, so that both sides of the join are exchanged for it and a hot signature's side can be split.
     shared = staged(rows.groupBy("sig").agg(F.min("set1").alias("p"), F.max("set1").alias("q")).where("p < q").select("sig", "p"), "shared")
-    members_of = staged(rows.join(shared, "sig").distinct(), "members")
+    members_of = staged(_met(some, rows, shared).join(shared, "sig").distinct(), "members")
     stars = members_of.where("set1 <> p").select(F.col("p").alias("a"), F.col("set1").alias("b")).distinct()
     links = staged(_verified(stars, classes, sets, num, den), "links")
     label = components(links)
