@@ -29,8 +29,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 SMALL = 32
 #: Largest over least size of a band.
 BAND_RATIO = 1.23
-#: Bits of the sieve of shared signatures (16 MB), and signatures up to which it is of use.
-SIEVE_BITS, SIEVE_SIGNATURES = 1 << 27, 8_000_000
+#: Bits of the sieve of shared signatures (8 MB), and signatures up to which it is of use.
+SIEVE_BITS, SIEVE_SIGNATURES = 1 << 26, 8_000_000
 #: Shingles of one block of a large signature.
 BLOCK_SHINGLES = 2_000_000
 #: Candidate documents up to which their ids are broadcast (8 bytes each).
@@ -273,21 +273,25 @@ def components(edges: DataFrame) -> DataFrame:
 def _met(sets: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     """``rows`` (sig, set1) without most of those whose signature isn't shared, so that they aren't sent again.
 
-    The sieve has SIEVE_BITS bits at any size of input. Above SIEVE_SIGNATURES shared signatures it would let most
-    rows through and is left out; the join that follows gives the same result either way.
+    The sieve has SIEVE_BITS bits at any size of input; executors build it, in pieces of 32,768 bits. Above
+    SIEVE_SIGNATURES shared signatures it would let most rows through and is left out; the join that follows gives the
+    same result either way.
     """
     if shared.count() > SIEVE_SIGNATURES:
         return rows
-    bits = np.zeros(SIEVE_BITS, dtype=bool)
-    bits[shared.select(F.pmod("sig", F.lit(SIEVE_BITS)).cast("int").alias("b")).toPandas()["b"].to_numpy()] = True
-    packed = sets.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    at = F.pmod("sig", F.lit(SIEVE_BITS)) + 1
+    pieces = shared.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    sieve = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
+    for piece, bits in pieces.collect():  # SIEVE_BITS / 8 bytes in all
+        sieve[(piece - 1) * len(bits) : piece * len(bits)] = np.frombuffer(bits, dtype=np.uint8)
+    packed = sets.sparkSession.sparkContext.broadcast(sieve)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             own = np.repeat(f["set1"].to_numpy(), f["sigs"].map(len))
             sig = np.concatenate([np.empty(0, dtype=np.int64), *f["sigs"]])
             at = sig % SIEVE_BITS
-            hit = (packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            hit = (packed.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             yield pd.DataFrame({"sig": sig[hit], "set1": own[hit]})
 
     return sets.where("sigs IS NOT NULL").select("sigs", "set1").mapInPandas(run, "sig long, set1 long")
