@@ -62,7 +62,8 @@ def mine(rows: DataFrame, least_docs: int = LEAST_DOCS, most: int = MAX_LEXICON)
             for text, y in zip(f["text"].map(text_or_empty), f["y"], strict=True):
                 (tox if y else clean).update(keys_of(text).keys())
             keys = list(tox | clean)
-            yield pd.DataFrame({"kind": [k for k, _ in keys], "key": [w for _, w in keys], "toxic": [tox[k] for k in keys], "clean": [clean[k] for k in keys]})
+            if keys:
+                yield pd.DataFrame({"kind": [k for k, _ in keys], "key": [w for _, w in keys], "toxic": [tox[k] for k in keys], "clean": [clean[k] for k in keys]})
 
     counts = rows.mapInPandas(run, "kind int, key string, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # Precise keys only: near copies of one toxic document carry its other words along, which clean documents hold too.
