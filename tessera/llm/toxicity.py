@@ -15,7 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -34,19 +34,18 @@ LEAST_DOCS = 5
 #: Toxic documents with a key for each clean one, at least.
 MOST_CLEAN = 50
 MAX_LEXICON = 4000
+#: Words, and characters of a word, whose lookups a task keeps; beyond them it looks up again.
+MET_WORDS, MET_CHARS = 200_000, 40
 _WORD = re.compile(r"[^\W\d_]+")
 TOXIC, CLEAN, SILENT = 1, 0, -1
 
 
-def keys_of(text: str) -> Counter:
-    """How often each word (kind 0) and word beginning (kind: its length) occurs in the whole text, lower-cased."""
-    words = Counter(_WORD.findall(text.lower()))
-    out: Counter = Counter()
-    for w, n in words.items():
-        out[(0, w)] += n
-        for k in PREFIXES:
-            if len(w) > k:
-                out[(k, w[:k])] += n
+def keys_of(text: str) -> set[tuple[int, str]]:
+    """The words (kind 0) and word beginnings (kind: their length) of the whole text, lower-cased."""
+    words = set(_WORD.findall(text.lower()))
+    out = {(0, w) for w in words}
+    for k in PREFIXES:
+        out.update((k, p) for p in {w[:k] for w in words if len(w) > k})
     return out
 
 
@@ -60,7 +59,7 @@ def mine(rows: DataFrame, least_docs: int = LEAST_DOCS, most: int = MAX_LEXICON)
         for f in slices(frames, "text"):
             tox, clean = Counter(), Counter()
             for text, y in zip(f["text"].map(text_or_empty), f["y"], strict=True):
-                (tox if y else clean).update(keys_of(text).keys())
+                (tox if y else clean).update(keys_of(text))
             keys = list(tox | clean)
             if keys:
                 yield pd.DataFrame({"kind": [k for k, _ in keys], "key": [w for _, w in keys], "toxic": [tox[k] for k in keys], "clean": [clean[k] for k in keys]})
@@ -79,22 +78,35 @@ class Voters:
     names: list[str]
     of_key: dict[tuple[int, str], int]  # the voter of a key
     index: dict[tuple[int, str], int]  # its column in the classifier
+    met: dict[str, tuple[tuple[int, int], ...]] = field(default_factory=dict)  # words looked up before, by task
+
+    def word_hits(self, word: str) -> tuple[tuple[int, int], ...]:
+        """(voter, column) of each lexicon that holds the word or its beginning; the fixed list has no column (-1)."""
+        found = [(0, -1)] if word in INSULTS else []
+        for key in [(0, word), *[(k, word[:k]) for k in PREFIXES if len(word) > k]]:
+            if key in self.of_key:
+                found.append((self.of_key[key], self.index[key]))
+        return tuple(found)
 
     def hits(self, text: str) -> tuple[Counter, dict[int, float], int]:
-        """Hits by voter, key occurrences by column, number of words."""
-        keys = keys_of(text)
+        """Hits by voter, key occurrences by column, number of words. A task looks a word up in the lexicons once."""
+        counts = Counter(_WORD.findall(text.lower()))
         by_voter: Counter = Counter()
         columns: dict[int, float] = {}
-        words = 0
-        for key, n in keys.items():
-            if key[0] == 0:
-                words += n
-                if key[1] in INSULTS:
-                    by_voter[0] += n
-            if key in self.of_key:
-                by_voter[self.of_key[key]] += n
-                columns[self.index[key]] = columns.get(self.index[key], 0) + n
-        return by_voter, columns, words
+        met = self.met
+        for word, n in counts.items():
+            found = met.get(word)
+            if found is None:
+                found = self.word_hits(word)
+                if len(word) <= MET_CHARS:
+                    if len(met) >= MET_WORDS:
+                        met.clear()
+                    met[word] = found
+            for voter, column in found:
+                by_voter[voter] += n
+                if column >= 0:
+                    columns[column] = columns.get(column, 0) + n
+        return by_voter, columns, counts.total()
 
     def votes(self, by_voter: Counter, words: int) -> np.ndarray:
         """One vote of each lexicon, then of the patterns: several hits, dense hits, no hit, no hit in a long text."""

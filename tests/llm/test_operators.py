@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -220,3 +221,17 @@ def test_pipeline_stages(spark, docs):
 
 def test_registry():
     assert len([q for q in queries.queries() if re.match(r"op\d+_", q)]) == 10
+
+
+def test_word_lookups_equal_plain_counting():
+    rng = random.Random(9)
+    keys = [(0, "abcd"), (3, "abc"), (4, "jihg"), (0, "idiot"), (6, "abcdef")]
+    voters = toxicity.make_voters(pd.DataFrame(keys, columns=["kind", "key"]))
+    texts = [words(rng, 400) + " ABCD idiot! abcdefgh abc jihgf x1abcd " + "abcdef" * 20 for _ in range(20)] + ["", " 12 "]
+    for text in [*texts, *texts]:
+        by_voter, columns, n = voters.hits(text)
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        held = [key for w in found for key in keys if (w == key[1] if key[0] == 0 else len(w) > key[0] and w.startswith(key[1]))]
+        assert n == len(found)
+        assert columns == Counter(voters.index[k] for k in held)
+        assert by_voter == Counter(voters.of_key[k] for k in held) + Counter({0: sum(w in toxicity.INSULTS for w in found)})
