@@ -35,6 +35,14 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def evidence(url: Column) -> Column:
+    """What the models read: host, path and query, lower-cased where the host is; empty without a host."""
+    rest = F.regexp_extract(url, r"(?s)://([^/?#]*[^#]*)", 1)
+    host, path = parts(url)
+    query = F.regexp_extract(rest, r"(?s)^[^?]*(\?.*)$", 1)
+    return F.when(host == "", "").otherwise(F.concat(host, path, query))
+
+
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; null where none does."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -106,26 +114,26 @@ def score(urls: DataFrame, table: np.ndarray, column: str = "text") -> DataFrame
     return urls.withColumn("ratio", ratio(F.coalesce(F.col(column), F.lit(""))))
 
 
-def is_seed(host: Column, seeds: tuple[str, ...] = SEEDS) -> Column:
-    """Does a part of the host, between dots and hyphens, equal a seed word?"""
-    return F.coalesce(host.rlike(rf"(^|[.-])({'|'.join(seeds)})([.-]|$)"), F.lit(False))
+def is_seed(text: Column, seeds: tuple[str, ...] = SEEDS) -> Column:
+    """Does a part of the URL, between other characters than letters and digits, equal a seed word?"""
+    return F.coalesce(text.rlike(rf"(?i)(^|[^a-z0-9])({'|'.join(seeds)})([^a-z0-9]|$)"), F.lit(False))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS, most_rejected: float = MOST_REJECTED) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio for every row of ``pages``.
 
-    The host carries the evidence: the models are trained on hosts, rejected ones being those with a seed word as a
-    part, and generalise to hosts like them. The threshold is the ``most_rejected`` quantile of accepted hosts' ratio,
-    zero at most. Null and malformed URLs have ratio 0 and are allowed.
+    The models are trained on and score host, path and query; rejected URLs are those with a seed word as a part of
+    any of these, and the models generalise to URLs like them. The threshold is the ``most_rejected`` quantile of
+    accepted URLs' ratio, zero at most. Null and malformed URLs have ratio 0 and are allowed.
     """
     host, path = parts(F.col("url"))
-    seen = pages.select("page_id", host.alias("host"), path.alias("path"))
-    hosts = seen.where("host <> ''").select(F.col("host").alias("text"), is_seed(F.col("host"), seeds).alias("rejected"))
-    table = fit(hosts)
-    both = score(hosts, table).groupBy().agg(F.percentile_approx(F.when(~F.col("rejected"), F.col("ratio")), most_rejected, 10_000).alias("low"), F.count_if("rejected").alias("bad"), F.count_if(~F.col("rejected")).alias("good")).first()
+    seen = pages.select("page_id", host.alias("host"), path.alias("path"), evidence(F.col("url")).alias("text"))
+    known = seen.where("host <> ''").select("text", is_seed(F.col("text"), seeds).alias("rejected"))
+    table = fit(known)
+    both = score(known, table).groupBy().agg(F.percentile_approx(F.when(~F.col("rejected"), F.col("ratio")), most_rejected, 10_000).alias("low"), F.count_if("rejected").alias("bad"), F.count_if(~F.col("rejected")).alias("good")).first()
     limit = min(0.0, both["low"]) if both["bad"] and both["good"] else float("-inf")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = score(seen, table, "host").withColumns({"rule": name, "ruled": verdict})
+    judged = score(seen, table).withColumns({"rule": name, "ruled": verdict})
     own = F.when(F.col("ratio") < F.lit(limit), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "ratio")
 

@@ -183,6 +183,23 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in got.values()} <= {"allow", "block"}
 
 
+def plain_hosts(n):
+    rng = random.Random(11)
+    return ["".join(rng.choices(["the", "nd", "er", "ing", "on", "tha"], k=4)) + f"{i}.example.{rng.choice(['com', 'net', 'org'])}" for i in range(n)]
+
+
+def test_url_path_and_query_are_evidence(spark):
+    rng, rows = random.Random(12), []
+    for host in plain_hosts(60):
+        rows += [f"https://{host}/fr/{rng.randrange(9999)}{rng.choice(['', '?page=2&ref=x'])}" for _ in range(10)]
+        word = lambda: rng.choice(["casino", "poker", "slots", "bonus", "jackpot", "betting"])
+        rows.append(f"https://{host}/fr/{rng.choice(['', '?go='])}{word()}-{word()}-{word()}")
+    spam = ["https://thering.example.org/casinos-bonusses/pokerslots", "https://thering.example.org/fr/?go=casinos-bonusses-pokerslots"]
+    rows += [*spam, "https://thering.example.org/fr/77?page=2&ref=x#casinos-bonusses"]
+    got = [r["ratio"] for r in urls.op7_url_filter(spark.createDataFrame(list(enumerate(rows)), "page_id BIGINT, url STRING")).orderBy("page_id").collect()]
+    assert max(got[-3:-1]) < got[-1] - 0.3
+
+
 def test_main_text(spark):
     p = "The quick brown fox that lives in the wood is not as lazy as the dog that sleeps by the door of the house."
     page = f"<html><head><style>x</style></head><body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><article><h1>A title of the text</h1><p>{p}</p><p>Fish &amp;\n chips &#233;. {p}</p></article><footer>Copyright and imprint</footer><script>var a = 1;</script></body></html>"
