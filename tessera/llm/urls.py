@@ -2,8 +2,10 @@
 
 Two smoothed variable-order Markov models (contexts of 0 to 3 characters, Witten-Bell interpolation) give the
 likelihood of a URL among accepted and among rejected ones. Their difference, divided by the length, is held
-against a threshold calibrated on the accepted URLs. The counts come from every URL, through Spark; the model is
-a dense table over a fixed alphabet, so what is broadcast has a fixed size (ALPHABET ** 4 numbers).
+against a threshold calibrated between seeded hosts and hosts under allow rules. A host's URLs are scored by models
+that have not seen the host, and a host counts once, however many URLs it has. The counts come from every URL,
+through Spark; the models are dense tables over a fixed alphabet, so what is broadcast has a fixed size
+(FOLDS x ALPHABET ** 4 numbers).
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Rules (host, path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Words that commonly mark spam, gambling, adult, pharmacy and tracking hosts, as seeds of the rejected class.
@@ -22,8 +26,8 @@ SEEDS = ("ads", "adserver", "adult", "bets", "betting", "bonus", "casino", "chea
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789.-/"
 ORDER = 3
 SIZE = len(SYMBOLS) + 1  # one more for any other character; 40
-#: Share of accepted URLs that the calibrated threshold may reject.
-MOST_REJECTED = 0.005
+#: Hosts are dealt into so many folds; each is scored by models of the others.
+FOLDS = 4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -71,16 +75,19 @@ def grams(text: str) -> np.ndarray:
 
 
 def gram_counts(urls: DataFrame) -> DataFrame:
-    """(rejected, gram, n) over all rows of ``urls`` (text, rejected). Each task adds up its batches before it sends."""
+    """(fold, rejected, gram, n) over all rows of ``urls`` (text, site, rejected); n: sites with the gram. Each task sends a site's gram once a batch."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for flag, own in f.groupby("rejected"):
-                if len(own):
-                    found, n = np.unique(np.concatenate([grams(t) for t in own["text"]]), return_counts=True)
-                    yield pd.DataFrame({"rejected": bool(flag), "gram": found, "n": n})
+            for (site, flag), own in f.groupby(["site", "rejected"]):
+                yield pd.DataFrame({"site": site, "rejected": bool(flag), "gram": np.unique(np.concatenate([grams(t) for t in own["text"]]))})
+
+    found = urls.where("text IS NOT NULL").mapInPandas(count, "site long, rejected boolean, gram long").distinct()
+    return found.groupBy(fold_of(F.col("site")).alias("fold"), "rejected", "gram").agg(F.count("*").alias("n"))
+
 
-    return urls.where("text IS NOT NULL").mapInPandas(count, "rejected boolean, gram long, n long").groupBy("rejected", "gram").agg(F.sum("n").alias("n"))
+def fold_of(site: Column) -> Column:
+    return F.pmod(site, F.lit(FOLDS)).cast("int")
 
 
 def log_model(n: np.ndarray) -> np.ndarray:
@@ -94,24 +101,47 @@ def log_model(n: np.ndarray) -> np.ndarray:
     return np.log(p).astype(np.float32).ravel()
 
 
-def fit(urls: DataFrame) -> np.ndarray:
-    """The table log P(accepted) - log P(rejected) by gram. ``urls``: text, rejected. A class without rows is uniform."""
-    tables = np.zeros((2, SIZE ** (ORDER + 1)))
-    found = gram_counts(urls).toPandas()  # at most 2 x SIZE ** 4 rows, whatever the input
-    tables[found["rejected"].to_numpy(dtype=int), found["gram"].to_numpy(dtype=int)] = found["n"]
-    return log_model(tables[0]) - log_model(tables[1])
+def fit(urls: DataFrame, seeds: tuple[str, ...] = SEEDS) -> np.ndarray:
+    """By fold, the table log P(accepted) - log P(rejected) by gram, from the other folds' sites and the seed words.
+
+    ``urls``: text, site, rejected.
+    """
+    counts = staged(gram_counts(urls), "url-grams")
+    own = np.zeros((FOLDS, 2, SIZE ** (ORDER + 1)), dtype=np.int64)
+    for k in range(FOLDS):
+        found = counts.where(F.col("fold") == k).toPandas()  # at most 2 x SIZE ** 4 rows, whatever the input
+        own[k, found["rejected"].to_numpy(dtype=int), found["gram"].to_numpy(dtype=int)] = found["n"]
+    whole = own.sum(axis=0)
+    for word in seeds:
+        np.add.at(whole[1], grams(word), 1)
+    return np.stack([log_model(whole[0] - own[k, 0]) - log_model(whole[1] - own[k, 1]) for k in range(FOLDS)])
 
 
-def score(urls: DataFrame, table: np.ndarray, column: str = "text") -> DataFrame:
-    """Adds ``ratio``: the mean log-likelihood difference per character (0 for null or empty)."""
-    shared = urls.sparkSession.sparkContext.broadcast(table)
+def score(urls: DataFrame, tables: np.ndarray) -> DataFrame:
+    """Adds ``ratio`` to (text, site): the mean log-likelihood difference per character (0 for null or empty)."""
+    shared = urls.sparkSession.sparkContext.broadcast(tables)
 
     @F.pandas_udf("double")
-    def ratio(texts: pd.Series) -> pd.Series:
+    def ratio(texts: pd.Series, folds: pd.Series) -> pd.Series:
         own = shared.value
-        return pd.Series([float(own[grams(t)].mean()) if t else 0.0 for t in texts])
+        return pd.Series([float(own[k][grams(t)].mean()) if t else 0.0 for t, k in zip(texts, folds, strict=True)])
 
-    return urls.withColumn("ratio", ratio(F.coalesce(F.col(column), F.lit(""))))
+    return urls.withColumn("ratio", ratio(F.coalesce(F.col("text"), F.lit("")), fold_of(F.col("site"))))
+
+
+def threshold(bad: np.ndarray, good: np.ndarray, at: np.ndarray) -> float:
+    """The cut with the least sum of error shares, nearest to zero: ``bad`` and ``good`` hosts by ratio ``at`` (ascending).
+
+    A class without hosts says nothing: the cut is zero, where both models are equally likely.
+    """
+    if not bad.sum() or not good.sum():
+        return 0.0
+    cuts = np.concatenate([at[:1] - 1, (at[1:] + at[:-1]) / 2, at[-1:] + 1, [0.0]])
+    below = np.searchsorted(at, cuts)
+    caught, lost = np.append(0, bad.cumsum())[below], np.append(0, good.cumsum())[below]
+    error = (1 - caught / bad.sum()) + lost / good.sum()
+    best = cuts[error <= error.min() + 1e-12]
+    return float(best[np.abs(best).argmin()])
 
 
 def is_seed(text: Column, seeds: tuple[str, ...] = SEEDS) -> Column:
@@ -119,22 +149,26 @@ def is_seed(text: Column, seeds: tuple[str, ...] = SEEDS) -> Column:
     return F.coalesce(text.rlike(rf"(?i)(^|[^a-z0-9])({'|'.join(seeds)})([^a-z0-9]|$)"), F.lit(False))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS, most_rejected: float = MOST_REJECTED) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio for every row of ``pages``.
 
     The models are trained on and score host, path and query; rejected URLs are those with a seed word as a part of
-    any of these, and the models generalise to URLs like them. The threshold is the ``most_rejected`` quantile of
-    accepted URLs' ratio, zero at most. Null and malformed URLs have ratio 0 and are allowed.
+    any of these, and the models generalise to URLs like them. The threshold parts seeded hosts from unseeded ones
+    under allow rules, each host by its mean ratio; any share of the other URLs may be blocked. Null and malformed
+    URLs have ratio 0 and are allowed, as are all where no URL is seeded or all are.
     """
     host, path = parts(F.col("url"))
-    seen = pages.select("page_id", host.alias("host"), path.alias("path"), evidence(F.col("url")).alias("text"))
-    known = seen.where("host <> ''").select("text", is_seed(F.col("text"), seeds).alias("rejected"))
-    table = fit(known)
-    both = score(known, table).groupBy().agg(F.percentile_approx(F.when(~F.col("rejected"), F.col("ratio")), most_rejected, 10_000).alias("low"), F.count_if("rejected").alias("bad"), F.count_if(~F.col("rejected")).alias("good")).first()
-    limit = min(0.0, both["low"]) if both["bad"] and both["good"] else float("-inf")
+    seen = pages.select("page_id", host.alias("host"), path.alias("path"), evidence(F.col("url")).alias("text")).withColumn("site", F.xxhash64("host"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = score(seen, table).withColumns({"rule": name, "ruled": verdict})
-    own = F.when(F.col("ratio") < F.lit(limit), "block").otherwise("allow")
+    known = seen.where("host <> ''").select("host", "site", "text", is_seed(F.col("text"), seeds).alias("rejected"), (verdict == "allow").alias("vouched"))
+    tables = fit(known.select("text", "site", "rejected"), seeds)
+    per_host = score(known, tables).groupBy("host", "rejected").agg(F.avg("ratio").alias("any"), F.avg(F.when(F.col("vouched"), F.col("ratio"))).alias("vouched"))
+    level = F.round(F.when(F.col("rejected"), F.col("any")).otherwise(F.col("vouched")), 3)
+    levels = per_host.groupBy(level.alias("at")).agg(F.count_if("rejected").alias("bad"), F.count_if(~F.col("rejected")).alias("good")).toPandas()  # as many as there are thousandths
+    both, levels = levels["bad"].sum() and levels["good"].sum(), levels.dropna().sort_values("at")
+    limit = threshold(*(levels[c].to_numpy() for c in ("bad", "good", "at"))) if both else float("-inf")
+    judged = score(seen, tables).withColumns({"rule": name, "ruled": verdict})
+    own = F.when((F.col("ratio") < F.lit(limit)) & (F.col("host") != ""), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "ratio")
 
 

@@ -200,6 +200,17 @@ def test_url_path_and_query_are_evidence(spark):
     assert max(got[-3:-1]) < got[-1] - 0.3
 
 
+def test_any_share_of_urls_may_be_blocked(spark):
+    rng, rows = random.Random(13), []
+    for host in [*plain_hosts(60), "casino-win.example.org", "free-bets.example.com", "m.cheap-pills.example.net", "poker-bonus.example.com"]:
+        rows += [f"https://{host}/{rng.choice(['de', 'fr', 'es', 'en/7'])}/{rng.randrange(9999)}" for _ in range(10)]
+    spam = [f"https://{h}/fr/{rng.randrange(9999)}" for h in ["casinos-777.example.org"] * 300 + ["freebets.example.com"] * 20]
+    got = urls.op7_url_filter(spark.createDataFrame(list(enumerate([*rows, *spam])), "page_id BIGINT, url STRING")).where("rule IS NULL").collect()
+    of = {h: Counter(r["verdict"] for r in got if (r["page_id"] >= len(rows)) == h) for h in (True, False)}
+    assert of[True] == {"block": len(spam)}
+    assert not [r for r in got if r["page_id"] < 600 and r["verdict"] == "block"]
+
+
 def test_main_text(spark):
     p = "The quick brown fox that lives in the wood is not as lazy as the dog that sleeps by the door of the house."
     page = f"<html><head><style>x</style></head><body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><article><h1>A title of the text</h1><p>{p}</p><p>Fish &amp;\n chips &#233;. {p}</p></article><footer>Copyright and imprint</footer><script>var a = 1;</script></body></html>"
