@@ -7,16 +7,18 @@ the output shards: the root holds every quota, each node draws for its left chil
 share of its quotas, and a leaf is a shard with an exact count of each source. A source's drawn blocks, in their
 permuted order, go to the shards in disjoint runs of those counts, and each shard is shuffled by itself.
 
-Only numbers that grow with sources x shards pass through the driver; their count is checked.
+The driver draws the tree for GROUPS groups of sources. Inside a group the draw goes on in Spark, for any number of
+sources: a multivariate hypergeometric share of quotas is what a uniform draw of the quotas' blocks without replacement
+holds of each source, so a group's blocks are put into a random order of their own and cut at the group's leaves.
 """
 
 from __future__ import annotations
 
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import staged, word_count
 from .shard import split_counts
@@ -28,8 +30,8 @@ SHARDS = 16
 SEED = 29
 #: Blocks that one task orders.
 RANGE_BLOCKS = 100_000
-#: More sources than this aren't divided by a draw on the driver but by rounded shares, in Spark.
-MAX_DRAWN_SOURCES = 100_000
+#: Groups that sources are hashed into; the driver holds GROUPS x shards numbers.
+GROUPS = 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
@@ -56,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ti
 
 
 def quota_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Counts by shard and source: every source's quota is met exactly, shard totals differ by one at most."""
+    """Counts by shard and quota: every quota is met exactly, shard totals differ by one at most."""
     rng, leaves = random.Random(seed), []
 
     def split(counts: list[int], parts: int) -> None:
@@ -91,6 +93,23 @@ def _in_order(rows: DataFrame, group: list[str], order: list[Column], spread: Co
     return placed.join(base, on).withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_part", "_p", "_base", *[f"_g{i}" for i in range(len(group))])
 
 
+def _runs(mixed: DataFrame, shards: int, seed: int, bits: int) -> DataFrame:
+    """The tree's leaves by source: _s and _ends, where in the source's order each shard's run ends."""
+    group = F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), "source"), F.lit(GROUPS)).cast("int")
+    lot = F.xxhash64(F.lit(seed), F.lit("tree"), "doc_id", "source", "text_crc32", "size", "block", "copy")
+    lots = mixed.select("source", group.alias("_group"), lot.alias("_lot"))
+    rows = sorted((r[0], r[1]) for r in lots.groupBy("_group").agg(F.count("*")).collect())
+    leaves = quota_tree([n for _, n in rows], shards, seed)
+    ends_of = [(g, list(accumulate(leaf[i] for leaf in leaves))) for i, (g, _) in enumerate(rows)]
+    group_ends = mixed.sparkSession.createDataFrame(ends_of, "_h int, _ends array<bigint>")
+    lots = _in_order(lots, ["_group"], [F.shiftrightunsigned("_lot", 1), F.col("source")], F.shiftrightunsigned("_lot", 64 - bits).cast("int"), "_at")
+    leaf = F.size(F.filter("_ends", lambda e: e <= F.col("_at")))
+    quotas = lots.join(F.broadcast(group_ends), F.col("_group") == F.col("_h")).groupBy("source", leaf.alias("leaf")).agg(F.count("*").alias("n"))
+    by_source = quotas.groupBy(F.col("source").alias("_s")).agg(F.collect_list(F.struct("leaf", "n")).alias("_leaves"))
+    up_to = lambda k: F.aggregate(F.filter("_leaves", lambda x: x["leaf"] <= k), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return by_source.select("_s", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), up_to).alias("_ends"))
+
+
 def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: a row for each drawn block copy, and one with nulls for each document of which nothing is drawn.
 
@@ -109,7 +128,6 @@ def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times:
         }).withColumn("rest", quota - F.col("passes") * F.col("source_size")),
         "mix-targets",
     )
-    spark = docs.sparkSession
     n_blocks = known.agg(F.sum(F.ceil(F.col("size") / block_words) * F.col("m"))).first()[0] or 0
     # Ranges of the random order, a power of two, so that none holds much over RANGE_BLOCKS blocks.
     bits = max(8, (int(n_blocks) // RANGE_BLOCKS).bit_length() + 1)
@@ -137,24 +155,8 @@ def mix_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times:
     drawn = counted.select("doc_id", "source", "size", "text_crc32", "m", "source_size", "target", "block", "u", "range", "full_words", "extra", "passes", F.explode_outer(copies).alias("copy"))
     drawn = staged(drawn.withColumn("words", F.when(F.col("copy") <= F.col("passes"), F.col("full_words")).when(F.col("copy").isNotNull(), F.col("extra"))).drop("full_words", "extra", "passes"), "mix-drawn")
 
-    # The tree: quotas in blocks by source, divided among the shards.
-    counts = drawn.where("copy IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"))
-    n_sources = counts.count()
-    kind = T.StructType([T.StructField("_s", drawn.schema["source"].dataType), T.StructField("_ends", T.ArrayType(T.LongType()))])
-    if n_sources <= MAX_DRAWN_SOURCES:
-        rows = sorted(((r[0], r[1]) for r in counts.collect()), key=lambda r: (r[0] is None, r[0]))
-        leaves = quota_tree([n for _, n in rows], shards, seed)
-        ends_of = []
-        for i, (name, _) in enumerate(rows):
-            at, cum = 0, []
-            for leaf in leaves:
-                at += leaf[i]
-                cum.append(at)
-            ends_of.append((name, cum))
-        runs = spark.createDataFrame(ends_of, kind)
-    else:
-        runs = counts.select(F.col("source").alias("_s"), F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: F.floor(F.col("n") * k / shards)).alias("_ends"))
     mixed = drawn.where("copy IS NOT NULL")
+    runs = _runs(mixed, shards, seed, bits)
     part = (F.least(F.col("copy") - 1, F.lit(most_times)) * (1 << bits) + F.col("range")).cast("int")
     mixed = _in_order(mixed, ["source"], [F.col("copy"), order_u, F.col("doc_id"), F.col("block"), F.col("text_crc32")], part, "_at")
     placed = mixed.join(runs, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_at"))).cast("int")).drop("_s", "_ends", "_at")

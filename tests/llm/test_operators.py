@@ -152,6 +152,16 @@ def test_mix_meets_targets(spark, docs):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mix.op4_mix(docs).collect()))
 
 
+def test_mix_deals_many_small_sources_evenly(spark, monkeypatch):
+    monkeypatch.setattr(mix, "MAX_DRAWN_SOURCES", 10, raising=False)  # an earlier switch to rounded shares
+    rows = [(i, "a b c", "en", None if i == 7 else f"host{i}", 0) for i in range(700)]
+    blocks = mix.mix_blocks(spark.createDataFrame(rows, DOC)).where("copy IS NOT NULL").select("source", "block", "doc_id", "copy", "shard", "slot").collect()
+    per = Counter(r["shard"] for r in blocks)
+    assert len(blocks) > 400 and set(per) == set(range(16)) and max(per.values()) - min(per.values()) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in blocks) == sorted((s, i) for s, n in per.items() for i in range(n))
+    assert len({(r["doc_id"], r["block"], r["copy"]) for r in blocks}) == len(blocks)
+
+
 def test_shards(spark, hard):
     got = shard.op10_sharding(hard).collect()
     per = Counter(r["shard"] for r in got)
