@@ -1,6 +1,7 @@
 """Benchmark decontamination: q-gram lemma filter over diagonal bands, then banded alignment.
 
-Benchmark items are cut into windows. A window of L characters occurs in a document with at most k edits only if the
+Benchmark items are cut into long windows with a wider edit budget, and into short ones that start every few characters,
+so that fragments and the stretches between changed words are found. A window of L characters occurs in a document with at most k edits only if the
 two share at least L + 1 - q(k + 1) q-grams on diagonals at most k apart. So the q-grams that a document shares with
 the benchmark are counted in overlapping bands of diagonals; bands that reach the bound go to a banded alignment, which
 decides. Documents stream past an index of the benchmark; nothing is shuffled.
@@ -22,10 +23,14 @@ Q = 10
 WINDOW = 80
 STRIDE = 20
 EDIT_RATE = 0.06
+#: The short windows: a verbatim fragment of SHORT + SHORT_STRIDE - 1 normalised characters holds one, wherever it lies.
+SHORT = 50
+SHORT_STRIDE = 4
+SHORT_EDITS = 2
 #: Normalised items shorter than this say too little to be recognised ("yes"); they match nothing.
 LEAST_ITEM = 24
 #: Benchmark characters that one pass over the documents holds as an index; a larger benchmark takes several passes.
-PASS_CHARS = 8_000_000
+PASS_CHARS = 2_000_000
 #: Document characters that are worked on at once.
 PIECE = 1_000_000
 _MIX = np.uint32(0xC2B2AE35)
@@ -106,35 +111,39 @@ class Index:
         return int(self.bound.min()) if len(self.bound) else 1 << 30
 
 
-def build(items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = EDIT_RATE, least_item: int = LEAST_ITEM) -> Index:
+def _starts(n: int, window: int, stride: int) -> list[int]:
+    return [0] if n <= window else sorted({*range(0, n - window + 1, stride), n - window})
+
+
+def build(items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = EDIT_RATE, least_item: int = LEAST_ITEM, short: int = SHORT, short_stride: int = SHORT_STRIDE, short_edits: int = SHORT_EDITS) -> Index:
     """Index the windows of (item_id, text). Items that are equal when normalised are known by their smallest id."""
     own: dict[bytes, int] = {}
     for item, text in items:
         key = normalise(text_or_empty(text)).tobytes()
         own[key] = min(item, own.get(key, item))
-    ids, rows, lengths = [], [], []
+    ids, rows, lengths, allowed, hashes, offs = [], [], [], [], [], []
     for key, item in own.items():
         points = np.frombuffer(key, dtype=np.uint32)
         n = len(points)
         if n < least_item:
             continue
-        starts = [0] if n <= window else sorted({*range(0, n - window + 1, stride), n - window})
-        for s in starts:
-            part = points[s : s + window]
+        grams_of = gram_hashes(points, q)
+        cuts = [(s, min(n, window), int(min(n, window) * rate)) for s in _starts(n, window, stride)]
+        if n > short and short < window:
+            cuts += [(s, short, short_edits) for s in _starts(n, short, short_stride)]
+        for s, size, most in cuts:
             ids.append(item)
-            rows.append(np.pad(part, (0, window - len(part))))
-            lengths.append(len(part))
+            rows.append(np.pad(points[s : s + size], (0, window - size)))
+            lengths.append(size)
+            allowed.append(most)
+            hashes.append(grams_of[s : s + size - q + 1])
+            offs.append(np.arange(len(hashes[-1]), dtype=np.int32))
     lengths_a = np.array(lengths, dtype=np.int64)
-    # As many edits as the rate allows, but no more than leave the lemma a bound above zero.
-    edits = np.minimum((lengths_a * rate).astype(np.int64), np.maximum((lengths_a - 1) // q - 1, 0))
+    # As many edits as are allowed, but no more than leave the lemma a bound above zero.
+    edits = np.minimum(np.array(allowed, dtype=np.int64), np.maximum((lengths_a - 1) // q - 1, 0))
     bound = lengths_a + 1 - q * (edits + 1)
     points = np.array(rows, dtype=np.uint32).reshape(-1, window)
-    hashes, wins, offs = [], [], []
-    for w in range(len(ids)):
-        h = gram_hashes(points[w, : lengths_a[w]], q)
-        hashes.append(h)
-        wins.append(np.full(len(h), w))
-        offs.append(np.arange(len(h)))
+    wins = [np.full(len(x), w, dtype=np.int32) for w, x in enumerate(hashes)]
     h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint32)
     order = np.argsort(h, kind="stable")
     grams, first = np.unique(h[order], return_index=True)
@@ -266,8 +275,8 @@ def find(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS, **
     """One row per document and benchmark passage in it: doc_id, item_id, start, end, n_windows, edits.
 
     ``start`` and ``end`` are code points of the text. A document holds an item if one of the item's windows (of
-    WINDOW characters, each STRIDE; the whole item if shorter) is within EDIT_RATE edits of a part of it, both
-    normalised. Null and empty texts and items match nothing, as do items under LEAST_ITEM characters. Equal items
+    WINDOW characters, each STRIDE; the whole item if shorter) is within EDIT_RATE edits of a part of it, or one of
+    SHORT characters, each SHORT_STRIDE, within SHORT_EDITS, both normalised. Null and empty texts and items match nothing, as do items under LEAST_ITEM characters. Equal items
     are reported under their smallest id. Repeated documents are reported each.
     """
     kind = dict(docs.dtypes)["doc_id"]

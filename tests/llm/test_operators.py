@@ -124,6 +124,20 @@ def test_planted_passages(spark):
     assert decontaminate.find(docs, bench, pass_chars=300).count() == decontaminate.find(docs, bench).count()
 
 
+def test_fragments_and_changed_words_are_found():
+    rng = random.Random(21)
+    items = [(i, words(rng, 60)) for i in range(40)]
+    index = decontaminate.build(items)
+    found = lambda text: {m[0] for m in decontaminate.matches(decontaminate.normalise(text), index)}
+    for i, text in items:
+        w = text.split()
+        at = rng.randrange(len(w) - 14)
+        assert found(f"{words(rng, 40)} {' '.join(w[at : at + 14])} {words(rng, 40)}") == {i}
+        changed = [x if k % 16 != 8 else "klmnopqr" for k, x in enumerate(w)]
+        assert found(f"{words(rng, 40)} {' '.join(changed)} {words(rng, 40)}") == {i}
+        assert found(words(rng, 200)) == set()
+
+
 def test_mix_meets_targets(spark, docs):
     got = mix.op4_mix(docs).collect()
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
