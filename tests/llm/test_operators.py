@@ -168,7 +168,7 @@ def test_mix_meets_targets(spark, docs):
 
 def test_mix_deals_many_small_sources_evenly(spark, monkeypatch):
     monkeypatch.setattr(mix, "MAX_DRAWN_SOURCES", 10, raising=False)  # an earlier switch to rounded shares
-    rows = [(i, "a b c", "en", None if i == 7 else f"host{i}", 0) for i in range(700)]
+    rows = [(i, "a " * (i + 3), "en", None if i == 7 else f"host{i}", 0) for i in range(700)]
     blocks = mix.mix_blocks(spark.createDataFrame(rows, DOC)).where("copy IS NOT NULL").select("source", "block", "doc_id", "copy", "shard", "slot").collect()
     per = Counter(r["shard"] for r in blocks)
     assert len(blocks) > 400 and set(per) == set(range(16)) and max(per.values()) - min(per.values()) <= 1
