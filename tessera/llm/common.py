@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], n: int) -> list[str]:
+    """``n`` column names that differ from ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    return list(itertools.islice((c for c in (f"_{i}" for i in itertools.count()) if c not in taken), n))
+
+
 def fold(doc_id: Column) -> Column:
     """``crc32(doc_id as text) mod 5``; 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

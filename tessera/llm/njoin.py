@@ -5,7 +5,7 @@ similar as asked differ in few shingles, so few that some segment holds equal su
 counts double, subsets that differ by one shingle. A set's signatures are its segments' subsets and, for the double
 segments, their one-deletion neighbourhoods. How many segments count double is chosen for each band by cost: what is
 sent against how many unrelated sets are expected to meet. Sets that share a signature are candidates and are verified
-by their whole sets of 64-bit shingle hashes.
+on their words.
 
 Equal sets are one class and count once from then on. A signature's members are not paired with each other: each is
 compared with the signature's least member, links are contracted into components, and only signatures whose members
@@ -14,15 +14,17 @@ still lie in several components are looked at again, small ones pair by pair, la
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, text_or_empty
+from .common import free_names, slices, staged, text_or_empty
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Members up to which a signature is looked at pair by pair.
@@ -32,7 +34,7 @@ BAND_RATIO = 1.23
 #: Bits of the sieve of shared signatures (8 MB), and signatures up to which it is of use.
 SIEVE_BITS, SIEVE_SIGNATURES = 1 << 26, 8_000_000
 #: Shingles of one block of a large signature.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 #: Candidate documents up to which their ids are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Cells of the sketch that rules most candidates out before sets are fetched.
@@ -43,9 +45,10 @@ PIECE = 500_000
 
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_BYTE = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x5851F42D4C957F2D
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: Word digests that a task keeps, and the longest word that is kept.
+DIGESTS, DIGEST_BYTES = 200_000, 40
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_digests: dict[int, dict[bytes, bytes]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,73 +57,87 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=np.uint64))
-        _powers = (tables[0], tables[1])
-    return _powers
+def words_of(text: str) -> Iterator[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased; a long text is cut up bit by bit.
 
-
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of ``raw`` (bytes between ASCII white space), and where each word starts."""
-    hashes, starts, at = [], [], 0
+    ``bytes.split`` cuts at ASCII white space, ``bytes.lower`` knows A-Z only.
+    """
+    raw, at = text.encode("utf-8", "replace"), 0
     while at < len(raw):
-        stop = min(len(raw), at + PIECE)
-        while stop < len(raw) and raw[stop] not in b" \t\n\r\x0b\x0c":
-            stop += 1
-        b = np.frombuffer(raw, dtype=np.uint8, count=stop - at, offset=at)
-        ink = np.concatenate([[False], ~((b == 32) | ((b >= 9) & (b <= 13))), [False]])
-        edge = np.flatnonzero(ink[1:] != ink[:-1])
-        s, e = edge[::2], edge[1::2]
-        power, inverse = _power_tables(len(b))
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)])
-        hashes.append(mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * _C1))
-        starts.append(s + at)
+        space = _SPACE.search(raw, at + PIECE)
+        stop = space.start() if space else len(raw)
+        yield from raw[at:stop].lower().split()
         at = stop
-    none = np.empty(0, dtype=np.int64)
-    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (none.astype(np.uint64), none)
-
-
-def shingle_sets(texts: list[str], k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, shingle hash), sorted and distinct, of all texts. A text with fewer than k words is one shingle."""
-    raws = [t.encode("utf-8", "replace").lower() for t in texts]  # bytes.lower: A-Z only
-    offsets = np.cumsum([0] + [len(r) + 1 for r in raws])
-    w, start = word_hashes(b"\n".join(raws))
-    doc = np.searchsorted(offsets, start, side="right") - 1
-    n = len(w) - k + 1
-    if n > 0:
-        h = np.full(n, _U(seed) * _C1 + _U(k), dtype=np.uint64)
-        for j in range(k):
-            h = h * _C2 + w[j : j + n]
-            h ^= h >> _U(29)
-        whole = doc[:n] == doc[k - 1 :]
-        h, d = mix(h[whole]), doc[:n][whole]
-    else:
-        h, d = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    counts = np.bincount(doc, minlength=len(texts))
-    short = np.flatnonzero((counts > 0) & (counts < k))
+
+
+def word_digests(words: Iterator[bytes], seed: int) -> bytes:
+    """128 bits of BLAKE2 for each word: words that differ can't be made to have one digest."""
+    own, key = _digests.setdefault(seed, {}), seed.to_bytes(8, "little")
+    out = bytearray()
+    for w in words:
+        digest = own.get(w)
+        if digest is None:
+            digest = blake2b(w, digest_size=16, key=key).digest()
+            if len(w) <= DIGEST_BYTES:
+                if len(own) >= DIGESTS:
+                    own.clear()
+                own[w] = digest
+        out += digest
+    return bytes(out)
+
+
+def _chained(w: np.ndarray, k: int, start: int) -> np.ndarray:
+    """A hash for each run of k rows of ``w``, column by column."""
+    h = np.full((len(w) - k + 1, w.shape[1]), start, dtype=np.uint64)
+    for j in range(k):
+        h = h * _C2 + w[j : j + len(h)]
+        h ^= h >> _U(29)
+    return mix(h)
+
+
+def shingle_sets(texts: list[str], k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document number, first hash, second hash) of each distinct shingle of all texts, sorted. A text with fewer than k words is one shingle."""
+    digests = [word_digests(words_of(t), seed) for t in texts]
+    sizes = np.array([len(x) // 16 for x in digests], dtype=np.int64)
+    w, doc = np.frombuffer(b"".join(digests), dtype=np.uint64).reshape(-1, 2), np.repeat(np.arange(len(texts)), sizes)
+    h, d = np.empty((0, 2), dtype=np.uint64), np.empty(0, dtype=np.int64)
+    if len(w) >= k:
+        whole = doc[: len(w) - k + 1] == doc[k - 1 :]
+        h, d = _chained(w, k, k)[whole], doc[: len(w) - k + 1][whole]
+    first = np.cumsum(sizes) - sizes
+    short = np.flatnonzero((sizes > 0) & (sizes < k))
     if len(short):
-        first = np.searchsorted(doc, short)
-        extra = []
-        for i, f in zip(short, first, strict=True):
-            with np.errstate(over="ignore"):
-                x = _U(seed) * _C1 + _U(int(counts[i])) * _C3
-                for j in range(int(counts[i])):
-                    x = x * _C2 + w[f + j]
-                    x ^= x >> _U(29)
-            extra.append(x)
-        h, d = np.concatenate([h, mix(np.array(extra, dtype=np.uint64))]), np.concatenate([d, short])
-    order = np.lexsort((h, d))
+        h = np.concatenate([h, *[_chained(w[first[i] : first[i] + sizes[i]], int(sizes[i]), int(sizes[i])) for i in short]])
+        d = np.concatenate([d, short])
+    order = np.lexsort((h[:, 1], h[:, 0], d))
     h, d = h[order], d[order]
     new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return d[new], h[new]
+    new[1:] = (h[1:] != h[:-1]).any(axis=1) | (d[1:] != d[:-1])
+    return d[new], h[new, 0], h[new, 1]
+
+
+def shared_shingles(x: str, y: str, k: int) -> tuple[int, int, int]:
+    """Distinct shingles of both texts, of the first and of the second: by the words themselves, without hashes of them.
+
+    Words get numbers as they come; a run of words is numbered by its first part's number and its last word's.
+    """
+    number: dict[bytes, int] = {}
+    a, b = (np.array([number.setdefault(v, len(number)) for v in words_of(t)], dtype=np.int64) for t in (x, y))
+    if min(len(a), len(b)) < k:  # a text of fewer words is one shingle, its words' whole sequence
+        if max(len(a), len(b)) < k:
+            return int(len(a) > 0 and np.array_equal(a, b)), int(len(a) > 0), int(len(b) > 0)
+        return 0, *(int(0 < len(w)) if len(w) < k else len(np.unique(_runs(w, k, len(number)))) for w in (a, b))
+    runs = _runs(np.concatenate([a, b]), k, len(number))
+    p, q = np.unique(runs[: len(a) - k + 1]), np.unique(runs[len(a) :])
+    return len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)
+
+
+def _runs(w: np.ndarray, k: int, width: int) -> np.ndarray:
+    """A number for each run of k of the numbers ``w``, which are below ``width``; equal runs have equal numbers."""
+    runs = w
+    for j in range(1, k):
+        runs = np.unique(runs[:-1] * width + w[j:], return_inverse=True)[1]
+    return runs
 
 
 @dataclass(frozen=True)
@@ -217,6 +234,14 @@ def sketch(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc * CELLS + cell, minlength=n_docs * CELLS).reshape(n_docs, CELLS)
 
 
+def _class_ids(doc: np.ndarray, h: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each document's set, from the shingles' first and from their second hashes."""
+    one, two = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+    np.add.at(one, doc, mix(h + _C1))
+    np.add.at(two, doc, mix(other ^ _C2))
+    return mix(one + n.astype(np.uint64)).view(np.int64), mix(two).view(np.int64)
+
+
 def _prepared(docs: DataFrame, k: int, bands: Bands, seed: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -224,12 +249,9 @@ def _prepared(docs: DataFrame, k: int, bands: Bands, seed: int) -> DataFrame:
         seen: set[int] = set()
         for f in slices(frames, "text", PIECE):
             texts = f["text"].map(text_or_empty).tolist()
-            doc, h = shingle_sets(texts, k, seed)
+            doc, h, other = shingle_sets(texts, k, seed)
             n = np.bincount(doc, minlength=len(texts))
-            one, two = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
-            np.add.at(one, doc, mix(h + _C1))
-            np.add.at(two, doc, mix(h ^ _C2))
-            one, two = mix(one + n.astype(np.uint64)).view(np.int64), mix(two).view(np.int64)
+            one, two = _class_ids(doc, h, other, n)
             # A set that this task has met before needs no second lot of signatures.
             fresh = np.zeros(len(texts), dtype=bool)
             for i in range(len(texts)):
@@ -244,17 +266,19 @@ def _prepared(docs: DataFrame, k: int, bands: Bands, seed: int) -> DataFrame:
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
             cells = sketch(doc, h, len(texts)).astype(np.int32)
             yield pd.DataFrame({
-                "doc_id": f["doc_id"].to_numpy(), "n_shingles": n, "set1": one, "set2": two,
+                "doc_id": f["doc_id"].to_numpy(), "body": f["body"].to_numpy(), "n_shingles": n, "set1": one, "set2": two,
                 "sigs": [sig[ends[i] : ends[i + 1]] if fresh[i] else None for i in range(len(texts))],
                 "sketch": [cells[i] if fresh[i] else None for i in range(len(texts))],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, set1 long, set2 long, sigs array<long>, sketch array<int>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
+    return rows.mapInPandas(run, f"doc_id {kind}, body long, n_shingles long, set1 long, set2 long, sigs array<long>, sketch array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (a, b): the component's least node. Alternating stars, a table a round."""
     star = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = [F.count("*"), *(F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(20,0)")) for i in (1, 2))]  # exact sums of two hashes
     before = None
     while True:
         both = star.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(star.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -263,7 +287,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         star = staged(small, "stars")
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        now = star.agg(*state).first()
         if now == before:
             break
         before = now
@@ -297,20 +321,22 @@ def _met(sets: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     return sets.where("sigs IS NOT NULL").select("sigs", "set1").mapInPandas(run, "sig long, set1 long")
 
 
-def _similar(inter: Column, a: Column, b: Column, num: int, den: int) -> Column:
-    return inter * den >= (a + b - inter) * num
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, sets, num: int, den: int) -> DataFrame:
-    """(a, b) of ``pairs`` whose sets are similar: sizes first, then sketches, then the sets themselves."""
+def _verified(pairs: DataFrame, classes: DataFrame, texts, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of ``pairs`` whose sets are similar: sizes first, then sketches, then the words themselves."""
     left = classes.select(F.col("set1").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = classes.select(F.col("set1").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     sized = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    near = staged(sized.where(apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b", "n_a", "n_b"), "near-pairs")
-    own = sets(near.select(F.col("a").alias("set1")).unionByName(near.select(F.col("b").alias("set1"))).distinct())
-    met = near.join(own.select(F.col("set1").alias("b"), F.col("shingles").alias("y")), "b").join(own.select(F.col("set1").alias("a"), F.col("shingles").alias("x")), "a")
-    return met.where(_similar(F.size(F.array_intersect("x", "y")).cast("long"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+    near = staged(sized.where(apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b"), "near-pairs")
+    own = texts(near.select(F.col("a").alias("set1")).unionByName(near.select(F.col("b").alias("set1"))).distinct())
+    met = near.join(own.select(F.col("set1").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("set1").alias("a"), F.col("text").alias("x")), "a")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in slices(frames, "y", PIECE):
+            both = [shared_shingles(x, y, k) for x, y in zip(f["x"], f["y"], strict=True)]
+            yield f.loc[[den * i >= num * (p + q - i) for i, p, q in both], ["a", "b"]]
+
+    return met.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def _linked_in_block(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -347,15 +373,18 @@ def _linked_in_block(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 
 
 def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, class_id (the least doc_id with an equal set).
+    """One row per input row: doc_id, body (xxhash64 of the text), n_shingles, component_id, class_id (the least doc_id with an equal set).
 
     Two documents link when ``den * intersection >= num * union`` of their distinct k-word shingles (words lie between
     ASCII white space, A-Z are lower-cased; a text with fewer than k words is one shingle). component_id is the least
     doc_id that links lead to, the document's own included. Null and word-free texts have no shingles, link with nothing
     and are their own component. Rows that repeat a doc_id have equal results if their texts are equal. Null doc_ids take
-    part and never name a component unless all of its ids are null.
+    part and never name a component unless all of its ids are null. Only doc_id and text are read; an empty table gives
+    an empty result.
+
+    Sets are told apart by 128 bits of two hash chains; links are verified on the words. Should the two disagree, the
+    work is done again with other hashes.
     """
-    spark = docs.sparkSession
     # Band sizes from text lengths, over all rows: an estimate that costs depend on, and no result.
     guess = F.greatest(F.lit(1), F.floor(F.octet_length("text") / 6)).cast("long")
     step = np.log(BAND_RATIO)
@@ -365,39 +394,46 @@ def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den:
     members = {b: rough.get(int(np.log(max(1, low)) / step), 0) for b, low in enumerate(edges)}
     bands = allocate(num, den, most, members)
     for seed in range(4):
-        prep = staged(_prepared(docs, k, bands, seed), "sets")
-        some = prep.where("n_shingles > 0")
-        classes = staged(some.groupBy("set1").agg(F.min("set2").alias("low"), F.max("set2").alias("high"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.max("sketch").alias("sketch")), "classes")
-        if classes.where("low <> high").isEmpty():
-            break
-    else:
-        raise RuntimeError("four seeds in turn gave two different sets one hash")
+        found = _classes_of(docs, k, num, den, bands, seed)
+        if found is not None:
+            return found
+    raise RuntimeError("four seeds in turn gave different shingles one hash")
+
+
+def _classes_of(docs: DataFrame, k: int, num: int, den: int, bands: Bands, seed: int) -> DataFrame | None:
+    """What ``similar_classes`` returns, or None if hashes under this seed tell too little apart."""
+    prep = staged(_prepared(docs, k, bands, seed), "sets")
+    some = prep.where("n_shingles > 0")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "body")))
+    grouped = some.groupBy("set1").agg(F.min("set2").alias("low"), F.max("set2").alias("high"), F.coalesce(named, F.min(F.struct("doc_id", "body"))).alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    classes = staged(grouped.select("set1", "low", "high", F.col("rep.doc_id").alias("rep"), F.col("rep.body").alias("body"), "n", "sketch"), "classes")
+    if not classes.where("low <> high").isEmpty():
+        return None
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """(set1, text) of the wanted classes: one document's text each."""
+        ids = staged(wanted.join(classes.select("set1", F.col("rep").alias("_id"), F.col("body").alias("_body")), "set1"), "wanted")
+        near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        found = docs.select("doc_id", "text", F.xxhash64("text").alias("body")).join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
+        return staged(found.select("set1", "text").dropDuplicates(["set1"]), "texts")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        """(set1, shingles) of the wanted classes, from the text of one document each."""
-        of = wanted.join(classes.select("set1", "rep", "nulls"), "set1").where("rep IS NOT NULL OR nulls > 0").select("set1", F.col("rep").alias("doc_id"))
-        ids = staged(of, "wanted")
-        near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = docs.select("doc_id", "text").join(near.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+        """(set1, shingles) of the wanted classes: the shingles' first hashes."""
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in slices(frames, "text", PIECE):
-                doc, h = shingle_sets(f["text"].map(text_or_empty).tolist(), k, seed)
+                doc, h, _ = shingle_sets(f["text"].map(text_or_empty).tolist(), k, seed)
                 ends = np.searchsorted(doc, np.arange(len(f) + 1))
-                one = np.zeros(len(f), dtype=np.uint64)
-                np.add.at(one, doc, mix(h + _C1))
-                one = mix(one + np.diff(ends).astype(np.uint64)).view(np.int64)
-                mine = np.flatnonzero(one == f["set1"].to_numpy())  # a repeated doc_id can have other texts
-                yield pd.DataFrame({"set1": one[mine], "shingles": [h[ends[i] : ends[i + 1]].view(np.int64) for i in mine]})
+                yield pd.DataFrame({"set1": f["set1"], "shingles": [h[ends[i] : ends[i + 1]].view(np.int64) for i in range(len(f))]})
 
-        return staged(texts.select("set1", "text").mapInPandas(run, "set1 long, shingles array<long>").dropDuplicates(["set1"]), "shingles")
+        return staged(texts(wanted).mapInPandas(run, "set1 long, shingles array<long>"), "shingles")
 
     rows = some.where("sigs IS NOT NULL").select(F.explode("sigs").alias("sig"), "set1")
     # Written out, so that both sides of the join are exchanged for it and a hot signature's side can be split.
     shared = staged(rows.groupBy("sig").agg(F.min("set1").alias("p"), F.max("set1").alias("q")).where("p < q").select("sig", "p"), "shared")
     members_of = staged(_met(some, rows, shared).join(shared, "sig").distinct(), "members")
     stars = members_of.where("set1 <> p").select(F.col("p").alias("a"), F.col("set1").alias("b")).distinct()
-    links = staged(_verified(stars, classes, sets, num, den), "links")
+    links = staged(_verified(stars, classes, texts, k, num, den), "links")
     label = components(links)
 
     # Signatures whose members, three at least, are in several components still.
@@ -407,34 +443,48 @@ def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den:
     again = staged(labelled.join(once.select("sig", "size"), "sig"), "open")
     few = again.where(F.col("size") <= SMALL)
     x, y = few.select("sig", F.col("set1").alias("a"), F.col("label").alias("la")), few.select("sig", F.col("set1").alias("b"), F.col("label").alias("lb"))
-    pairs = x.join(y, "sig").where("a < b AND la <> lb").select("a", "b").distinct()
-    more = _verified(pairs, classes, sets, num, den)
+    more = x.join(y, "sig").where("a < b AND la <> lb").select("a", "b").distinct()
     many = again.where(F.col("size") > SMALL)
+    joined = 0
     if not many.isEmpty():
-        sized = many.join(classes.select("set1", "n"), "set1")
-        blocks = sized.groupBy("sig").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-        own = sets(many.select("set1").distinct())
-        placed = many.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("set1"), F.col("blocks")).cast("int"))
-        # A member goes to each pair of blocks that its own is in; a block is also compared with itself.
-        other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        sent = other.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set1", "label", F.col("block").alias("side")).join(own, "set1")
-        blockwise = sent.groupBy("sig", "i", "j").applyInPandas(lambda f: _linked_in_block(f, num, den), "a long, b long")
-        more = more.unionByName(blockwise)
-    more = staged(more, "more-links")
+        joining = staged(_block_links(many, classes, sets, num, den), "block-links").distinct()
+        joined = joining.count()
+        more = more.unionByName(joining).distinct()
+    more = staged(_verified(more, classes, texts, k, num, den), "more-links")
+    if joined and more.join(joining, ["a", "b"], "left_semi").count() < joined:
+        return None  # a pair was passed over because of a link that isn't one
     if not more.isEmpty():
         label = components(links.unionByName(more))
     named = classes.select("set1", F.col("rep").alias("class_id")).join(label.withColumnRenamed("node", "set1"), "set1", "left")
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("component_id"))
     final = named.join(least, "component", "left").select("set1", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
-    return prep.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set1")).alias("set1")).join(final, "set1", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    own = prep.select("doc_id", "body", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set1")).alias("set1")).join(final, "set1", "left")
+    return own.select("doc_id", "body", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _block_links(many: DataFrame, classes: DataFrame, sets, num: int, den: int) -> DataFrame:
+    """(a, b) that join components of large signatures' members. Members are dealt into blocks, each pair of blocks is one group."""
+    sized = many.join(classes.select("set1", "n"), "set1")
+    # A hot signature's counts are added up before they are exchanged; the blocks of all signatures are few numbers each.
+    blocks = sized.groupBy("sig").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = many.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("set1"), F.col("blocks")).cast("int"))
+    # A member goes to each pair of blocks that its own is in; a block is also compared with itself.
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = other.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set1", "label", F.col("block").alias("side")).join(sets(many.select("set1").distinct()), "set1")
+    return sent.groupBy("sig", "i", "j").applyInPandas(lambda f: _linked_in_block(f, num, den), "a long, b long")
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """Rows of ``docs``, all columns: of each component the document with the least doc_id. Of rows that repeat its id,
-    all stay that repeat it with an equal set of shingles. Rows with a null id stay."""
-    found = similar_classes(docs.select("doc_id", "text"), k, num, den)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """Rows of ``docs``, all columns: of each component the document with the least doc_id.
+
+    Of rows that repeat an id, those go whose own text is a copy of another id's; those with an equal set of shingles
+    all stay or all go. Rows with a null id stay. Further columns, whatever they are called, come back unchanged.
+    """
+    found = similar_classes(docs, k, num, den)
+    body, key, gone = free_names(docs.columns, 3)
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("body").alias(gone)).distinct()
+    marked = docs.withColumn(body, F.xxhash64("text"))
+    return marked.join(drop, (F.col("doc_id") == F.col(key)) & (F.col(body) == F.col(gone)), "left_anti").drop(body)
 
 
 OP3_SQL = r"""
@@ -458,4 +508,8 @@ FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
 
 
 def op3_ngram_jaccard(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: three-word shingles, links at a similarity of 0.9 or more.
+
+    Nulls, empty texts, ties, repeated rows and empty tables: as ``similar_classes`` says.
+    """
     return similar_classes(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")
