@@ -1,9 +1,10 @@
 """Exact deduplication by content-defined chunk recipes, in native expressions only.
 
 A text is cut into chunks where its content says so (the first line or sentence end past a least size, or a
-largest size). A chunk's identifier is its SHA-256; a document becomes the ordered list of its identifiers, its
-recipe. Documents are grouped by recipe, and the digest of the whole text, which the result carries anyway,
-verifies each group. Only digests move between tasks, never texts.
+largest size). Chunks are deduplicated into a store: a chunk's short name is a 64-bit fingerprint, verified against the
+SHA-256 of its characters; contents that share a name are numbered, so an identifier (name, number) means one content.
+A document becomes the ordered list of its chunks' identifiers, its recipe, and documents are equal when their recipes
+are: the lists themselves are compared. Only names and digests move between tasks, never texts.
 """
 
 from __future__ import annotations
@@ -28,40 +29,54 @@ def chunks(text: Column, least: int = LEAST_CHARS, most: int = MOST_CHARS) -> Co
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_sha256, n_chunks, ids (ordered chunk identifiers). Null text: as empty."""
-    normal = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("body"))
-    return normal.select(
-        "doc_id",
-        F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"),
-        F.transform(chunks(F.col("body")), lambda c: F.unhex(F.sha2(c.cast("binary"), 256))).alias("ids"),
-    ).withColumn("n_chunks", F.size("ids"))
+def fingerprint(chunk: Column) -> Column:
+    """A chunk's short name, a long. Different chunks may share it; ``chunk_store`` tells them apart."""
+    return F.xxhash64(chunk)
 
 
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """The chunks themselves, each once: id, chunk, n_refs, verified (all texts under the id are equal)."""
-    body = docs.select(F.explode(chunks(ascii_lower(F.coalesce(F.col("text"), F.lit(""))))).alias("chunk"))
-    return body.groupBy(F.sha2(F.col("chunk").cast("binary"), 256).alias("id")).agg(F.min("chunk").alias("chunk"), F.count("*").alias("n_refs"), (F.min("chunk") == F.max("chunk")).alias("verified"))
+def chunked(docs: DataFrame) -> DataFrame:
+    """One row per document: row (its number), doc_id, text_sha256, prints (name and SHA-256 of each chunk, in order). Null text: as empty."""
+    body = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    prints = F.transform(chunks(body), lambda c: F.struct(fingerprint(c).alias("name"), F.unhex(F.sha2(c.cast("binary"), 256)).alias("sha")))
+    # Written out, so that a row's number stays the same should a task run again.
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2(body.cast("binary"), 256).alias("text_sha256"), prints.alias("prints")), "chunks")
+
+
+def chunk_store(rows: DataFrame) -> DataFrame:
+    """The distinct chunks of ``chunked`` rows by name: name, n_refs, contents (SHA-256 of each content of that name, in order)."""
+    refs = rows.select(F.explode("prints").alias("p")).select("p.name", "p.sha")
+    return refs.groupBy("name").agg(F.count("*").alias("n_refs"), F.array_sort(F.collect_set("sha")).alias("contents"))
+
+
+def recipes(rows: DataFrame) -> DataFrame:
+    """``chunked`` rows with their recipe in place of prints: names, and numbers of the contents under these names.
+
+    A number is a content's place among those of its name, 0 nearly always; ``numbers`` is empty where all are 0. Rows
+    need no more from the store than its names of several contents; where there are none, nothing is exchanged for it.
+    """
+    shared = staged(chunk_store(rows).where(F.size("contents") > 1).select("name", "contents"), "shared-names")
+    kept, zeros = ["row", "doc_id", "text_sha256"], F.array().cast("array<int>")
+    if shared.isEmpty():
+        return rows.select(*kept, F.transform("prints", lambda p: p["name"]).alias("names"), zeros.alias("numbers"))
+    refs = rows.select(*kept, F.posexplode_outer("prints").alias("at", "p")).select(*kept, "at", "p.name", "p.sha")
+    number = F.coalesce(F.array_position("contents", F.col("sha")) - 1, F.lit(0)).cast("int")
+    listed = refs.join(shared, "name", "left").groupBy(*kept).agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "name", number.alias("nth"))))).alias("x"))
+    numbers = F.when(F.exists("x", lambda x: x["nth"] > 0), F.transform("x", lambda x: x["nth"])).otherwise(zeros)
+    return listed.select(*kept, F.transform("x", lambda x: x["name"]).alias("names"), numbers.alias("numbers"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Of equal texts the row with the largest doc_id stays. Null and empty texts are equal. Null doc_ids come below
-    every number. Rows that repeat a doc_id with an equal text count in group_size; one of them is kept at most.
+    every number. Rows that repeat a doc_id with an equal text count in group_size; one of them is kept at most. An
+    empty table gives an empty result. Only doc_id and text are read, whatever else the table has.
     """
-    slim = staged(recipes(docs).select("doc_id", "text_sha256", "n_chunks", F.sha2(F.concat_ws("", F.transform("ids", F.hex)).cast("binary"), 256).alias("recipe")), "recipes")
-    key = ["recipe", "n_chunks", "text_sha256"]
-    # Rows with one doc_id and one text are counted first; a group of copies shrinks to one row per task.
-    rows = slim.groupBy("doc_id", *key).agg(F.count("*").alias("m"))
+    rows, key = staged(recipes(chunked(docs)), "recipes"), ["names", "numbers"]
     # Written out, so that both sides of the join are exchanged for it and a large group's side can be split.
-    groups = staged(slim.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    groups = staged(rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.coalesce(F.max_by("row", "doc_id"), F.max("row")).alias("keep_row")), "groups")
     joined = rows.join(groups, key)
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("nth")
-    return joined.select("doc_id", "keep_id", "group_size", stays.alias("stays"), "text_sha256", "n_chunks", again).select(
-        "doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("nth") == 1)).alias("kept"), "text_sha256", "n_chunks"
-    )
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", F.size("names").alias("n_chunks"))
 
 
 OP9_SQL = f"""
@@ -78,4 +93,5 @@ FROM d JOIN g USING (text_sha256)
 
 
 def op9_exact_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; nulls, ties, repeats and empty tables: as ``exact_groups`` says."""
     return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
