@@ -4,7 +4,8 @@ Benchmark items are cut into long windows with a wider edit budget, and into sho
 so that fragments and the stretches between changed words are found. A window of L characters occurs in a document with at most k edits only if the
 two share at least L + 1 - q(k + 1) q-grams on diagonals at most k apart. So the q-grams that a document shares with
 the benchmark are counted in overlapping bands of diagonals; bands that reach the bound go to a banded alignment, which
-decides. Documents stream past an index of the benchmark; nothing is shuffled.
+decides. Items too short for that are looked for as whole sequences of words. Documents stream past an index of the
+benchmark; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ EDIT_RATE = 0.06
 SHORT = 50
 SHORT_STRIDE = 4
 SHORT_EDITS = 2
-#: Normalised items shorter than this say too little to be recognised ("yes"); they match nothing.
-LEAST_ITEM = 24
-#: Benchmark characters that one pass over the documents holds as an index; a larger benchmark takes several passes.
-PASS_CHARS = 2_000_000
+#: Normalised items shorter than this match exactly, between the ends of words; they have too few q-grams for edits.
+SHORT_ITEM = 24
+#: Benchmark characters that one pass over the documents holds as an index (about 20 bytes each); a larger benchmark takes several passes.
+PASS_CHARS = 4_000_000
 #: Document characters that are worked on at once.
 PIECE = 1_000_000
 _MIX = np.uint32(0xC2B2AE35)
@@ -91,70 +92,105 @@ def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of the benchmark, and where each q-gram stands in them."""
+    """The benchmark's items, their windows, and where each q-gram stands in the items."""
 
+    text: np.ndarray  # all items' code points, one after the other
     items: np.ndarray  # item_id by window
-    points: np.ndarray  # all windows' code points, window after window, WINDOW each, padded with 0
+    starts: np.ndarray  # of windows, in ``text``
     lengths: np.ndarray
     edits: np.ndarray  # allowed, by window
     bound: np.ndarray  # shared q-grams needed, by window
     band: int
+    reach: int  # characters of the longest window and of a band
     grams: np.ndarray  # sorted distinct hashes
-    first: np.ndarray  # of each gram in ``window`` and ``offset``
-    window: np.ndarray
-    offset: np.ndarray
+    first: np.ndarray  # of each gram in ``owner`` and ``place``
+    owner: np.ndarray  # item's number, by gram occurrence
+    place: np.ndarray  # of the gram in its item
+    series: list[Series]
     sieve: np.ndarray  # does a hash with these high bits occur?
     q: int
+    words: object  # automaton of short items, each between spaces; None without them
+    begin: np.ndarray  # of items, in ``text``
 
     @property
     def least(self) -> int:
         return int(self.bound.min()) if len(self.bound) else 1 << 30
 
 
-def _starts(n: int, window: int, stride: int) -> list[int]:
-    return [0] if n <= window else sorted({*range(0, n - window + 1, stride), n - window})
+@dataclass
+class Series:
+    """Windows of one width and stride, by item: the number of the first, how many, and where the last starts."""
+
+    width: int
+    stride: int
+    first: np.ndarray
+    count: np.ndarray
+    last: np.ndarray
+
+    def covering(self, item: np.ndarray, place: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least window that holds the q-gram at each place, and how many from it on do. An item's windows start each
+        stride, the last one at the item's end."""
+        low = np.maximum(0, -(-(place - (self.width - q)) // self.stride))
+        high = np.where(place >= self.last[item], self.count[item] - 1, np.minimum(place // self.stride, self.count[item] - 1))
+        return self.first[item] + np.minimum(low, self.count[item] - 1), np.where(self.count[item] > 0, np.maximum(high - np.minimum(low, high) + 1, 0), 0)
+
+
+def _starts(n: int, window: int, stride: int) -> np.ndarray:
+    return np.zeros(1, dtype=np.int64) if n <= window else np.append(np.arange(0, n - window, stride, dtype=np.int64), n - window)
 
 
-def build(items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = EDIT_RATE, least_item: int = LEAST_ITEM, short: int = SHORT, short_stride: int = SHORT_STRIDE, short_edits: int = SHORT_EDITS) -> Index:
+def build(items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = EDIT_RATE, short_item: int = SHORT_ITEM, short: int = SHORT, short_stride: int = SHORT_STRIDE, short_edits: int = SHORT_EDITS) -> Index:
     """Index the windows of (item_id, text). Items that are equal when normalised are known by their smallest id."""
     own: dict[bytes, int] = {}
     for item, text in items:
         key = normalise(text_or_empty(text)).tobytes()
         own[key] = min(item, own.get(key, item))
-    ids, rows, lengths, allowed, hashes, offs = [], [], [], [], [], []
-    for key, item in own.items():
-        points = np.frombuffer(key, dtype=np.uint32)
-        n = len(points)
-        if n < least_item:
-            continue
-        grams_of = gram_hashes(points, q)
-        cuts = [(s, min(n, window), int(min(n, window) * rate)) for s in _starts(n, window, stride)]
-        if n > short and short < window:
-            cuts += [(s, short, short_edits) for s in _starts(n, short, short_stride)]
-        for s, size, most in cuts:
-            ids.append(item)
-            rows.append(np.pad(points[s : s + size], (0, window - size)))
-            lengths.append(size)
-            allowed.append(most)
-            hashes.append(grams_of[s : s + size - q + 1])
-            offs.append(np.arange(len(hashes[-1]), dtype=np.int32))
-    lengths_a = np.array(lengths, dtype=np.int64)
+    brief = {key: item for key, item in own.items() if 0 < len(key) // 4 < max(short_item, q)}
+    words = None
+    if brief:
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for key, item in brief.items():
+            words.add_word(f" {key.decode('utf-32-le', 'surrogatepass')} ", (item, len(key) // 4))
+        words.make_automaton()
+    known = [(item, np.frombuffer(key, dtype=np.uint32)) for key, item in own.items() if len(key) // 4 >= max(short_item, q)]
+    begin = np.cumsum([0] + [len(p) for _, p in known])
+    ids, starts, lengths, allowed, series = [], [], [], [], []
+    total = 0
+    for width, step, most in ((window, stride, None), (short, short_stride, short_edits)):
+        first, count, last = [], [], []
+        for (item, points), at in zip(known, begin, strict=False):
+            n = len(points)
+            cuts = _starts(n, width, step) if most is None or width < min(n, window) else np.empty(0, dtype=np.int64)
+            size = min(n, width)
+            first.append(total), count.append(len(cuts)), last.append(n - size)
+            total += len(cuts)
+            ids.append(np.full(len(cuts), item, dtype=np.int64))
+            starts.append(cuts + at)
+            lengths.append(np.full(len(cuts), size))
+            allowed.append(np.full(len(cuts), int(size * rate) if most is None else most))
+        series.append(Series(width, step, *(np.array(x, dtype=np.int64) for x in (first, count, last))))
+    flat = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
+    lengths_a = flat(lengths)
     # As many edits as are allowed, but no more than leave the lemma a bound above zero.
-    edits = np.minimum(np.array(allowed, dtype=np.int64), np.maximum((lengths_a - 1) // q - 1, 0))
+    edits = np.minimum(flat(allowed), np.maximum((lengths_a - 1) // q - 1, 0))
     bound = lengths_a + 1 - q * (edits + 1)
-    points = np.array(rows, dtype=np.uint32).reshape(-1, window)
-    wins = [np.full(len(x), w, dtype=np.int32) for w, x in enumerate(hashes)]
+    hashes = [gram_hashes(p, q) for _, p in known]
     h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint32)
     order = np.argsort(h, kind="stable")
-    grams, first = np.unique(h[order], return_index=True)
+    grams, first_of = np.unique(h[order], return_index=True)
     sieve = np.zeros(1 << 22, dtype=bool)
     sieve[grams >> np.uint32(10)] = True
-    flat = lambda x: (np.concatenate(x) if x else np.empty(0, dtype=np.int64))[order].astype(np.int32)
-    return Index(np.array(ids, dtype=np.int64), points, lengths_a, edits, bound, int(edits.max(initial=0)) + 1, grams, np.append(first, len(h)).astype(np.int64), flat(wins), flat(offs), sieve, q)
+    owner = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(x) for x in hashes])
+    place = np.arange(len(h), dtype=np.int64) - np.repeat(np.cumsum([0, *map(len, hashes)])[:-1], [len(x) for x in hashes]) if hashes else np.empty(0)
+    text = np.concatenate([p for _, p in known]) if known else np.empty(0, dtype=np.uint32)
+    band = int(edits.max(initial=0)) + 1
+    return Index(text, flat(ids), flat(starts), lengths_a, edits, bound, band, window + band, grams, np.append(first_of, len(h)).astype(np.int64), owner[order], place[order].astype(np.int32), series, sieve, q, words, begin)
 
 
 def candidates(points: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(window, lowest diagonal of a band) pairs that reach the lemma's bound in ``points``. Diagonal: place - offset."""
+    """(window, lowest diagonal of a band) pairs that reach the lemma's bound in ``points``. Diagonal: place - offset in the window."""
     none = np.empty(0, dtype=np.int64)
     h = gram_hashes(points, index.q)
     at = np.flatnonzero(index.sieve[h >> np.uint32(10)])
@@ -165,8 +201,7 @@ def candidates(points: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray
     real = index.grams[place] == h[at]
     at, place = at[real], place[real]
     # A first sieve on counts alone: a stretch as long as a window and its edits has the least bound of hits.
-    reach = index.points.shape[1] + index.band
-    least = index.least
+    reach, least = index.reach, index.least
     if len(at) < least:
         return none, none
     full = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] <= reach)
@@ -184,21 +219,25 @@ def candidates(points: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray
     ends = np.cumsum(many)
     begin = 0
     while begin < len(at):
-        stop = max(int(np.searchsorted(ends, ends[begin] + 2_000_000)), begin + 1)
+        stop = max(int(np.searchsorted(ends, ends[begin] + 100_000)), begin + 1)
         stop = min(len(at), max(stop, int(np.searchsorted(at, at[begin] + 2 * reach))))
         p, g, m = at[begin:stop], place[begin:stop], many[begin:stop]
-        start = np.repeat(index.first[g] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))
-        win, place_in = index.window[start].astype(np.int64), np.repeat(p, m)
-        diagonal = place_in - index.offset[start] + reach
-        for shift in (0, 1):  # two sets of bands of two widths each, overlapping by one
-            band = (diagonal // width + shift) // 2
-            key = (win * 2 + shift) * (span // width + 3) + band
-            kinds, back, count = np.unique(key, return_inverse=True, return_counts=True)
-            enough = count[back] >= index.bound[win]
-            if enough.any():
-                k, one = np.unique(key[enough], return_index=True)
-                found_w.append(win[enough][one])
-                found_b.append((band[enough][one] * 2 - shift) * width - reach)
+        start = _spread(index.first[g], m)
+        item, offset, hit = index.owner[start].astype(np.int64), index.place[start].astype(np.int64), np.repeat(p, m)
+        for series in index.series:
+            low, n = series.covering(item, offset, index.q)
+            win = _spread(low, n)
+            # place in the document, less the gram's offset in the window
+            diagonal = np.repeat(hit - offset - index.begin[item], n) + index.starts[win] + reach
+            for shift in (0, 1):  # two sets of bands of two widths each, overlapping by one
+                band = (diagonal // width + shift) // 2
+                key = (win * 2 + shift) * (span // width + 3) + band
+                kinds, back, count = np.unique(key, return_inverse=True, return_counts=True)
+                enough = count[back] >= index.bound[win]
+                if enough.any():
+                    k, one = np.unique(key[enough], return_index=True)
+                    found_w.append(win[enough][one])
+                    found_b.append((band[enough][one] * 2 - shift) * width - reach)
         if stop == len(at):
             break
         begin = max(begin + 1, int(np.searchsorted(at, at[stop - 1] - reach)))
@@ -208,13 +247,19 @@ def candidates(points: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray
     return both[0], both[1]
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n of them, for each."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+
+
 def align(points: np.ndarray, index: Index, windows: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edits between each window and any part of ``points`` inside its band, and where that part ends.
 
     All candidates are aligned at once, row by row of the windows; a cell is a window place and a diagonal of the band.
     """
     n, wide = len(windows), 2 * index.band + 1
-    rows, lengths = index.points[windows], index.lengths[windows]
+    lengths = index.lengths[windows]
+    rows = index.text[np.minimum(index.starts[windows][:, None] + np.arange(int(lengths.max())), len(index.text) - 1)]
     steps = np.arange(wide)
     big = 1 << 20
     cost = np.where((low[:, None] + steps >= 0) & (low[:, None] + steps <= len(points)), 0, big).astype(np.int64)
@@ -238,16 +283,23 @@ def align(points: np.ndarray, index: Index, windows: np.ndarray, low: np.ndarray
 def matches(points: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(item_id, start, end, windows, edits) of the benchmark parts in one normalised document; ends are exclusive."""
     found: dict[int, list[tuple[int, int, int, int]]] = {}
-    reach = index.points.shape[1] + 3 * index.band
     for piece in range(0, max(1, len(points)), PIECE):
-        part = points[max(0, piece - reach) : piece + PIECE]
+        from_ = max(0, piece - index.reach - 2 * index.band)
+        part = points[from_ : piece + PIECE]
         windows, low = candidates(part, index)
         for at in range(0, len(windows), 5000):
             w, lo = windows[at : at + 5000], low[at : at + 5000]
             edits, end = align(part, index, w, lo)
             for j in np.flatnonzero(edits <= index.edits[w]):
-                stop = int(end[j]) + max(0, piece - reach)
+                stop = int(end[j]) + from_
                 found.setdefault(int(index.items[w[j]]), []).append((max(0, stop - int(index.lengths[w[j]])), stop, int(w[j]), int(edits[j])))
+        if index.words is not None:
+            text = f" {part.tobytes().decode('utf-32-le', 'surrogatepass')} "
+            for end, (item, n) in index.words.iter(text):
+                # The piece's own ends are ends of words only where the document's are, or a space is.
+                stop = from_ + end - 1
+                if (stop == len(points) or points[stop] == 32) and (stop == n or points[stop - n - 1] == 32):
+                    found.setdefault(item, []).append((stop - n, stop, -1, 0))
     out = []
     for item, spans in found.items():
         spans.sort()
@@ -264,11 +316,11 @@ def matches(points: np.ndarray, index: Index) -> list[tuple[int, int, int, int,
 
 
 def _passes(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, in parts of about ``most`` characters. One part at a time is on the driver."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    """The benchmark's distinct texts with their smallest id, in parts of about ``most`` characters. One part at a time is on the driver."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id"))
     parts = -(-int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // most)
     for k in range(parts):
-        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()]
+        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).select("item_id", "text").collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS, **how: object) -> DataFrame:
@@ -276,8 +328,10 @@ def find(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS, **
 
     ``start`` and ``end`` are code points of the text. A document holds an item if one of the item's windows (of
     WINDOW characters, each STRIDE; the whole item if shorter) is within EDIT_RATE edits of a part of it, or one of
-    SHORT characters, each SHORT_STRIDE, within SHORT_EDITS, both normalised. Null and empty texts and items match nothing, as do items under LEAST_ITEM characters. Equal items
-    are reported under their smallest id. Repeated documents are reported each.
+    SHORT characters, each SHORT_STRIDE, within SHORT_EDITS, both normalised. Items under SHORT_ITEM normalised
+    characters must occur as they are, as whole words. Null and empty texts match nothing, nor do items without a letter
+    or digit. Equal items are reported under their smallest id; an item that occurs in several places of a document has
+    a row for each. Repeated documents are reported each; empty tables give no rows. Other columns aren't read.
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, start long, end long, n_windows int, edits int"
@@ -309,13 +363,16 @@ def _is_clean(index):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, pass_chars: int = PASS_CHARS, **how: object) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no benchmark passage."""
+    """Rows of ``docs``, all columns whatever they are called, that hold no benchmark passage as ``find`` looks for it.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty benchmark leaves all rows.
+    """
     for items in _passes(benchmark, pass_chars):
         index = docs.sparkSession.sparkContext.broadcast(build(items, **how))
-
         docs = docs.where(_is_clean(index)(F.col("text")))
     return docs
 
 
 def op1_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, end, n_windows, edits of every passage; nulls, ties, repeats and empty tables: as ``find`` says."""
     return find(docs, benchmark)
