@@ -1,17 +1,19 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 A tokenizer's vocabulary holds the pieces of ordinary words, so a random string needs many tokens for its length.
-Runs of key characters are tokenised; runs of few characters per token are reported as kind ``random``, after known
-digests (whole hexadecimal digests, UUIDs, integrity hashes), identifiers made of words, numbers and dates are
-left out. Tokenising is done for candidate runs only.
+Runs of 16 or more key characters, with or without digits, are tokenised; runs of few characters per token are reported
+as kind ``random``, after known digests (whole hexadecimal digests, UUIDs, integrity hashes), identifiers made of words,
+numbers and dates are left out. Words of one case, and short runs, must be still less efficient.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,18 +30,22 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-LEAST_RUN = 20
-#: Characters per token: random base-62 strings come near 1.5, prose and identifiers over 2.5.
+LEAST_RUN, LONG_RUN = 16, 20
+#: Characters per token up to which a run is random. Random strings of digits and both cases come near 1.3, of one case
+#: near 1.65; prose and identifiers of LONG_RUN characters come over 2.2, shorter ones over 1.8 but for a few.
 MOST_PER_TOKEN = 2.2
-RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+MOST_SHORT, MOST_ONE_CASE, MOST_SHORT_ONE_CASE = 1.75, 1.95, 1.5
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+#: Letters of one case, a capital in front or not: an unknown word or a random string of a small alphabet.
+ONE_CASE = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: Hexadecimal lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _INTEGRITY = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 _NUMERIC = re.compile(r"[0-9_+/=.TZ-]+")
 _HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
-#: Word pieces: letters of one case (or capitalised), numbers of up to four digits, version marks.
-_IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}|v[0-9]+|[a-zA-Z])(?:[_/+=-]+|(?=[A-Z0-9])|(?<=[0-9])(?=[a-z])|$)")
+#: A part of an identifier: letters of one case (or capitalised) up to a capital; or letters, a number of up to four digits or both, up to a separator or the end.
+_IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[a-zA-Z])(?=[A-Z])|(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,4}(?:[_/+=-]+|$)")
 
 
 @lru_cache(maxsize=2)
@@ -51,25 +57,27 @@ def _encoder(vocabulary: bytes):
 
 
 def is_known(run: str) -> bool:
-    """A digest, UUID, number, date or an identifier put together from words: no secret."""
+    """A digest, UUID, number, date or an identifier put together from several words: no secret."""
     if _NUMERIC.fullmatch(run) or _UUID.fullmatch(run) or _INTEGRITY.fullmatch(run):
         return True
     if _HEXADECIMAL.fullmatch(run) and len(run) in DIGESTS:
         return True
-    at = pieces = 0
-    letters = 0
+    if ONE_CASE.fullmatch(run):
+        return False
+    at = letters = pieces = 0
     while at < len(run):
         m = _IDENTIFIER.match(run, at)
         if not m or m.end() == at:
             return False
-        pieces += 1
-        letters += sum(c.isalpha() for c in m[0])
+        own = sum(c.isalpha() for c in m[0])
+        pieces += own > 0
+        letters += own
         at = m.end()
-    return letters >= 4 * pieces / 1.6  # words of some length on the whole
+    return letters >= 3 * pieces  # words of some length on the whole
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """The fixed patterns' spans as (start, kind's place, end ...), leftmost and not overlapping within a kind."""
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """The fixed patterns' spans as (start, kind's place, end), leftmost and not overlapping within a kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -80,11 +88,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def random_spans(text: str, encode, base: list[tuple[int, int, int]], most_per_token: float = MOST_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Runs that the tokenizer compresses badly, apart from those inside a base span."""
     out = []
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # the furthest end of the spans up to each
     for m in RUN.finditer(text):
-        run = m[0]
-        if any(s <= m.start() and m.end() <= e for s, _, e in base) or is_known(run):
+        run, before = m[0], bisect_right(starts, m.start())
+        if before and m.end() <= reach[before - 1] or is_known(run):
             continue
-        if len(run) / len(encode(run)) <= most_per_token:
+        one, long = bool(ONE_CASE.fullmatch(run)), len(run) >= LONG_RUN
+        most = min(most_per_token, (MOST_ONE_CASE if one else most_per_token) if long else (MOST_SHORT_ONE_CASE if one else MOST_SHORT))
+        if len(run) / len(encode(run)) <= most:
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -96,7 +108,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY, most_per_token: float = MOST_PER_TOKEN) -> DataFrame:
     """doc_id, spans: array of (kind, start, end, secret) in code points, end exclusive, ordered by start then kind.
 
-    Null and empty texts have none. Every row is scanned over its whole text.
+    Null and empty texts have none. Every row is scanned over its whole text; repeated rows give repeated results, an
+    empty table gives none. Spans of several kinds may start at one place. Other columns aren't read. ``vocabulary`` is a
+    file of token bytes (base 64) and ranks on the driver.
     """
     with open(vocabulary, "rb") as f:  # read on the driver, so that executors need no copy of the file
         content = f.read(MAX_VOCABULARY + 1)
@@ -118,6 +132,7 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, most_per_token: float =
 
 
 def op2_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, counts by kind, base_sha256 and spans of every row; nulls, ties, repeats and empty tables: as ``scan`` says."""
     found = scan(docs, vocabulary)
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"] != "random")
