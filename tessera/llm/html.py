@@ -1,15 +1,19 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks of text at block-level tags. First pass: where a block stands (menu, footer, form, an
-element named as an advert ...), its share of link text, its length and its share of stop words decide it, or leave
-it open. Second pass: an open block takes the label of the nearest decided blocks before and after it.
+A page is cut into blocks of text at block-level tags. Parts that the page itself declares as something else (menus,
+footers, forms, elements named as adverts or comments) are set aside. First pass over the rest: the share of link text,
+the length and the share of stop words decide a block or leave it open. Second pass: an open block takes the label of
+the nearest decided blocks before and after it. ``article`` and ``main`` are no decision, only where neighbours are looked for and what
+holds without any.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ STOP_WORDS = frozenset(
     "al como con cuando del donde el ella entre era es esta este fue ha la las lo los más muy ni no o para pero por que se si sin sobre su sus también una uno y ya".split()
 )
 #: Elements whose text is never main text, and those whose content isn't markup.
-OUTSIDE = frozenset("nav header footer aside form head title button select option textarea label dialog menu noscript template iframe object svg canvas figure-nav".split())
+OUTSIDE = frozenset("nav header footer aside form head title button select option textarea label dialog menu noscript template iframe object svg canvas".split())
 RAW = frozenset("script style textarea title template noscript iframe svg xmp".split())
 #: Elements that begin and end blocks.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
@@ -34,12 +38,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright dialog disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion recommended related reply replies share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Of these, the words which mark reader comments; they count for an ``article`` element too, as whole class names.
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+#: Beginnings of class names that say something about a layout ("with-sidebar"), and elements that hold it.
+ABOUT = ("with", "has", "no", "without", "not", "is")
+LAYOUT = frozenset("html body main article".split())
+#: Elements that may stand in the head.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: Elements that a next one of the same group ends.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 MAX_LINKS = 0.5
 SHORT_CHARS = 80
 LONG_CHARS = 200
 STOP_LOW, STOP_HIGH = 0.08, 0.25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_ATTRIBUTES = r"""(?:[\s/]++(?:[^\s=>/"'][^\s=>/]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)?+)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:({_ATTRIBUTES})\s*+>|([^>]*+)>)|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -47,45 +61,72 @@ _WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, OPEN = 1, 0, 2
 
 
-def marked(attributes: str) -> bool:
-    """Do the attributes name a part that isn't the article?"""
+def marked(name: str, attributes: str) -> bool:
+    """Do the attributes name a part that isn't the article? An element that holds the layout is judged by whole names for comments only."""
     if not attributes:
         return False
     for value in _NAMED.findall(attributes):
-        if MARKS.intersection(re.split(r"[^a-z]+", value.lower())):
-            return True
+        for token in value.strip("\"'").lower().split():
+            words = re.split(r"[^a-z]+", token)
+            if name in LAYOUT:
+                if name == "article" and token in COMMENTS:
+                    return True
+            elif words[0] not in ABOUT and MARKS.intersection(words):
+                return True
     return bool(_HIDDEN.search(attributes))
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
-    """(text, stands outside the article, stands in an article or main element, share of link text) in page order."""
-    found: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, outside, inside
+@dataclass
+class Block:
+    text: str
+    aside: bool  # in a part that the page declares as something else
+    home: int  # number of the article or main element that it stands in, 0 for none
+    links: float  # share of link text
+    label: int = OPEN
+    by: str = ""  # what decided: aside, links, stop words, neighbours, home
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks of text in order."""
+    found: list[Block] = []
+    stack: list[tuple[str, bool, int]] = []  # element, aside, article
+    depth: Counter[str] = Counter()  # open elements by name, so that a stray end tag needs no search
     pieces: list[tuple[str, bool]] = []
-    links = 0
+    links = homes = 0
+    mute: list = []  # a marked inline element: its name, how many of that name are open, blocks around it
 
     def close() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(x for x, _ in pieces)).split())
             if text:
-                linked = sum(len(x.strip()) for x, link in pieces if link)
-                outside, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                found.append((text, outside, inside, linked / max(1, sum(len(x.strip()) for x, _ in pieces))))
+                linked, whole = sum(len(x.strip()) for x, link in pieces if link), sum(len(x.strip()) for x, _ in pieces)
+                _, aside, home = stack[-1] if stack else ("", False, 0)
+                found.append(Block(text, aside, home, linked / max(1, whole)))
             pieces.clear()
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        depth[name] -= 1
+        if mute and len(stack) < mute[2]:
+            mute.clear()
+        return name
+
+    def say(text: str) -> None:
+        if not mute:
+            pieces.append((text, links > 0))
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
             rest = page[at:]
-            # a tag that the page's end cuts off is no text
-            cut = re.search(r"<[/!?a-zA-Z][^<]*\Z", rest)
-            pieces.append((rest[: cut.start()] if cut else rest, links > 0))
+            cut = re.search(r"<[/!?a-zA-Z][^<]*\Z", rest)  # a tag that the page's end cuts off is no text
+            say(rest[: cut.start()] if cut else rest)
             break
         if m.start() > at:
-            pieces.append((page[at : m.start()], links > 0))
+            say(page[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
+        name, attributes = (m[2] or "").lower(), m[3] or m[4] or ""
         if not name:
             continue
         if m[1]:  # an end tag
@@ -93,9 +134,13 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
                 links = max(0, links - 1)
             if name in BLOCKS:
                 close()
-                if any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
+                if depth[name]:
+                    while pop() != name:
                         pass
+            elif mute and name == mute[0]:
+                mute[1] -= 1
+                if not mute[1]:
+                    mute.clear()
             continue
         if name in RAW:
             if name in BLOCKS:
@@ -103,70 +148,106 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
+        if stack and stack[-1][0] == "head" and name not in HEAD:  # its end tag may be left out
+            close()
+            pop()
         if name in BLOCKS:
             close()
             links = 0
-            if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            if name not in VOID and not m[3].endswith("/"):
-                outer = stack[-1] if stack else ("", False, False)
-                inside = outer[2] or name in ("article", "main")
-                # a header inside the article holds its headline
-                out = outer[1] or (name in OUTSIDE and not (name == "header" and outer[2])) or marked(m[3])
-                stack.append((name, out, inside))
-        elif name == "a":
-            links += 1
+            if stack and (stack[-1][0] == "p" or stack[-1][0] in SIBLINGS.get(name, ())):
+                pop()
+            _, aside, home = stack[-1] if stack else ("", False, 0)
+            if name in ("article", "main") and not marked(name, attributes):
+                homes += 1
+                home = home or homes
+            # a header inside the article holds its headline
+            aside = aside or bool(mute) or (name in OUTSIDE and not (name == "header" and home)) or marked(name, attributes)
+            stack.append((name, aside, home))
+            depth[name] += 1
         elif name == "br":
-            pieces.append((" ", links > 0))
+            say(" ")
+        elif name not in VOID:
+            if name == "a":
+                links += 1
+            if mute:
+                mute[1] += name == mute[0]
+            elif not attributes.endswith("/") and marked(name, attributes):
+                mute[:] = [name, 1, len(stack)]
     close()
     return found
 
 
-def first_pass(text: str, outside: bool, inside: bool, links: float) -> int:
-    if outside or links > MAX_LINKS:
-        return BAD
-    if inside:
-        return GOOD
+def stop_share(text: str) -> float:
     words = _WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(text) >= LONG_CHARS:
-        return GOOD if stops >= STOP_LOW else OPEN
-    if len(text) >= SHORT_CHARS:
-        return GOOD if stops >= STOP_HIGH else OPEN if stops >= STOP_LOW else BAD
-    return OPEN
-
-
-def second_pass(labels: list[int]) -> list[int]:
-    """Open labels take those of the nearest decided neighbours; where the two differ, the nearer one, then the bad one."""
-    n, out = len(labels), list(labels)
-    before, last = [(-1, BAD)] * n, (-1, BAD)
-    for i, x in enumerate(labels):
-        before[i] = last
-        if x != OPEN:
-            last = (i, x)
-    after, last = [(-1, BAD)] * n, (-1, BAD)
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if labels[i] != OPEN:
-            last = (i, labels[i])
-    for i, x in enumerate(labels):
-        if x == OPEN:
-            (b, bx), (a, ax) = before[i], after[i]
-            near_b, near_a = (i - b if b >= 0 else 1 << 60), (a - i if a >= 0 else 1 << 60)
-            out[i] = bx if bx == ax or near_b < near_a else ax if near_a < near_b else BAD
-    return out
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def main_text(page: str) -> str:
+def first_pass(block: Block) -> tuple[int, str]:
+    """Label and reason. In an article a lack of stop words leaves a block open; elsewhere it speaks against it."""
+    if block.aside:
+        return BAD, "aside"
+    if block.links > MAX_LINKS:
+        return BAD, "links"
+    n, stops = len(block.text), stop_share(block.text)
+    if n >= LONG_CHARS and stops >= STOP_LOW or n >= SHORT_CHARS and stops >= STOP_HIGH:
+        return GOOD, "stop words"
+    if SHORT_CHARS <= n < LONG_CHARS and stops < STOP_LOW and not block.home:
+        return BAD, "stop words"
+    return OPEN, ""
+
+
+def second_pass(found: list[Block]) -> None:
+    """Open blocks take the label of the nearest decided neighbours in the same article, or outside all of them. Where the two differ, the nearer one
+    counts, at equal distance the good one in an article and the bad one elsewhere; without any, an article's block is good.
+    Parts set aside aren't neighbours."""
+    by_home: dict[int, list[Block]] = {}
+    for b in found:
+        if not b.aside:
+            by_home.setdefault(b.home, []).append(b)
+    for home, own in by_home.items():
+        labels, n = [b.label for b in own], len(own)
+        before, after = [None] * n, [None] * n
+        last = None
+        for i in range(n):
+            before[i] = last
+            last = i if labels[i] != OPEN else last
+        last = None
+        for i in range(n - 1, -1, -1):
+            after[i] = last
+            last = i if labels[i] != OPEN else last
+        for i, block in enumerate(own):
+            if labels[i] == OPEN:
+                near = sorted((abs(i - j), labels[j] != (GOOD if home else BAD), labels[j]) for j in (before[i], after[i]) if j is not None)
+                block.label, block.by = (near[0][2], "neighbours") if near else (GOOD if home else BAD, "home")
+
+
+def classify(page: str) -> list[Block]:
+    """The page's blocks with their labels and what decided them."""
     found = blocks(page)
-    labels = second_pass([first_pass(*b) for b in found])
-    return "\n".join(b[0] for b, keep in zip(found, labels, strict=True) if keep == GOOD)
+    for b in found:
+        b.label, b.by = first_pass(b)
+    rest = [b for b in found if not b.aside]
+    if not any(b.home for b in rest) and all(b.label != GOOD for b in rest):
+        for b in rest:  # no article, and no language that the stop words know: length alone
+            if len(b.text) >= LONG_CHARS and b.label == OPEN:
+                b.label, b.by = GOOD, "length"
+    second_pass(found)
+    if any(b.home and b.label == GOOD for b in found):
+        for b in rest:  # where there is an article, text outside is something else
+            if not b.home and b.label == GOOD:
+                b.label, b.by = BAD, "home"
+    return found
+
+
+def main_text(page: str) -> str:
+    return "\n".join(b.text for b in classify(page) if b.label == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row. A null, empty or text-free page has an empty text.
 
-    The whole page is read, however long; nothing is capped. Rows that repeat give repeated results.
+    The whole page is read, however long; nothing is capped. Rows that repeat give repeated results, an empty table gives
+    none. Only page_id, url and html are read, whatever else the table has.
     """
     kinds = dict(pages.dtypes)
 
@@ -179,4 +260,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op8_html_extraction(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every row; nulls, repeats and empty tables: as ``extract`` says."""
     return extract(pages)
