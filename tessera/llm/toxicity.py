@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
 Many voters, each a lexicon or a pattern, vote toxic, clean or nothing on a document. A generative label model
-estimates each voter's accuracy by expectation maximisation, and how strongly voters depend on each other beyond the
-label; voters that repeat each other share one vote's weight. Its posterior labels train a linear classifier on the
-lexicon hits, which scores documents.
+estimates, without looking at labels, how often each voter votes what in toxic and in clean documents and how voters
+depend on each other beyond the label: each voter's vote is drawn given the label and the vote of the one other voter
+that it depends on most. Its posterior labels train a linear classifier on the lexicon hits, which scores documents.
 
-Lexicons: a fixed list of insults, and lexicons of words and word beginnings mined from labelled training rows, so that
-languages without a list are covered.
+Lexicons: a fixed list of insults, and lexicons of words and word beginnings that are more frequent in toxic training
+rows, so that languages without a list are covered. They are of several strengths: the weak ones hold words that clean
+documents use as well, and what their votes are worth is for the label model to find out.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ THRESHOLD = 0.5
 #: English insults.
 INSULTS = frozenset("bastard bitch bullshit clown creep cretin damn degenerate disgusting dumb dumbass fool freak garbage idiot idiotic imbecile jerk liar loser lowlife moron moronic parasite pathetic pig scum scumbag shit stupid trash vermin worthless".split())
 PREFIXES = (3, 4, 5, 6)
-GROUPS = 4  # mined lexicons of each length, so that voters differ
+GROUPS = 2  # mined lexicons of each length and strength, so that voters differ
 LEAST_DOCS = 5
-#: Toxic documents with a key for each clean one, at least.
-MOST_CLEAN = 50
-MAX_LEXICON = 4000
+#: Lexicon strengths: how many times as frequent a key is in toxic rows as in clean ones, at least.
+STRENGTHS = (40.0, 8.0, 3.0)
+#: Mutual information of two voters' votes within a label from which their dependence is modelled.
+LEAST_DEPENDENCE = 0.002
 #: Words, and characters of a word, whose lookups a task keeps; beyond them it looks up again.
 MET_WORDS, MET_CHARS = 200_000, 40
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,10 +51,11 @@ def keys_of(text: str) -> set[tuple[int, str]]:
     return out
 
 
-def mine(rows: DataFrame, least_docs: int = LEAST_DOCS, most: int = MAX_LEXICON) -> pd.DataFrame:
-    """(kind, key, toxic, clean): document frequencies of keys that training rows (text, y) show as mostly toxic.
+def mine(rows: DataFrame, least_docs: int = LEAST_DOCS) -> pd.DataFrame:
+    """(kind, key, strength): keys that are more frequent in toxic than in clean training rows (text, y), by class of STRENGTHS.
 
-    Frequencies are added up in Spark over all training rows; the ``most`` strongest keys are kept.
+    Frequencies are added up in Spark over all training rows and every key that reaches the least strength is kept:
+    no more than the training rows, a bounded number, hold in ``least_docs`` documents each.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,22 +67,30 @@ def mine(rows: DataFrame, least_docs: int = LEAST_DOCS, most: int = MAX_LEXICON)
             if keys:
                 yield pd.DataFrame({"kind": [k for k, _ in keys], "key": [w for _, w in keys], "toxic": [tox[k] for k in keys], "clean": [clean[k] for k in keys]})
 
+    n = rows.groupBy("y").count().collect()
+    n_toxic, n_clean = (max(1, sum(r["count"] for r in n if r["y"] == y)) for y in (1, 0))
     counts = rows.mapInPandas(run, "kind int, key string, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Precise keys only: near copies of one toxic document carry its other words along, which clean documents hold too.
-    precise = F.col("clean") * MOST_CLEAN <= F.col("toxic")
-    strong = counts.where((F.col("toxic") >= least_docs) & precise)
-    return strong.orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "kind", "key").limit(most).toPandas()
+    # One more clean document than seen, so that a rare key isn't taken for a sure one.
+    lift = F.col("toxic") / n_toxic / ((F.col("clean") + 1) / (n_clean + 1))
+    strength = F.size(F.filter(F.array(*[F.lit(x) for x in STRENGTHS]), lambda x: x > lift))
+    strong = counts.where((F.col("toxic") >= least_docs) & (lift >= STRENGTHS[-1])).select("kind", "key", strength.alias("strength"))
+    return strong.toPandas().sort_values(["kind", "key"], ignore_index=True)
 
 
 @dataclass
 class Voters:
-    """Lexicons by name: key -> voters that hold it. The first is the fixed list."""
+    """Lexicons by name: key -> the voter that holds it. The first is the fixed list."""
 
     names: list[str]
     of_key: dict[tuple[int, str], int]  # the voter of a key
     index: dict[tuple[int, str], int]  # its column in the classifier
+    strong: list[bool]  # by voter: is it of the first strength, or fixed?
     met: dict[str, tuple[tuple[int, int], ...]] = field(default_factory=dict)  # words looked up before, by task
 
+    def trusted(self) -> np.ndarray:
+        """By vote: does it come from strong lexicons only?"""
+        return np.array([*self.strong, True, True, True, True])
+
     def word_hits(self, word: str) -> tuple[tuple[int, int], ...]:
         """(voter, column) of each lexicon that holds the word or its beginning; the fixed list has no column (-1)."""
         found = [(0, -1)] if word in INSULTS else []
@@ -109,17 +120,17 @@ class Voters:
         return by_voter, columns, counts.total()
 
     def votes(self, by_voter: Counter, words: int) -> np.ndarray:
-        """One vote of each lexicon, then of the patterns: several hits, dense hits, no hit, no hit in a long text."""
+        """One vote of each lexicon, then of the patterns: hits of several lexicons, dense hits of strong ones, no hit of a strong one, none in a long text."""
         n = len(self.names)
         out = np.full(n + 4, SILENT, dtype=np.int8)
         for i in by_voter:
             out[i] = TOXIC
-        total = sum(by_voter.values())
-        if total >= 2:
+        strong = sum(c for i, c in by_voter.items() if self.strong[i])
+        if sum(self.strong[i] for i in by_voter) >= 2:
             out[n] = TOXIC
-        if total and total >= 0.01 * words:
+        if strong and strong >= 0.01 * words:
             out[n + 1] = TOXIC
-        if not total:
+        if not strong:
             out[n + 2] = CLEAN
             if words >= 50:
                 out[n + 3] = CLEAN
@@ -127,51 +138,82 @@ class Voters:
 
 
 def make_voters(lexicon: pd.DataFrame) -> Voters:
-    names, of_key, index = ["insults"], {}, {}
-    place: dict[tuple[int, int], int] = {}
-    for kind, key in zip(lexicon["kind"].tolist(), lexicon["key"].tolist(), strict=True):
-        group = (kind, zlib.crc32(key.encode()) % GROUPS)
+    names, of_key, index, strong = ["insults"], {}, {}, [True]
+    place: dict[tuple[int, int, int], int] = {}
+    for kind, key, strength in zip(lexicon["kind"].tolist(), lexicon["key"].tolist(), lexicon["strength"].tolist(), strict=True):
+        group = (kind, strength, zlib.crc32(key.encode()) % GROUPS)
         if group not in place:
             place[group] = len(names)
-            names.append(f"mined-{kind}-{group[1]}")
+            names.append("mined-{}-{}-{}".format(*group))
+            strong.append(strength == 0)
         of_key[(kind, key)] = place[group]
         index[(kind, key)] = len(index)
-    return Voters(names, of_key, index)
-
+    return Voters(names, of_key, index, strong)
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior toxic probability by row, accuracy by voter and class, and weight by voter.
 
-    Expectation maximisation over P(vote | label), started from voters that are right more often than not. After a
-    first fit, the correlation of two voters' votes within each label shows dependence; a voter's weight is one over
-    the sum of its squared correlations, so that a clique of equal voters weighs as one.
+@dataclass
+class LabelModel:
+    """P(vote | label, the parent's vote) for each voter; a voter without a parent has the root, which always says 0."""
+
+    prior: float
+    parent: np.ndarray  # by voter, -1: none
+    chance: np.ndarray  # label, voter, parent's vote, vote
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        state = votes + 1
+        above = np.where(self.parent >= 0, state[:, self.parent], 0)
+        at = np.arange(votes.shape[1])
+        z = np.log(self.chance[1, at, above, state] / self.chance[0, at, above, state]).sum(axis=1)
+        return _logistic(np.log(self.prior / (1 - self.prior)) + z)
+
+
+def _parents(one_hot: np.ndarray, p: np.ndarray, m: int) -> np.ndarray:
+    """For each voter the voter that it depends on most within the labels: a forest of the largest conditional mutual information."""
+    info = np.zeros((m, m))
+    for q in (p, 1 - p):
+        joint = ((one_hot * q[:, None]).T @ one_hot / max(q.sum(), 1e-9)).reshape(m, 3, m, 3).transpose(0, 2, 1, 3)
+        alone = np.einsum("iiaa->ia", joint)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = joint * np.log(joint / (alone[:, None, :, None] * alone[None, :, None, :]))
+        info += q.mean() * np.nan_to_num(part).sum(axis=(2, 3))
+    np.fill_diagonal(info, 0)
+    parent, inside = np.full(m, -1), np.zeros(m, dtype=bool)
+    best, via = np.zeros(m), np.full(m, -1)
+    for _ in range(m):  # a maximal spanning forest, grown voter by voter
+        v = int(np.where(inside, -1, best).argmax())
+        inside[v] = True
+        parent[v] = via[v] if best[v] >= LEAST_DEPENDENCE else -1
+        closer = ~inside & (info[v] > best)
+        best[closer], via[closer] = info[v][closer], v
+    return parent
+
+
+def label_model(votes: np.ndarray, prior: float, trusted: np.ndarray | None = None, rounds: int = 40, dependent: bool = True) -> LabelModel:
+    """Expectation maximisation over P(votes | label), started from the majority of the ``trusted`` voters (all, if not given).
+
+    Each voter gets the parent that it depends on most within the labels, as they are known half-way.
+    ``dependent=False`` leaves these pairs out.
     """
     n, m = votes.shape
     prior = min(max(prior, 1e-3), 0.5)
-    toxic, clean = votes == TOXIC, votes == CLEAN
-    weight = np.ones(m)
-    p = np.clip(prior + 0.6 * toxic.any(1) - 0.6 * (clean.any(1) & ~toxic.any(1)), 0.02, 0.98)
-    chance = np.zeros((2, 3, m))
+    state, at = votes + 1, np.arange(m)
+    one_hot = np.eye(3)[state].reshape(n, 3 * m)
+    some = votes if trusted is None else votes[:, trusted]
+    said = (some == TOXIC).sum(axis=1) - (some == CLEAN).sum(axis=1)
+    p = np.where(said > 0, 0.9, 0.02)
+    model = LabelModel(prior, np.full(m, -1), np.full((2, m, 3, 3), 1 / 3))
     for step in range(rounds):
+        if dependent and step == rounds // 2:
+            model.parent = _parents(one_hot, p, m)
+        above = np.where(model.parent >= 0, state[:, model.parent], 0)
+        cell = (at * 3 + above) * 3 + state
         for y, q in ((1, p), (0, 1 - p)):
-            total = q.sum() + 3.0
-            chance[y, 0], chance[y, 1] = (q @ toxic + 1) / total, (q @ clean + 1) / total
-            chance[y, 2] = np.maximum(1 - chance[y, 0] - chance[y, 1], 1e-6)
-        if step == rounds // 2:
-            dependence = np.zeros((m, m))
-            signed = toxic.astype(float) - clean
-            for q in (p, 1 - p):
-                w = q / max(q.sum(), 1e-9)
-                mean = w @ signed
-                cov = (signed * w[:, None]).T @ signed - np.outer(mean, mean)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                dependence = np.maximum(dependence, np.where(np.minimum.outer(sd, sd) > 1e-3, np.abs(cov / np.outer(sd, sd)), 0))
-            np.fill_diagonal(dependence, 1)
-            weight = 1 / (dependence**2).sum(1)
-        ratio = np.log(chance[1] / chance[0])
-        z = np.log(prior / (1 - prior)) + toxic @ (weight * ratio[0]) + clean @ (weight * ratio[1])
-        p = _logistic(z)
-    return p, chance, weight
+            counts = np.bincount(cell.ravel(), np.repeat(q, m), 9 * m).reshape(m, 3, 3)
+            # An unseen pair of votes is as likely as the vote alone.
+            plain = (counts.sum(axis=1, keepdims=True) + 0.5) / (q.sum() + 1.5)
+            model.chance[y] = (counts + 2 * plain) / (counts.sum(axis=2, keepdims=True) + 2)
+        p = model.posterior(votes)
+    return model
 
 
 @dataclass
@@ -232,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         by_vote = np.zeros(m)
         by_vote[0] = 4.0
         return LinearModel(voters, np.zeros(0), by_vote, -2.0)
-    posterior, _, _ = label_model(votes, float(seen["y"].mean()))
+    posterior = label_model(votes, float(seen["y"].mean()), voters.trusted()).posterior(votes)
     at = np.repeat(np.arange(len(seen)), seen["columns"].map(len))
     columns = np.concatenate([np.asarray(c, dtype=int) for c in seen["columns"]])
     values = np.log1p(np.concatenate([np.asarray(c, dtype=float) for c in seen["counts"]]))
@@ -244,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 def score_documents(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Null texts count as empty; repeated rows are scored alike."""
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LEXICON keys at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # keys that the bounded training rows hold
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in slices(frames, "text"):
@@ -266,4 +308,5 @@ def keep_clean(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD
 
 
 def op6_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; nulls, ties, repeats and empty tables: as ``score_documents`` and ``train`` say."""
     return score_documents(docs, train(docs, labels))

@@ -278,7 +278,7 @@ def test_registry():
 def test_word_lookups_equal_plain_counting():
     rng = random.Random(9)
     keys = [(0, "abcd"), (3, "abc"), (4, "jihg"), (0, "idiot"), (6, "abcdef")]
-    voters = toxicity.make_voters(pd.DataFrame(keys, columns=["kind", "key"]))
+    voters = toxicity.make_voters(pd.DataFrame(keys, columns=["kind", "key"]).assign(strength=0))
     texts = [words(rng, 400) + " ABCD idiot! abcdefgh abc jihgf x1abcd " + "abcdef" * 20 for _ in range(20)] + ["", " 12 "]
     for text in [*texts, *texts]:
         by_voter, columns, n = voters.hits(text)
