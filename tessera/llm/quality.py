@@ -167,14 +167,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(text, y) of labelled documents outside the held-out fold, ``most`` at most, those with the smallest hash.
+    """(text, y) of labelled documents outside the held-out fold, ``most`` rows at most, those of the ids with the smallest hash.
 
-    Null labels and ids are left out; labels that repeat an id count as 1 if any is 1. Documents that repeat an id are all used.
+    Null labels and ids are left out; labels that repeat an id count as 1 if any is 1. Of documents that repeat an id the
+    one whose text has the smallest hash is used. Only the columns named here are read.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label)).cast("int").alias("y")).orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(most)
     # ``most`` rows of two numbers: the bound that lets them be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # The least hash of an id's texts is known before texts are exchanged; equal texts of one id are one row.
+    return found.groupBy("_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("row")).select("row.text", "row.y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAINING_ROWS) -> AdditiveModel:
@@ -192,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. Null texts count as empty; repeated rows are scored alike."""
+    """doc_id, held_out, score, predicted for every row. Null texts count as empty; repeated rows are scored alike; an empty table
+    gives no rows. Only doc_id and text are read."""
     kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed number of bins
 
@@ -205,4 +209,5 @@ def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = TH
 
 
 def op5_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; nulls, ties, repeats and empty tables: as ``score_documents`` and ``fit`` say."""
     return score_documents(docs, train(docs, labels))
