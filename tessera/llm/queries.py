@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": lambda s, d: quality.op5_quality(t(s, d, "documents"), t(s, d, "labels")),
         "op6_toxicity": lambda s, d: toxicity.op6_toxicity(t(s, d, "documents"), t(s, d, "labels")),
         "op7_url_filter": lambda s, d: urls.op7_url_filter(t(s, d, "pages")),
+        "url_rules": lambda s, d: urls.ruled(t(s, d, "pages")),
         "op8_html_extraction": lambda s, d: html.op8_html_extraction(t(s, d, "pages")),
         "op9_exact_dedup": lambda s, d: exact.op9_exact_dedup(t(s, d, "documents")),
         "op10_sharding": lambda s, d: shard.op10_sharding(t(s, d, "documents")),
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": njoin.OP3_SQL, "op9_exact_dedup": exact.OP9_SQL}
+    return {"url_rules": urls.RULES_SQL, "op3_ngram_jaccard": njoin.OP3_SQL, "op9_exact_dedup": exact.OP9_SQL}

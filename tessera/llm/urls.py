@@ -155,7 +155,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, see
     The models are trained on and score host, path and query; rejected URLs are those with a seed word as a part of
     any of these, and the models generalise to URLs like them. The threshold parts seeded hosts from unseeded ones
     under allow rules, each host by its mean ratio; any share of the other URLs may be blocked. Null and malformed
-    URLs have ratio 0 and are allowed, as are all where no URL is seeded or all are.
+    URLs have ratio 0 and are allowed, as are all where no URL is seeded or all are. Rows that repeat are judged alike; an
+    empty table gives no rows. Only page_id and url are read, whatever else the table has.
     """
     host, path = parts(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"), evidence(F.col("url")).alias("text")).withColumn("site", F.xxhash64("host"))
@@ -172,5 +173,28 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, see
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "ratio")
 
 
+def ruled(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict (null without a rule) for every row: the part of ``judge`` that SQL can say too."""
+    host, path = parts(F.col("url"))
+    seen = pages.select("page_id", host.alias("host"), path.alias("path"))
+    name, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return seen.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"))
+
+
+RULES_SQL = r"""
+WITH r(h, p, v) AS (VALUES {rules}), u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, f.rule, f.verdict FROM s
+LEFT JOIN LATERAL (
+  SELECT h || p AS rule, v AS verdict FROM r WHERE (s.host = h OR s.host LIKE '%.' || h) AND starts_with(s.path, p) ORDER BY length(h || p) DESC LIMIT 1
+) f ON TRUE
+""".format(rules=", ".join(map(str, RULES)))
+
+
 def op7_url_filter(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict, ratio of every row; nulls, ties, repeats and empty tables: as ``judge`` says."""
     return judge(pages)
