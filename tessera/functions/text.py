@@ -141,3 +141,74 @@ def json_strings(c: Column) -> Column:
     parts = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
     kept = F.filter(parts, lambda v: F.schema_of_variant(v) == "STRING")
     return F.coalesce(F.transform(kept, lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>"))
+
+
+def language_code(c: Column) -> Column:
+    """Trimmed and lower-cased; null for a blank one, which the caller rejects."""
+    return F.nullif(F.lower(F.trim(c)), F.lit(""))
+
+
+def composite_prefix(c: Column) -> tuple[Column, Column]:
+    """The first two parts of ``a:b:...`` as positive integers; further parts are ignored, and both are null if either is wrong."""
+    a, b = (positive_id(F.try_element_at(F.split(c, ":"), F.lit(i))) for i in (1, 2))
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, a), F.when(both, b)
+
+
+def path_segments(path: Column) -> Column:
+    """The path's non-empty segments with %xx decoded; a segment that can't be decoded stays as it is."""
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.coalesce(F.try_url_decode(x), x))
+
+
+def earliest_date(texts: Column) -> Column:
+    """Of an array of texts the one with the earliest real date, trimmed; null without any."""
+    dated = F.filter(F.transform(texts, lambda t: F.struct(strict_date(t).alias("d"), F.trim(t).alias("t"))), lambda x: x["d"].isNotNull())
+    return F.array_min(dated)["t"]
+
+
+def anime_id(url: Column) -> Column:
+    return F.regexp_extract(url, r"/anime/(\d+)", 1).try_cast("long")
+
+
+#: The timestamp that stands for none; statuses of one provider; words of errors that pass.
+UNSET = "0001-01-01T00:00:00Z"
+STATUSES = {"CURRENT": "RELEASING", "FINISHED": "FINISHED", "UPCOMING": "NOT_YET_RELEASED", "UNRELEASED": "NOT_YET_RELEASED", "TBA": "NOT_YET_RELEASED"}
+TRANSIENT = r"(?i)\b(?:status\s*)?5\d{2}\b|timeout|timed out|connection reset|network error|fetch failed"
+
+
+def set_time(c: Column) -> Column:
+    return F.nullif(c, F.lit(UNSET))
+
+
+def recoded(c: Column, values: dict[str, str]) -> Column:
+    """The value's counterpart; null for an unknown one."""
+    return F.coalesce(*[F.when(c == a, b) for a, b in values.items()])
+
+
+def error_class(message: Column) -> Column:
+    """rate-limit, transient or other, by the words of a message."""
+    low = F.lower(message)
+    limited = message.contains("429") | low.contains("rate limit") | low.contains("too many requests")
+    return F.when(limited, "rate-limit").when(message.rlike(TRANSIENT), "transient").otherwise("other")
+
+
+def derived_languages(country: Column) -> Column:
+    """(code, media) that a title's country of origin implies: Japanese audio for JP, nothing for others."""
+    pair = F.array(F.struct(F.lit("ja").alias("code"), F.lit("audio").alias("media")))
+    return F.when(F.upper(F.trim(country)).eqNullSafe("JP"), pair).otherwise(F.slice(pair, 1, 0))
+
+
+def base_title(title: Column) -> Column:
+    """The title without a season, part or number behind it; null if nothing changes or fewer than three characters are left."""
+    out = title
+    for suffix in SEASON_SUFFIXES:
+        out = F.regexp_replace(out, suffix, "")
+    out = F.trim(out)
+    return F.when((out != title) & (F.char_length(out) >= 3), out)
+
+
+#: Endings that name a season or part, in the order in which they are taken off.
+SEASON_SUFFIXES = (
+    r"(?i)\s+(?:season|part|series|cour)\s*\d+\s*$", r"(?i)\s+\d+(?:st|nd|rd|th)\s+(?:season|series|cour)\s*$",
+    r"(?i)\s+(?:second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\s+(?:season|series|cour)\s*$", r"(?i)\s+(?:II|III|IV|VI{0,3}|IX)\s*$", r"\s+\d+\s*$",
+)

@@ -38,32 +38,49 @@ def fold_status(value: str) -> Column:
     return F.when(a & ~p & ~m, "available").when((a | p) & m, "partial").when(p, "partial").when(m, "not_available")
 
 
+#: Classes of an ownership and of a count mismatch, in the order in which they are looked for.
+OWNERSHIP = (
+    "other-anime-involved", "unmapped-only", "orphan-only", "owner-only", "owner-then-orphan-adjacent", "orphan-then-owner-adjacent",
+    "owner-orphan-with-gap", "fragmented-between-owner-and-orphan",
+)
+MISMATCH = ("local-mismatch-metadata-missing", "local-mismatch-metadata-differs", "local-short-metadata-exact", "local-long-metadata-exact")
+
+
 def ownership(rows: DataFrame, season: list[str], number: str, owner: str, orphan: Column, holder: Column) -> DataFrame:
-    """How two owners share a season's numbers: one class a season, from their runs of neighbouring numbers."""
+    """How two owners share a season's numbers: one class a season, from each owner's runs of consecutive distinct numbers above 0."""
     who = F.when(F.col(owner).isNull(), "u").when(F.col(owner) == orphan, "o").when(F.col(owner) == holder, "w").otherwise("x")
-    kinds = rows.select(*season, number, who.alias("_who"))
-    w = Window.partitionBy(*season).orderBy(number, "_who")
-    starts = kinds.withColumn("_new", (F.lag("_who").over(w).isNull() | (F.lag("_who").over(w) != F.col("_who"))).cast("int"))
-    a = starts.groupBy(*season).agg(
-        *[F.sum(F.when(F.col("_who") == k, F.col("_new")).otherwise(0)).alias(f"r_{k}") for k in "uowx"],
-        *[f(F.when(F.col("_who") == k, F.col(number))).alias(f"{n}_{k}") for k in "ow" for n, f in (("lo", F.min), ("hi", F.max))],
-    )
-    single = (F.col("r_o") == 1) & (F.col("r_w") == 1)
-    kind = (
-        F.when(F.col("r_x") > 0, "other-involved").when((F.col("r_o") == 0) & (F.col("r_w") == 0), "unmapped-only").when(F.col("r_w") == 0, "orphan-only")
-        .when(F.col("r_o") == 0, "owner-only").when(single & (F.col("hi_w") + 1 == F.col("lo_o")), "owner-then-orphan-adjacent")
-        .when(single & (F.col("hi_o") + 1 == F.col("lo_w")), "orphan-then-owner-adjacent").when(single, "owner-orphan-with-gap").otherwise("fragmented")
+    kinds = rows.where(F.col(number) > 0).select(*season, F.col(number).alias("_n"), who.alias("_who")).distinct()
+    run = F.col("_n") - F.row_number().over(Window.partitionBy(*season, "_who").orderBy("_n"))
+    of = lambda k, x: F.when(F.col("_who") == k, x)
+    a = kinds.withColumn("_run", run).groupBy(*season).agg(
+        *[F.count_if(F.col("_who") == k).alias(f"n_{k}") for k in "owx"],
+        # one run if all numbers less their ranks are equal
+        *[(F.min(of(k, F.col("_run"))) == F.max(of(k, F.col("_run")))).alias(f"one_{k}") for k in "ow"],
+        *[f(of(k, F.col("_n"))).alias(f"{n}_{k}") for k in "ow" for n, f in (("lo", F.min), ("hi", F.max))],
     )
+    c, single = F.col, F.col("one_o") & F.col("one_w")
+    kind = first_reason(*zip(OWNERSHIP, (
+        c("n_x") > 0, (c("n_o") == 0) & (c("n_w") == 0), c("n_w") == 0, c("n_o") == 0, single & (c("hi_w") + 1 == c("lo_o")), single & (c("hi_o") + 1 == c("lo_w")), single, F.lit(True),
+    ), strict=True))
     return a.select(*season, kind.alias("ownership"))
 
 
 def count_mismatch(authoritative: Column, local: Column, metadata: Column) -> Column:
     """Null for equal counts; else what the metadata's count says about the difference."""
-    side = F.when(local < authoritative, "local-short").otherwise("local-long")
-    return F.when(authoritative != local, F.when(metadata.isNull(), "metadata-missing").when(metadata == authoritative, F.concat(side, F.lit("-metadata-exact"))).otherwise("local-mismatch-metadata-differs"))
+    return F.when(authoritative != local, first_reason(*zip(MISMATCH, (metadata.isNull(), metadata != authoritative, local < authoritative, F.lit(True)), strict=True)))
 
 
 def aligned(n_expected: Column, n_provider: Column, n_matching: Column, valid: Column) -> Column:
     """Do enough of a batch's numbers match the expected ones? At least three quarters of the smaller set, one at least."""
     need = F.greatest(F.lit(1), F.ceil(F.least(n_expected, n_provider) * 3 / 4))
     return valid & ((n_expected == 0) | (n_matching >= need))
+
+
+def dub_action(has_dub: Column, finished: Column) -> Column:
+    """What an episode's dub says: missing without one, available with one when the title has finished, else null (evidence is cleared)."""
+    return F.when(~has_dub, "missing").when(finished, "available")
+
+
+def relation_evidence(metadata: Column, kinds: Column) -> Column:
+    """What is known of two titles' relation: missing-metadata, prequel-or-sequel, other-relation or none; ``kinds``: the relations between them."""
+    return F.when(~metadata, "missing-metadata").when(F.arrays_overlap(kinds, F.array(F.lit("PREQUEL"), F.lit("SEQUEL"))), "prequel-or-sequel").when(F.size(kinds) > 0, "other-relation").otherwise("none")

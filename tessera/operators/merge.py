@@ -59,3 +59,40 @@ def promote(rows: DataFrame, group: list[str], primary: str, chosen: DataFrame,
 def replace_groups(target: DataFrame, source: DataFrame, group: list[str]) -> DataFrame:
     """Snapshot replacement: groups that the source has are taken whole from it, others stay."""
     return target.join(source.select(*group).distinct(), group, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
+
+
+def stamped(target: DataFrame, source: DataFrame, keys: list[str], stamp: str, now: Column) -> DataFrame:
+    """Overwrite, with the time of the write in the ``stamp`` column of every row that the source has."""
+    return overwrite(target, source.withColumn(stamp, now), keys)
+
+
+def unless_overridden(target: DataFrame, source: DataFrame, keys: list[str], override: str) -> DataFrame:
+    """The source's rows go over the target's, but for those that are marked as set by hand."""
+    by_hand = F.coalesce(F.col(f"t.{override}"), F.lit(False))
+    return _take(_both(target, source, keys), target.columns, {c: F.when(by_hand, F.col(f"t.{c}")).otherwise(F.col(f"s.{c}")) for c in target.columns}, "s")
+
+
+def fill_from(target: DataFrame, sources: list[DataFrame], keys: list[str], column: str) -> DataFrame:
+    """Nulls and blanks of ``column`` are filled from the first source (keys, column) that has a text for the row; rows are neither added nor lost."""
+    out = target
+    for i, source in enumerate(sources):
+        given = source.where(F.trim(column) != "").groupBy(*keys).agg(F.min(column).alias(f"_f{i}"))
+        out = out.join(given, keys, "left")
+    own = F.when(F.trim(column) != "", F.col(column))
+    return out.withColumn(column, F.coalesce(own, *[F.col(f"_f{i}") for i in range(len(sources))], F.col(column))).select(*target.columns)
+
+
+def resolved(children: DataFrame, dimension: DataFrame, external: str, name: str) -> DataFrame:
+    """``children`` with ``id``: the dimension's row (id, external, name) with the same external id, else with the same name in any case; null for neither."""
+    by_external = dimension.where(F.col(external).isNotNull()).groupBy(F.col(external).alias("_e")).agg(F.min("id").alias("_by_e"))
+    by_name = dimension.groupBy(F.lower(F.trim(name)).alias("_n")).agg(F.min("id").alias("_by_n"))
+    joined = children.join(by_external, F.col(external) == F.col("_e"), "left").join(by_name, F.lower(F.trim(name)) == F.col("_n"), "left")
+    return joined.select(*[children[c] for c in children.columns], F.coalesce("_by_e", "_by_n").alias("id"))
+
+
+def linked(edges: DataFrame, new: DataFrame, nodes: DataFrame, ends: tuple[str, str], node: str) -> DataFrame:
+    """``edges`` and those of ``new`` whose ends are both nodes and that aren't there yet."""
+    known = new
+    for end in ends:
+        known = known.join(nodes.select(F.col(node).alias(end)).distinct(), end, "left_semi")
+    return insert_absent(edges, known.select(*edges.columns).dropDuplicates(list(ends)), list(ends))

@@ -37,36 +37,50 @@ def passed_counts(rows: DataFrame, gates: list[tuple[str, Column]]) -> DataFrame
     return rows.agg(F.array(*counters).alias("a")).select(F.inline("a"))
 
 
-def observed_transform(mapped: DataFrame, season: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """One row a group of ``mapped`` (keys, provider_number, local_number, count): reason, offset, first, last, boundary.
+#: Why no transform is inferred, in the order in which it is looked for; what was observed of its ends; how two ranges lie.
+TRANSFORM_FAULTS = (
+    "invalid-metadata-count", "duplicate-provider-episode-number", "missing-authoritative-provider-episode", "invalid-local-episode-number", "duplicate-local-episode-number",
+    "duplicate-provider-episode-number", "non-linear-observed-transform", "inferred-segment-outside-provider-season",
+)
+BOUNDARIES = ("both-boundaries-observed", "local-start-observed", "local-end-observed", "internal-only")
+RELATIONS = ("same-inferred-segment", "overlapping-inferred-segments", "disjoint-with-gap", "exact-provider-partition", "adjacent-provider-subset")
 
-    The offset is what all rows agree on; it stretches to 1+offset..count+offset, which must lie within the season's
-    (keys, lo, hi). boundary tells which ends of that range were observed: both, start, end or internal-only.
+
+def observed_transform(mapped: DataFrame, episodes: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """One row a group of ``mapped`` (keys, episode_id, local_number, count): reason, offset, first, last, boundary.
+
+    ``episodes`` (keys, episode_id, number): the authoritative season. The offset is what all rows agree on; it
+    stretches to 1+offset..count+offset, each number of which the season must have. boundary tells which ends of that range
+    were observed. A row's own faults, an unknown episode or a number outside 1..count, come in order of local_number, unknown episodes first.
     """
-    off = F.col("provider_number") - F.col("local_number")
-    a = mapped.groupBy(*keys).agg(
-        F.max(count).alias("c"), F.min(off).alias("o"), F.max(off).alias("o2"), F.min("local_number").alias("lo_l"), F.max("local_number").alias("hi_l"),
-        F.count("*").alias("n"), F.countDistinct("provider_number").alias("np"), F.countDistinct("local_number").alias("nl"),
+    season = episodes.groupBy(*keys).agg(F.count("*").alias("ne"), F.countDistinct("episode_id").alias("ni"), F.collect_set("number").alias("numbers"))
+    known = episodes.groupBy(*keys, "episode_id").agg(F.max("number").alias("number"))
+    c = F.col
+    off = c("number") - c("local_number")
+    foreign, outside = c("number").isNull(), F.coalesce((c("local_number") < 1) | (c("local_number") > c(count)), F.lit(True))
+    first = F.min(F.when(foreign | outside, F.struct("local_number", (~foreign).alias("own"), foreign.alias("foreign"))))
+    a = mapped.join(known, [*keys, "episode_id"], "left").groupBy(*keys).agg(
+        F.max(count).alias("c"), F.min(off).alias("o"), F.max(off).alias("o2"), F.min("local_number").alias("lo_l"), F.max("local_number").alias("hi_l"), first.alias("bad"),
+        F.count("*").alias("n"), F.size(F.collect_set("number")).alias("np"), F.size(F.collect_set("local_number")).alias("nl"),
     ).join(season, keys, "left")
-    c, o = F.col("c"), F.col("o")
-    reason = first_reason(
-        ("invalid-local-count", F.coalesce(c < 1, F.lit(True))), ("missing-season", F.col("lo").isNull()), ("duplicate-number", (F.col("np") < F.col("n")) | (F.col("nl") < F.col("n"))),
-        ("local-number-outside-count", (F.col("lo_l") < 1) | (F.col("hi_l") > c)), ("non-linear", o != F.col("o2")), ("outside-season", (o + 1 < F.col("lo")) | (o + c > F.col("hi"))),
-    )
-    start, end = F.col("lo_l") == 1, F.col("hi_l") == c
-    boundary = F.when(start & end, "both").when(start, "start-only").when(end, "end-only").otherwise("internal-only")
+    wanted = F.sequence(c("o") + 1, c("o") + c("c"))
+    reason = first_reason(*zip(TRANSFORM_FAULTS, (
+        F.coalesce(c("c") < 1, F.lit(True)), (c("ni") < c("ne")) | (F.size("numbers") < c("ne")), F.coalesce(c("bad.foreign"), F.lit(False)), c("bad").isNotNull(), c("nl") < c("n"),
+        c("np") < c("n"), c("o") != c("o2"), (c("o") + 1 < 1) | (F.size(F.array_except(wanted, "numbers")) > 0),
+    ), strict=True))
+    start, end = c("lo_l") == 1, c("hi_l") == c("c")
+    boundary = first_reason(*zip(BOUNDARIES, (start & end, start, end, F.lit(True)), strict=True))
     good = reason.isNull()
-    return a.select(*keys, reason.alias("reason"), *[F.when(good, x).alias(n) for n, x in (("offset", o), ("first", o + 1), ("last", o + c), ("boundary", boundary))])
+    return a.select(*keys, reason.alias("reason"), *[F.when(good, x).alias(n) for n, x in (("offset", c("o")), ("first", c("o") + 1), ("last", c("o") + c("c")), ("boundary", boundary))])
 
 
-def dual_relation(s1: Column, e1: Column, s2: Column, e2: Column, total: Column) -> Column:
-    """How two ranges of one season of ``total`` episodes lie: same, overlapping, gap, exact-partition or adjacent-subset."""
-    lo, hi = F.least(s1, s2), F.greatest(e1, e2)
-    next_to = (e1 + 1 == s2) | (e2 + 1 == s1)
-    return (
-        F.when((s1 == s2) & (e1 == e2), "same").when((s1 <= e2) & (s2 <= e1), "overlapping")
-        .when(next_to & (lo == 1) & (hi == total), "exact-partition").when(next_to, "adjacent-subset").otherwise("gap")
-    )
+def dual_relation(s1: Column, e1: Column, s2: Column, e2: Column, numbers: Column) -> Column:
+    """How two ranges of one season lie, whose authoritative numbers are the array ``numbers``."""
+    union = F.array_union(F.sequence(s1, e1), F.sequence(s2, e2))
+    own = F.array_distinct(numbers)
+    whole = (F.size(F.array_except(union, own)) == 0) & (F.size(F.array_except(own, union)) == 0)
+    gap = F.greatest(s1, s2) - F.least(e1, e2) > 1
+    return first_reason(*zip(RELATIONS, ((s1 == s2) & (e1 == e2), (s1 <= e2) & (s2 <= e1), gap, whole, F.lit(True)), strict=True))
 
 
 def stale_leases(runs: DataFrame, now: Column, heartbeat: str = "heartbeat_at", started: str = "started_at") -> DataFrame:

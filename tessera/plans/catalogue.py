@@ -169,18 +169,18 @@ def islands(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "coverage_gap",
     """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS x, l_linenumber + l_orderkey % 3 * 10 + CASE WHEN l_orderkey % 5 = 0 AND l_linenumber > 2 THEN 1 ELSE 0 END AS p
-         FROM lineitem WHERE l_linenumber <= 4),
+         FROM lineitem),
        a AS (SELECT k, count(*) AS n, count(DISTINCT x) AS nl, count(DISTINCT p) AS np, min(x) AS lo, max(x) AS hi, min(p) AS plo, max(p) AS phi, min(p - x) AS o1, max(p - x) AS o2 FROM r GROUP BY k),
        b AS (SELECT *, CASE WHEN nl < n THEN 'duplicate-local-number' WHEN np < n THEN 'duplicate-provider-number' END AS fault,
          hi - lo + 1 = nl AND phi - plo + 1 = np AND o1 = o2 AS line FROM a)
-       SELECT k AS l_orderkey, fault, CASE WHEN fault IS NULL THEN 4 - nl END AS n_missing, CASE WHEN fault IS NULL THEN line END AS linear,
-       CASE WHEN fault IS NOT NULL THEN NULL WHEN nl = 4 THEN 'complete' WHEN NOT line THEN 'internal-or-nonlinear' WHEN lo > 1 AND hi < 4 THEN 'both-ends' WHEN lo > 1 THEN 'leading' ELSE 'trailing' END AS gap,
+       SELECT k AS l_orderkey, fault, CASE WHEN fault IS NULL THEN 7 - nl END AS n_missing, CASE WHEN fault IS NULL THEN line END AS linear,
+       CASE WHEN fault IS NOT NULL THEN NULL WHEN nl = 7 THEN 'complete' WHEN NOT line THEN 'internal-or-nonlinear' WHEN lo > 1 AND hi < 7 THEN 'both-ends' WHEN lo > 1 THEN 'leading' ELSE 'trailing' END AS gap,
        CASE WHEN fault IS NULL AND line THEN o1 END AS "offset" FROM b""",
 )
 def coverage_gap(spark: SparkSession, d: str) -> DataFrame:
     shift = F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") > 2), 1).otherwise(0)
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") + F.col("l_orderkey") % 3 * 10 + shift).alias("p"))
-    return ranges.coverage(rows, ["l_orderkey"], "l_linenumber", "p", F.lit(4))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") + F.col("l_orderkey") % 3 * 10 + shift).alias("p"))
+    return ranges.coverage(rows, ["l_orderkey"], "l_linenumber", "p", F.lit(7))
 
 
 @query(
@@ -195,39 +195,56 @@ def overlap_reject(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "segment_faults",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN l_linenumber - 1 < 1 THEN 'non-positive-provider-start'
-       WHEN l_suppkey % 4 < 1 THEN 'non-positive-local-start' WHEN l_quantity < l_linenumber - 1 THEN 'reversed-provider-range' WHEN l_suppkey % 9 < l_suppkey % 4 THEN 'reversed-local-range'
-       WHEN CAST(l_quantity AS BIGINT) - (l_linenumber - 1) <> l_suppkey % 9 - l_suppkey % 4 THEN 'unequal-span' END AS fault FROM lineitem""",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linenumber - 1 AS ps, CASE WHEN l_partkey % 11 = 0 THEN l_quantity + 0.5 ELSE l_quantity END AS pe,
+       l_suppkey % 4 AS ls, l_suppkey % 9 AS le FROM lineitem)
+       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN pe <> floor(pe) THEN 'non-integer' WHEN ps <= 0 OR ls <= 0 THEN 'non-positive-start'
+       WHEN pe < ps THEN 'reversed-provider-range' WHEN le < ls THEN 'reversed-local-range' WHEN pe - ps <> le - ls THEN 'unequal-span' END AS fault FROM s""",
 )
 def segment_faults(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    fault = ranges.segment_fault(c("l_linenumber") - 1, c("l_quantity").cast("long"), c("l_suppkey") % 4, c("l_suppkey") % 9)
+    end = c("l_quantity").cast("double") + F.when(c("l_partkey") % 11 == 0, 0.5).otherwise(0)
+    fault = ranges.segment_fault(c("l_linenumber") - 1, end, c("l_suppkey") % 4, c("l_suppkey") % 9)
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", fault.alias("fault"))
 
 
+@query(
+    "segment_mapping",
+    """WITH s AS (SELECT p_partkey, p_size AS n, p_partkey % 20 AS ps, p_partkey % 20 + 10 AS pe, p_partkey % 7 AS ls, p_partkey % 7 + 10 AS le FROM part)
+       SELECT p_partkey, CASE WHEN ps > 0 AND ls > 0 AND n BETWEEN ps AND pe THEN ls + n - ps END AS local, CASE WHEN ps > 0 AND ls > 0 AND n BETWEEN ls AND le THEN ps + n - ls END AS provider,
+       ps <= le AND ls <= pe AS meet FROM s""",
+)
+def segment_mapping(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    segment = (k % 20, k % 20 + 10, k % 7, k % 7 + 10)
+    ps, pe, ls, le = segment
+    return table(spark, d, "part").select("p_partkey", ranges.to_local(n, *segment).alias("local"), ranges.to_provider(n, *segment).alias("provider"), ranges.ranges_meet(ps, pe, ls, le).alias("meet"))
+
+
 @query(
     "ownership_classes",
-    """WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'o' WHEN 'R' THEN 'w' ELSE 'u' END AS who FROM lineitem),
-       s AS (SELECT *, CASE WHEN lag(who) OVER w IS DISTINCT FROM who THEN 1 ELSE 0 END AS new FROM r WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, who)),
-       a AS (SELECT l_orderkey, coalesce(sum(new) FILTER (WHERE who = 'o'), 0) AS ro, coalesce(sum(new) FILTER (WHERE who = 'w'), 0) AS rw,
-         min(l_linenumber) FILTER (WHERE who = 'o') AS lo, max(l_linenumber) FILTER (WHERE who = 'o') AS ho, min(l_linenumber) FILTER (WHERE who = 'w') AS lw, max(l_linenumber) FILTER (WHERE who = 'w') AS hw FROM s GROUP BY 1)
-       SELECT l_orderkey, CASE WHEN ro = 0 AND rw = 0 THEN 'unmapped-only' WHEN rw = 0 THEN 'orphan-only' WHEN ro = 0 THEN 'owner-only'
+    """WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, CASE WHEN l_partkey % 50 = 0 THEN 'x' WHEN l_returnflag = 'A' THEN 'o' WHEN l_returnflag = 'R' THEN 'w' ELSE 'u' END AS who FROM lineitem),
+       s AS (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey, who ORDER BY n) AS run FROM r),
+       a AS (SELECT l_orderkey, count(*) FILTER (WHERE who = 'x') AS nx, count(DISTINCT run) FILTER (WHERE who = 'o') AS ro, count(DISTINCT run) FILTER (WHERE who = 'w') AS rw,
+         min(n) FILTER (WHERE who = 'o') AS lo, max(n) FILTER (WHERE who = 'o') AS ho, min(n) FILTER (WHERE who = 'w') AS lw, max(n) FILTER (WHERE who = 'w') AS hw FROM s GROUP BY 1)
+       SELECT l_orderkey, CASE WHEN nx > 0 THEN 'other-anime-involved' WHEN ro = 0 AND rw = 0 THEN 'unmapped-only' WHEN rw = 0 THEN 'orphan-only' WHEN ro = 0 THEN 'owner-only'
          WHEN ro = 1 AND rw = 1 AND hw + 1 = lo THEN 'owner-then-orphan-adjacent' WHEN ro = 1 AND rw = 1 AND ho + 1 = lw THEN 'orphan-then-owner-adjacent'
-         WHEN ro = 1 AND rw = 1 THEN 'owner-orphan-with-gap' ELSE 'fragmented' END AS ownership FROM a""",
+         WHEN ro = 1 AND rw = 1 THEN 'owner-orphan-with-gap' ELSE 'fragmented-between-owner-and-orphan' END AS ownership FROM a""",
 )
 def ownership_classes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("who"))
+    who = F.when(F.col("l_partkey") % 50 == 0, "X").when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", who.alias("who"))
     return classify.ownership(rows, ["l_orderkey"], "l_linenumber", "who", F.lit("A"), F.lit("R"))
 
 
 @query(
     "count_mismatch",
-    """WITH a AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS k, max(l_linenumber) AS m FROM lineitem GROUP BY 1)
-       SELECT l_orderkey, CASE WHEN n = k THEN NULL WHEN m = n THEN CASE WHEN k < n THEN 'local-short' ELSE 'local-long' END || '-metadata-exact' ELSE 'local-mismatch-metadata-differs' END AS mismatch FROM a""",
+    """WITH a AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS k, CASE WHEN l_orderkey % 10 > 0 THEN max(l_linenumber) END AS m FROM lineitem GROUP BY 1)
+       SELECT l_orderkey, CASE WHEN n = k THEN NULL WHEN m IS NULL THEN 'local-mismatch-metadata-missing' WHEN m <> n THEN 'local-mismatch-metadata-differs'
+       WHEN k < n THEN 'local-short-metadata-exact' ELSE 'local-long-metadata-exact' END AS mismatch FROM a""",
 )
 def count_mismatch(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("k"), F.max("l_linenumber").alias("m"))
-    return a.select("l_orderkey", classify.count_mismatch(F.col("n"), F.col("k"), F.col("m")).alias("mismatch"))
+    return a.select("l_orderkey", classify.count_mismatch(F.col("n"), F.col("k"), F.when(F.col("l_orderkey") % 10 > 0, F.col("m"))).alias("mismatch"))
 
 
 @query(
@@ -336,14 +353,30 @@ def latest_ttl(spark: SparkSession, d: str) -> DataFrame:
     return microbatch.latest_alive(events, ["user_id"], "ts", now, F.expr("INTERVAL 7 DAYS")).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
 
 
+_WINDOWS_SQL = """o AS (SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS batch, event_type = 'error' AND
+  sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w >= 0.25 * count(*) OVER w AS over FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    order = [F.col("ts"), F.col("event_id")]
+    batch = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - 1) / 4)
+    return microbatch.failure_windows(table(spark, d, "events").withColumn("batch", batch), ["user_id"], order, F.col("event_type") == "error")
+
+
+@query("failure_window", f"WITH {_WINDOWS_SQL} SELECT event_id, batch, over FROM o")
+def failure_window(spark: SparkSession, d: str) -> DataFrame:
+    return _windows(spark, d).select("event_id", "batch", "over")
+
+
 @query(
-    "failure_window",
-    """SELECT event_id, event_type = 'error' AND count(*) OVER w = 20 AND sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w >= 5 AS back_off FROM events
-       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+    "back_offs",
+    f"""WITH RECURSIVE {_WINDOWS_SQL}, b(user_id, batch) AS (SELECT user_id, min(batch) FROM o WHERE over GROUP BY 1
+        UNION ALL SELECT b.user_id, (SELECT min(o.batch) FROM o WHERE over AND o.user_id = b.user_id AND o.batch >= b.batch + 10) FROM b WHERE b.batch IS NOT NULL)
+        SELECT user_id, batch FROM b WHERE batch IS NOT NULL""",
 )
-def failure_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = microbatch.failure_windows(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "error")
-    return rows.select("event_id", "back_off")
+def back_offs(spark: SparkSession, d: str) -> DataFrame:
+    return microbatch.back_offs(_windows(spark, d), ["user_id"], "batch")
 
 
 @query(

@@ -108,29 +108,35 @@ def planner_passed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "observed_transforms",
-    """WITH m AS (SELECT l_orderkey AS k, l_linenumber AS l, l_linenumber + l_orderkey % 5 + CASE WHEN l_partkey % 40 = 0 THEN 1 ELSE 0 END AS p FROM lineitem),
-       a AS (SELECT k, min(p - l) AS o, max(p - l) AS o2, min(l) AS lo, max(l) AS hi, count(*) AS n, count(DISTINCT p) AS np, count(DISTINCT l) AS nl FROM m GROUP BY k),
-       r AS (SELECT *, CASE WHEN np < n OR nl < n THEN 'duplicate-number' WHEN hi > 6 THEN 'local-number-outside-count' WHEN o <> o2 THEN 'non-linear' WHEN o + 6 > 9 THEN 'outside-season' END AS reason FROM a)
+    """WITH m AS (SELECT l_orderkey AS k, l_linenumber AS l, CASE WHEN l_partkey % 97 = 0 THEN 99 ELSE l_linenumber + l_orderkey % 5 + CASE WHEN l_partkey % 40 = 0 THEN 1 ELSE 0 END END AS p,
+         0 AS z FROM lineitem),
+       m2 AS (SELECT *, p IN (99, 10) OR p > 12 OR (p = 4 AND k % 7 = 0) AS f FROM m),
+       a AS (SELECT k, min(p - l) AS o, max(p - l) AS o2, min(l) AS lo, max(l) AS hi, count(*) AS n, count(DISTINCT p) AS np, count(DISTINCT l) AS nl, min(l) FILTER (WHERE f) AS f1, min(l) FILTER (WHERE l > 6) AS b1 FROM m2 GROUP BY k),
+       r AS (SELECT *, CASE WHEN f1 <= coalesce(b1, f1) THEN 'missing-authoritative-provider-episode' WHEN b1 IS NOT NULL THEN 'invalid-local-episode-number' WHEN nl < n THEN 'duplicate-local-episode-number'
+         WHEN np < n THEN 'duplicate-provider-episode-number' WHEN o <> o2 THEN 'non-linear-observed-transform'
+         WHEN o + 6 > 9 OR (k % 7 = 0 AND o + 1 <= 4) THEN 'inferred-segment-outside-provider-season' END AS reason FROM a)
        SELECT k, reason, CASE WHEN reason IS NULL THEN o END AS "offset", CASE WHEN reason IS NULL THEN o + 1 END AS "first", CASE WHEN reason IS NULL THEN o + 6 END AS "last",
-       CASE WHEN reason IS NULL THEN CASE WHEN lo = 1 AND hi = 6 THEN 'both' WHEN lo = 1 THEN 'start-only' WHEN hi = 6 THEN 'end-only' ELSE 'internal-only' END END AS boundary FROM r""",
+       CASE WHEN reason IS NULL THEN CASE WHEN lo = 1 AND hi = 6 THEN 'both-boundaries-observed' WHEN lo = 1 THEN 'local-start-observed' WHEN hi = 6 THEN 'local-end-observed' ELSE 'internal-only' END END AS boundary FROM r""",
 )
 def observed_transforms(spark: SparkSession, d: str) -> DataFrame:
     line, key = F.col("l_linenumber"), F.col("l_orderkey")
-    shifted = line + key % 5 + F.when(F.col("l_partkey") % 40 == 0, 1).otherwise(0)
-    mapped = table(spark, d, "lineitem").select(key.alias("k"), shifted.alias("provider_number"), line.alias("local_number"), F.lit(6).alias("count"))
-    seasons = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("lo"), F.lit(9).alias("hi"))
-    return planning.observed_transform(mapped, seasons, ["k"], "count")
+    shifted = F.when(F.col("l_partkey") % 97 == 0, 99).otherwise(line + key % 5 + F.when(F.col("l_partkey") % 40 == 0, 1).otherwise(0))
+    mapped = table(spark, d, "lineitem").select(key.alias("k"), shifted.alias("episode_id"), line.alias("local_number"), F.lit(6).alias("count"))
+    # Seasons of 12 numbers at most; each seventh lacks the number 4, and 10 and 11 lie after a hole.
+    numbers = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda i: ~((i == 4) & (F.col("o_orderkey") % 7 == 0)) & (i != 10))
+    seasons = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.explode(numbers).alias("number"))
+    return planning.observed_transform(mapped, seasons.withColumn("episode_id", F.col("number")), ["k"], "count")
 
 
 @query(
     "dual_relations",
     """WITH r AS (SELECT p_partkey, p_size % 7 + 1 AS s1, p_size % 7 + 4 AS e1, p_partkey % 9 + 1 AS s2, p_partkey % 9 + 4 AS e2 FROM part)
-       SELECT p_partkey, CASE WHEN s1 = s2 AND e1 = e2 THEN 'same' WHEN s1 <= e2 AND s2 <= e1 THEN 'overlapping' WHEN (e1 + 1 = s2 OR e2 + 1 = s1) AND least(s1, s2) = 1 AND greatest(e1, e2) = 8 THEN 'exact-partition'
-       WHEN e1 + 1 = s2 OR e2 + 1 = s1 THEN 'adjacent-subset' ELSE 'gap' END AS relation FROM r""",
+       SELECT p_partkey, CASE WHEN s1 = s2 AND e1 = e2 THEN 'same-inferred-segment' WHEN s1 <= e2 AND s2 <= e1 THEN 'overlapping-inferred-segments' WHEN greatest(s1, s2) - least(e1, e2) > 1 THEN 'disjoint-with-gap'
+       WHEN least(s1, s2) = 1 AND greatest(e1, e2) = 8 THEN 'exact-provider-partition' ELSE 'adjacent-provider-subset' END AS relation FROM r""",
 )
 def dual_relations(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("p_size") % 7 + 1, F.col("p_partkey") % 9 + 1
-    return table(spark, d, "part").select("p_partkey", planning.dual_relation(a, a + 3, b, b + 3, F.lit(8)).alias("relation"))
+    return table(spark, d, "part").select("p_partkey", planning.dual_relation(a, a + 3, b, b + 3, F.sequence(F.lit(1), F.lit(8))).alias("relation"))
 
 
 @query(

@@ -15,10 +15,18 @@ def latest_alive(rows: DataFrame, keys: list[str], time: str, now: Column, ttl:
 
 
 def failure_windows(rows: DataFrame, keys: list[str], order: list[Column], failed: Column, size: int = 20, share: float = 0.25) -> DataFrame:
-    """Rows with ``back_off``: a failing row with a full window, ending in it, of which at least ``share`` failed."""
+    """Rows with ``over``: a failing row that ends a window of up to ``size`` rows of which at least ``share`` failed."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(size - 1), 0)
-    bad = F.sum(failed.cast("int")).over(w)
-    return rows.withColumn("back_off", failed & (F.count("*").over(w) == size) & (bad >= share * size))
+    return rows.withColumn("over", failed & (F.sum(failed.cast("int")).over(w) >= share * F.count("*").over(w)))
+
+
+def back_offs(rows: DataFrame, keys: list[str], batch: str, hold: int = 10) -> DataFrame:
+    """(keys, batch) in which a back-off begins: the first batch with a row that is ``over``, then the first such batch
+    after ``hold`` batches have passed. What is collected of a key is one number for each batch that failed."""
+    failing = rows.where("over").groupBy(*keys).agg(F.array_sort(F.collect_set(batch)).alias("_b"))
+    none = F.array().cast("array<bigint>")
+    begun = F.aggregate("_b", none, lambda got, b: F.when((F.size(got) == 0) | (b >= F.element_at(got, -1) + hold), F.concat(got, F.array(b.cast("bigint")))).otherwise(got))
+    return failing.select(*keys, F.explode(begun).alias(batch))
 
 
 def safe_progress(rows: DataFrame, position: str, failed: Column) -> DataFrame:
@@ -28,17 +36,20 @@ def safe_progress(rows: DataFrame, position: str, failed: Column) -> DataFrame:
 
 
 def maintain(
-    stream: DataFrame, path: str, checkpoint: str, empty: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]
+    stream: DataFrame, path: str, checkpoint: str, empty: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], keep: int = 2
 ) -> StreamingQuery:
     """Keep ``merge(state, batch)`` as a table of numbered versions under ``path``.
 
     A version is named for its batch and written whole before the next one reads it, so a batch that runs again after a
-    failure overwrites its own version from the one before: results are exact. ``merge`` is the batch form of the operator.
+    failure overwrites its own version from the one before: results are exact. Versions older than the last ``keep``
+    are removed. ``merge`` is the batch form of the operator.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(empty.schema).parquet(f"{path}/version={number - 1}") if number else empty
         merge(before, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - keep}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Golden rows for the scalar functions, rules, ranges, merges, sources and the micro-batch form."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,10 +54,11 @@ def test_evidence(spark, rows, want):
 
 @pytest.mark.parametrize(("owners", "want"), [
     ([20, 20, 10, 10, 10], "owner-then-orphan-adjacent"), ([10, 10, 20, 20], "orphan-then-owner-adjacent"), ([20, 20, None, 10, 10], "owner-orphan-with-gap"),
-    ([20, 10, 20, 10], "fragmented"), ([20, 30, 10], "other-involved"), ([None], "unmapped-only"), ([10], "orphan-only"), ([20], "owner-only"),
+    ([20, 10, 20, 10], "fragmented-between-owner-and-orphan"), ([20, 30, 10], "other-anime-involved"), ([None], "unmapped-only"), ([10], "orphan-only"), ([20], "owner-only"),
+    ([10, None, 10, 20], "fragmented-between-owner-and-orphan"), ([(1, 10), (2, 10), (1, 20)], "owner-orphan-with-gap"), ([(1, 10), (1, 10), (2, 20), (0, 30)], "orphan-then-owner-adjacent"),
 ])
 def test_ownership(spark, owners, want):
-    df = spark.createDataFrame([(1, i + 1, o) for i, o in enumerate(owners)], "s INT, n INT, o INT")
+    df = spark.createDataFrame([(1, *(o if isinstance(o, tuple) else (i + 1, o))) for i, o in enumerate(owners)], "s INT, n INT, o INT")
     assert classify.ownership(df, ["s"], "n", "o", F.lit(10), F.lit(20)).first()["ownership"] == want
 
 
@@ -72,8 +74,10 @@ def test_coverage(spark, local, provider, gap, missing, offset):
 
 def test_segments(spark):
     c = [F.col(x) for x in ("ps", "pe", "ls", "le")]
-    rows = [(13, 24, 1, 12), (13, 24, 1, 11), (13, 12, 1, 12)]
-    assert values(spark, rows, "ps INT, pe INT, ls INT, le INT", ranges.segment_fault(*c)) == [(None,), ("unequal-span",), ("reversed-provider-range",)]
+    rows = [(13.0, 24.0, 1.0, 12.0), (13.0, 24.0, 1.0, 11.0), (13.0, 12.0, 1.0, 12.0), (0.0, 1.0, 1.0, 2.0), (1.0, 2.0, -1.0, 0.0), (1.0, 2.5, 1.0, 2.0), (None, 2.0, 1.0, 2.0), (1.0, 2.0, 4.0, 3.0)]
+    want = [None, "unequal-span", "reversed-provider-range", "non-positive-start", "non-positive-start", "non-integer", "non-integer", "reversed-local-range"]
+    assert values(spark, rows, "ps DOUBLE, pe DOUBLE, ls DOUBLE, le DOUBLE", ranges.segment_fault(*c)) == [(w,) for w in want]
+    assert values(spark, [(13,), (24,), (12,), (25,)], "n INT", *[f(F.col("n"), F.lit(13), F.lit(24), F.lit(1), F.lit(12)) for f in (ranges.to_local, ranges.to_provider)]) == [(1, None), (12, None), (None, 24), (None, None)]
     points = spark.createDataFrame([(1, n) for n in range(1, 49)], "k INT, n INT")
     segments = spark.createDataFrame([(1, 25, 48, 1, 24)], "k INT, ps INT, pe INT, ls INT, le INT")
     mapped = {r["n"]: r["local"] for r in ranges.map_points(points, segments, ["k"], "n").collect()}
@@ -130,3 +134,26 @@ def test_ranking(spark):
     assert {(r["k"], r["n"]) for r in rel.clear_winner(rows, ["k"], "s", [F.col("n")], 10).collect()} == {(2, "a"), (3, "a")}
     assert {r["k"] for r in rel.clear_winner(rows, ["k"], "s", [F.col("n")], 10, 45).collect()} == {2}
     assert rel.both_ways(rows.select("k", F.lit(9).alias("m")), "k", "m").count() == 6
+
+
+def test_ranges_of_other_owners(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(3), rng.randrange(3), s, s + rng.randrange(9)) for i in range(200) for s in [rng.randrange(60)]] + [(900, 0, 0, None, 5), (901, 0, 1, 9, 3)]
+    frame = spark.createDataFrame(rows, "i INT, k INT, owner INT, s INT, e INT")
+    meets = lambda a, b: a[1] == b[1] and a[2] != b[2] and None not in (a[3], b[3]) and a[3] <= a[4] and b[3] <= b[4] and a[3] <= b[4] and b[3] <= a[4]
+    want = {a[0] for a in rows if not any(meets(a, b) for b in rows)}
+    assert {r["i"] for r in ranges.without_overlap(frame, ["k"], "owner", "s", "e").collect()} == want
+    segments = spark.createDataFrame([(k, s, s + 70, 1, 71) for k in range(3) for s in (1, 100, 500)], "k INT, ps INT, pe INT, ls INT, le INT")
+    points = spark.createDataFrame([(k, n, n) for k in range(4) for n in range(0, 600, 7)], "k INT, n INT, x INT")
+    few = [sorted(map(tuple, f.collect())) for f in (ranges.map_points(points, segments, ["k"], "n"), ranges.outside_segments(points, segments, ["k"], "n", "x"))]
+    monkeypatch.setattr(ranges, "BROADCAST_SEGMENTS", 2)
+    many = [sorted(map(tuple, f.collect())) for f in (ranges.map_points(points, segments, ["k"], "n"), ranges.outside_segments(points, segments, ["k"], "n", "x"))]
+    assert few == many and few[0]
+
+
+@pytest.mark.parametrize(("failed", "over", "begun"), [("fof", [0, 2], [0]), ("oof", [2], [0]), ("ooooof", [], []), ("f" + "o" * 39 + "f" * 8, [0, 44, 45, 46, 47], [0, 11])])
+def test_back_off(spark, failed, over, begun):
+    rows = spark.createDataFrame([(1, i, i // 4, c == "f") for i, c in enumerate(failed)], "k INT, i INT, batch BIGINT, failed BOOLEAN")
+    seen = microbatch.failure_windows(rows, ["k"], [F.col("i")], F.col("failed"))
+    assert sorted(r["i"] for r in seen.where("over").collect()) == over
+    assert sorted(r["batch"] for r in microbatch.back_offs(seen, ["k"], "batch").collect()) == begun

@@ -34,18 +34,27 @@ def test_candidate_score(spark, ids, similarity, year, n, want):
     assert row.select(score).first()[0] == want
 
 
-@pytest.mark.parametrize(("pairs", "reason", "offset", "boundary"), [
-    ([(13, 1), (18, 6), (24, 12)], None, 12, "both"), ([(15, 3), (20, 8)], None, 12, "internal-only"), ([(13, 1), (19, 6)], "non-linear", None, None), ([(20, 1)], "outside-season", None, None),
+@pytest.mark.parametrize(("pairs", "season", "reason", "offset", "boundary"), [
+    ([(13, 1), (18, 6), (24, 12)], range(1, 25), None, 12, "both-boundaries-observed"), ([(15, 3), (20, 8)], range(1, 25), None, 12, "internal-only"),
+    ([(13, 1), (19, 6)], range(1, 25), "non-linear-observed-transform", None, None), ([(20, 1)], range(1, 25), "inferred-segment-outside-provider-season", None, None),
+    ([(13, 1)], [*range(1, 20), *range(21, 30)], "inferred-segment-outside-provider-season", None, None), ([(13, 1), (99, 2)], range(1, 25), "missing-authoritative-provider-episode", None, None),
+    ([(13, 13), (99, 14)], range(1, 25), "invalid-local-episode-number", None, None), ([(13, 1), (14, 1)], range(1, 25), "duplicate-local-episode-number", None, None),
+    ([(13, 1), (13, 2)], range(1, 25), "duplicate-provider-episode-number", None, None), ([(13, 1)], [13, 13], "duplicate-provider-episode-number", None, None),
 ])
-def test_observed_transform(spark, pairs, reason, offset, boundary):
-    mapped = spark.createDataFrame([(1, p, x, 12) for p, x in pairs], "k INT, provider_number INT, local_number INT, n INT")
-    row = planning.observed_transform(mapped, spark.createDataFrame([(1, 1, 24)], "k INT, lo INT, hi INT"), ["k"], "n").first()
+def test_observed_transform(spark, pairs, season, reason, offset, boundary):
+    mapped = spark.createDataFrame([(1, p, x, 12) for p, x in pairs], "k INT, episode_id INT, local_number INT, n INT")
+    episodes = spark.createDataFrame([(1, n, n) for n in season], "k INT, episode_id INT, number INT")
+    row = planning.observed_transform(mapped, episodes, ["k"], "n").first()
     assert (row["reason"], row["offset"], row["boundary"]) == (reason, offset, boundary)
 
 
-@pytest.mark.parametrize(("ranges", "total", "want"), [((1, 12, 13, 24), 24, "exact-partition"), ((1, 13, 13, 24), 24, "overlapping"), ((1, 4, 5, 8), 23, "adjacent-subset"), ((1, 4, 6, 8), 8, "gap"), ((1, 4, 1, 4), 4, "same")])
-def test_dual_relation(spark, ranges, total, want):
-    assert spark.range(1).select(planning.dual_relation(*[F.lit(x) for x in ranges], F.lit(total))).first()[0] == want
+@pytest.mark.parametrize(("ranges", "numbers", "want"), [
+    ((1, 12, 13, 24), range(1, 25), "exact-provider-partition"), ((1, 13, 13, 24), range(1, 25), "overlapping-inferred-segments"), ((1, 4, 5, 8), range(1, 24), "adjacent-provider-subset"),
+    ((1, 4, 6, 8), range(1, 9), "disjoint-with-gap"), ((1, 4, 1, 4), range(1, 5), "same-inferred-segment"), ((1, 4, 5, 8), [1, 2, 3, 4, 5, 6, 7, 9], "adjacent-provider-subset"),
+])
+def test_dual_relation(spark, ranges, numbers, want):
+    own = F.array(*[F.lit(n) for n in numbers])
+    assert spark.range(1).select(planning.dual_relation(*[F.lit(x) for x in ranges], own)).first()[0] == want
 
 
 def test_leases(spark):
