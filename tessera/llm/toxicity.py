@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, text_or_empty
+from .common import fold, slices, staged, text_or_empty
+from .njoin import shingle_sets
 from .quality import MAX_TRAINING_ROWS, _logistic, training_rows
 
 THRESHOLD = 0.5
@@ -51,10 +52,26 @@ def keys_of(text: str) -> set[tuple[int, str]]:
     return out
 
 
+def one_of_each_family(rows: DataFrame) -> DataFrame:
+    """(text, y) of ``rows`` with near copies thinned out: of those that share the least hash of a five-word shingle one stays.
+
+    Near copies of one toxic document carry its other words along, which would pass for toxic ones if each copy counted.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in slices(frames, "text", 500_000):
+            doc, h, _ = shingle_sets(f["text"].map(text_or_empty).tolist(), 5)
+            least = np.full(len(f), np.iinfo(np.uint64).max, dtype=np.uint64)
+            np.minimum.at(least, doc, h)
+            yield f.assign(family=least.view(np.int64))
+
+    return rows.select("text", "y").mapInPandas(run, "text string, y int, family long").dropDuplicates(["family", "y"]).select("text", "y")
+
+
 def mine(rows: DataFrame, least_docs: int = LEAST_DOCS) -> pd.DataFrame:
     """(kind, key, strength): keys that are more frequent in toxic than in clean training rows (text, y), by class of STRENGTHS.
 
-    Frequencies are added up in Spark over all training rows and every key that reaches the least strength is kept:
+    Frequencies are added up in Spark over all training rows but near copies, and every key that reaches the least strength is kept:
     no more than the training rows, a bounded number, hold in ``least_docs`` documents each.
     """
 
@@ -67,6 +84,7 @@ def mine(rows: DataFrame, least_docs: int = LEAST_DOCS) -> pd.DataFrame:
             if keys:
                 yield pd.DataFrame({"kind": [k for k, _ in keys], "key": [w for _, w in keys], "toxic": [tox[k] for k in keys], "clean": [clean[k] for k in keys]})
 
+    rows = staged(one_of_each_family(rows), "families")
     n = rows.groupBy("y").count().collect()
     n_toxic, n_clean = (max(1, sum(r["count"] for r in n if r["y"] == y)) for y in (1, 0))
     counts = rows.mapInPandas(run, "kind int, key string, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -280,7 +298,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     values = np.log1p(np.concatenate([np.asarray(c, dtype=float) for c in seen["counts"]]))
     signed = (votes == TOXIC).astype(float) - (votes == CLEAN)
     coefficients, by_vote, intercept = linear(at, columns, values, signed, len(voters.index), posterior)
-    return LinearModel(voters, coefficients, by_vote, intercept)
+    z = np.bincount(at, coefficients[columns] * values, len(seen)) + signed @ by_vote + intercept
+    return LinearModel(voters, coefficients, by_vote, intercept - best_cut(z, seen["y"].to_numpy()))
+
+
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """Where a line through the scores parts the labels of the training rows best: the middle of the best places."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order] == 1
+    right = np.concatenate([[y.sum()], y.sum() + np.cumsum(np.where(y, -1, 1))])  # rows on the right side, if the first i are called clean
+    ends = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+    real = np.concatenate([[True], z[1:] > z[:-1], [True]])
+    best = ends[real & (right == right[real].max())]
+    return float(best[np.abs(best).argmin()])
 
 
 def score_documents(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD) -> DataFrame:
