@@ -29,13 +29,31 @@ def stage_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/tessera-stage"
 
 
+#: Paths of the tables that this process has staged and not removed.
+_staged: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing."""
     path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all tables staged so far: for callers whose results are written and read again."""
+    remove_tables(spark, _staged)
+    _staged.clear()
+
+
 def free_names(columns: list[str], n: int) -> list[str]:
     """``n`` column names that differ from ``columns``, in any case of letters."""
     taken = {c.lower() for c in columns}
