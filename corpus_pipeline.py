@@ -13,31 +13,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mix, njoin, shard, toxicity
-from tessera.llm.common import stage_folder
+from tessera.llm.common import remove_staged, remove_tables, stage_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, scores as toxic go."""
+    """Documents that the classifier, trained on the labelled ones among them, scores as toxic go.
+
+    Null and empty texts stay, repeated rows stay or go together; without labelled rows the fixed list of insults decides.
+    Columns of any name come back unchanged; an empty table gives an empty one.
+    """
     return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the one with the least doc_id stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the one with the least doc_id stays.
+
+    Null and word-free texts and null ids stay; rows that repeat a document stay or go together. Columns of any name come
+    back unchanged; an empty table gives an empty one.
+    """
     return njoin.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts stay, repeated rows stay or go together; an empty benchmark leaves all. Columns of any name come
+    back unchanged; an empty table gives an empty one.
+    """
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are taken, up to three times each, so that the sources come near their target weights."""
+    """Rows are taken, up to three times each, so that the sources come near their target weights.
+
+    A null source is a source; rows without words come never; rows that repeat a document are taken alike. Columns of any
+    name come back unchanged; an empty table gives an empty one.
+    """
     return mix.mixed_documents(docs)
 
 
 def shard_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets its shard and its slot there; all columns stay."""
+    """Every row gets its shard and its slot there, nulls, empty texts and repeats like any other; all columns stay.
+
+    Where a column has the name of a new one, the new one's gets _2 behind it. An empty table gives an empty one.
+    """
     return shard.shard_documents(docs)
 
 
@@ -54,10 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; what a stage returns is written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to documents; what a stage returns is written to the shared folder and read by the next.
+
+    What a stage was made of, its input's copy and its own intermediate tables, is removed once it is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = f"{stage_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        remove_staged(spark)
+        remove_tables(spark, before)
+        before = [path]
     return docs
