@@ -79,8 +79,3 @@ def aligned(n_expected: Column, n_provider: Column, n_matching: Column, valid: C
 def dub_action(has_dub: Column, finished: Column) -> Column:
     """What an episode's dub says: missing without one, available with one when the title has finished, else null (evidence is cleared)."""
     return F.when(~has_dub, "missing").when(finished, "available")
-
-
-def relation_evidence(metadata: Column, kinds: Column) -> Column:
-    """What is known of two titles' relation: missing-metadata, prequel-or-sequel, other-relation or none; ``kinds``: the relations between them."""
-    return F.when(~metadata, "missing-metadata").when(F.arrays_overlap(kinds, F.array(F.lit("PREQUEL"), F.lit("SEQUEL"))), "prequel-or-sequel").when(F.size(kinds) > 0, "other-relation").otherwise("none")

@@ -16,6 +16,11 @@ def gated(rows: DataFrame, gates: list[tuple[str, Column]]) -> DataFrame:
     return rows.withColumn("reason", first_reason(*gates))
 
 
+def in_order(*steps: tuple[str, Column] | Column) -> Column:
+    """The first reason of a job's gates: pairs of a name and a condition, and columns that hold a reason themselves."""
+    return F.coalesce(*[F.when(x[1], F.lit(x[0])) if isinstance(x, tuple) else x for x in steps])
+
+
 def reject_single_use(rows: DataFrame, keys: list[str], reason: str) -> DataFrame:
     """Candidates that share their keys with another candidate are all rejected; rows with a reason already keep it."""
     n = rows.where("reason IS NULL").groupBy(*keys).agg(F.count("*").alias("_n"))
