@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import classify, matching, merge, reads
+from tessera.operators import classify, matching, merge, planning, reads, scoring
 from tessera.operators import relational as rel
+from tessera.streaming import microbatch
 
 from .catalogue import query, table
 from .repairs import _made
@@ -330,3 +331,69 @@ def silent_runs(spark: SparkSession, d: str) -> DataFrame:
 def audio_status(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     return table(spark, d, "events").select("event_id", classify.dub_action(kind != "error", kind.isin("purchase", "view")).alias("action"))
+
+
+@query(
+    "date_functions",
+    """WITH o AS (SELECT o_orderkey, o_custkey, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS d, CASE WHEN o_custkey % 6 > 0 THEN year(o_orderdate) END AS y, CASE WHEN o_custkey % 4 > 0 THEN month(o_orderdate) END AS m, CASE WHEN o_custkey % 3 > 0 THEN day(o_orderdate) END AS n FROM orders),
+       x AS (SELECT *, CASE o_custkey % 5 WHEN 0 THEN '1996-02-30' WHEN 1 THEN ' ' || d || ' ' WHEN 2 THEN 'soon' WHEN 3 THEN '0001-01-01T00:00:00Z' ELSE d END AS t FROM o)
+       SELECT o_orderkey, CASE WHEN y IS NOT NULL THEN lpad(CAST(y AS VARCHAR), 4, '0') || '-' || lpad(CAST(coalesce(m, 1) AS VARCHAR), 2, '0') || '-' || lpad(CAST(coalesce(n, 1) AS VARCHAR), 2, '0') END AS partial,
+       CASE WHEN o_custkey % 5 IN (1, 4) THEN d END AS strict, CASE WHEN o_custkey % 5 IN (1, 4) THEN abs(date_diff('day', CAST(d AS DATE), DATE '1995-06-17')) END AS apart,
+       CASE WHEN o_custkey % 5 = 0 THEN 1996 WHEN o_custkey % 5 = 4 THEN CAST(substr(d, 1, 4) AS INT) WHEN o_custkey % 5 = 1 AND substr(d, 1, 3) >= '190' THEN NULL END AS year,
+       CASE WHEN o_custkey % 5 IN (1, 4) AND d < '1995-06-17' THEN d ELSE '1995-06-17' END AS earliest, CASE WHEN o_custkey % 5 <> 3 THEN t END AS given FROM x""",
+)
+def date_functions(spark: SparkSession, d: str) -> DataFrame:
+    c, k = F.col, F.col("o_custkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(k % 5 == 0, "1996-02-30").when(k % 5 == 1, F.concat(F.lit(" "), day, F.lit(" "))).when(k % 5 == 2, "soon").when(k % 5 == 3, fn.UNSET).otherwise(day)
+    rows = table(spark, d, "orders").withColumn("t", text)
+    parts = [F.when(k % n > 0, f("o_orderdate")) for n, f in ((6, F.year), (4, F.month), (3, F.day))]
+    return rows.select(
+        "o_orderkey", fn.partial_date(*parts).alias("partial"), F.date_format(fn.strict_date(c("t")), "yyyy-MM-dd").alias("strict"), fn.days_apart(fn.strict_date(c("t")), F.to_date(F.lit("1995-06-17"))).alias("apart"),
+        fn.year_of(c("t")).alias("year"), fn.earliest_date(F.array(c("t"), F.lit("1995-06-17"), F.lit("x"))).alias("earliest"), fn.set_time(c("t")).alias("given"),
+    )
+
+
+@query("json_lists", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand || '|' || p_type END AS texts FROM part""")
+def json_lists(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("p_partkey") % 4 == 0, "{bad").otherwise(F.concat(F.lit('["'), F.col("p_brand"), F.lit('", 1, null, "'), F.col("p_type"), F.lit('", {"a": 2}]')))
+    return table(spark, d, "part").withColumn("j", text).select("p_partkey", F.array_join(fn.json_strings(F.col("j")), "|").alias("texts"))
+
+
+@query(
+    "extra_numbers",
+    "SELECT l_orderkey, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (WHERE n > 4), '') AS extra, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS signature FROM (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem) GROUP BY 1",
+)
+def extra_numbers(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("x"))
+    return a.select("l_orderkey", F.array_join(rel.extra_numbers(F.col("x"), F.lit(4)), ",").alias("extra"), F.array_join("x", ",").alias("signature"))
+
+
+@query("safe_progress", "SELECT coalesce(min(event_id) FILTER (WHERE event_type = 'error') - 1, max(event_id)) AS safe FROM events")
+def safe_progress(spark: SparkSession, d: str) -> DataFrame:
+    return microbatch.safe_progress(table(spark, d, "events"), "event_id", F.col("event_type") == "error")
+
+
+@query(
+    "stale_leases",
+    """WITH n AS (SELECT max(ts) AS now FROM events), r AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'done' ELSE 'running' END AS status, CASE WHEN event_id % 3 > 0 THEN ts END AS h, ts - INTERVAL 1 HOUR AS s FROM events)
+       SELECT event_id FROM r, n WHERE status = 'running' AND coalesce(h, s) < now - INTERVAL 5 MINUTE""",
+)
+def stale_leases(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    runs = events.select("event_id", F.when(F.col("event_type") == "error", "done").otherwise("running").alias("status"), F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("heartbeat_at"), (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("started_at"))
+    return planning.stale_leases(runs, now).select("event_id")
+
+
+@query(
+    "candidate_scores",
+    """WITH c AS (SELECT o_orderkey, o_custkey % 9 AS hit, o_custkey % 11 / 10.0 AS sim, year(o_orderdate) AS y, o_orderkey % 30 AS n, CASE WHEN o_orderkey % 4 > 0 THEN 12 END AS e FROM orders)
+       SELECT o_orderkey, CASE WHEN hit = 0 THEN 1000 WHEN hit = 1 THEN -1 WHEN sim < 0.5 OR abs(y - 1995) > 1 OR (n > 0 AND e IS NOT NULL AND n / 12 NOT BETWEEN 0.75 AND 1.35) THEN -1
+       ELSE CASE abs(y - 1995) WHEN 0 THEN 30 ELSE 8 END + CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN n > 0 AND n = e THEN 15 WHEN n > 0 AND abs(n - e) <= 2 THEN 5 ELSE 0 END + CAST(floor(sim * 35 + 0.5) AS INT) END AS score FROM c""",
+)
+def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    mapped = F.when(c % 9 == 0, F.array(F.lit("8"), F.lit("9"))).when(c % 9 == 1, F.array(F.lit("7"))).otherwise(F.array().cast("array<string>"))
+    score = scoring.candidate_score(mapped, F.lit(False), F.lit("8"), c % 11 / 10.0, F.year("o_orderdate"), F.lit(1995), F.when(k % 2 == 0, "Fall").otherwise("SPRING"), F.lit("FALL"), k % 30, F.when(k % 4 > 0, 12))
+    return table(spark, d, "orders").select("o_orderkey", score.alias("score"))
