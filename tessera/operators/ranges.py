@@ -70,20 +70,21 @@ def without_overlap(rows: DataFrame, identity: list[str], owner: str, start: str
 
     A range meets as many ranges as begin by its end, less those that end before its start; it meets another owner's if
     that count over its identity is larger than over its own owner's ranges. Both counts come from one sort of all
-    bounds. Rows with a null bound, or that end before they begin, meet nothing.
+    bounds. Rows with a null identity, owner or bound, or that end before they begin, meet nothing. Columns must be of types
+    that can be grouped by: rows that are equal in all of them share their fate.
     """
-    valid = F.coalesce(F.col(start) <= F.col(end), F.lit(False))
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*identity, owner]])
+    valid = known & F.coalesce(F.col(start) <= F.col(end), F.lit(False))
     # Of equal bounds starts come first: a range that ends where another begins meets it.
-    bound = F.explode(F.array(*[F.struct(F.col(x).alias("at"), F.lit(i).alias("kind")) for i, x in enumerate((start, end))]))
-    bounds = numbered.where(valid).select("_row", *identity, F.col(owner).alias("_owner"), bound.alias("_b")).select("*", "_b.at", "_b.kind")
+    bounds = rows.where(valid).select("*", F.inline(F.array(*[F.struct(F.col(x).alias("_at"), F.lit(i).alias("_kind")) for i, x in enumerate((start, end))])))
     met = F.lit(0)
-    for sign, keys in ((1, identity), (-1, [*identity, "_owner"])):
-        so_far = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        starts, ends = (F.sum((F.col("kind") == k).cast("long")).over(so_far) for k in (0, 1))
-        met = met + sign * F.when(F.col("kind") == 1, starts).otherwise(-ends)
-    others = bounds.withColumn("_met", met).groupBy("_row").agg(F.sum("_met").alias("_met")).where("_met > 0").select("_row")
-    return numbered.join(others, "_row", "left_anti").drop("_row")
+    for sign, keys in ((1, identity), (-1, [*identity, owner])):
+        so_far = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        starts, ends = (F.sum((F.col("_kind") == k).cast("long")).over(so_far) for k in (0, 1))
+        met = met + sign * F.when(F.col("_kind") == 1, starts).otherwise(-ends)
+    alone = bounds.withColumn("_met", met).groupBy(*rows.columns).agg(F.sum("_met").alias("_met"), F.count_if(F.col("_kind") == 0).alias("_n")).where("_met = 0")
+    again = alone.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return again.select(*rows.columns).unionByName(rows.where(~valid))
 
 
 def islands(rows: DataFrame, keys: list[str], number: str) -> DataFrame:

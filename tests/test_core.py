@@ -138,11 +138,13 @@ def test_ranking(spark):
 
 def test_ranges_of_other_owners(spark, monkeypatch):
     rng = random.Random(1)
-    rows = [(i, rng.randrange(3), rng.randrange(3), s, s + rng.randrange(9)) for i in range(200) for s in [rng.randrange(60)]] + [(900, 0, 0, None, 5), (901, 0, 1, 9, 3)]
+    rows = [(i, rng.randrange(3), rng.randrange(3), s, s + rng.randrange(9)) for i in range(200) for s in [rng.randrange(60)]] + [(900, 0, 0, None, 5), (901, 0, 1, 9, 3), (902, None, 0, 1, 60), (903, 1, None, 1, 60)]
     frame = spark.createDataFrame(rows, "i INT, k INT, owner INT, s INT, e INT")
-    meets = lambda a, b: a[1] == b[1] and a[2] != b[2] and None not in (a[3], b[3]) and a[3] <= a[4] and b[3] <= b[4] and a[3] <= b[4] and b[3] <= a[4]
+    meets = lambda a, b: a[1] == b[1] and a[2] != b[2] and None not in (*a[1:4], *b[1:4]) and a[3] <= a[4] and b[3] <= b[4] and a[3] <= b[4] and b[3] <= a[4]
     want = {a[0] for a in rows if not any(meets(a, b) for b in rows)}
     assert {r["i"] for r in ranges.without_overlap(frame, ["k"], "owner", "s", "e").collect()} == want
+    twice = ranges.without_overlap(frame.unionByName(frame), ["k"], "owner", "s", "e").collect()
+    assert sorted(r["i"] for r in twice) == sorted([*want, *want])
     segments = spark.createDataFrame([(k, s, s + 70, 1, 71) for k in range(3) for s in (1, 100, 500)], "k INT, ps INT, pe INT, ls INT, le INT")
     points = spark.createDataFrame([(k, n, n) for k in range(4) for n in range(0, 600, 7)], "k INT, n INT, x INT")
     few = [sorted(map(tuple, f.collect())) for f in (ranges.map_points(points, segments, ["k"], "n"), ranges.outside_segments(points, segments, ["k"], "n", "x"))]
