@@ -99,6 +99,35 @@ def prefix_plans(spark: SparkSession, d: str) -> DataFrame:
     return plan.withColumn("missing", F.array_join("missing", ","))
 
 
+_BEHIND = "SELECT o_orderkey AS season, CAST(o_custkey % 4 + 1 AS INT) AS prefix_end, o_orderkey * 10 + 2 AS owner FROM orders"
+_MAPPED = """SELECT season, number, season * 10 + CASE WHEN (episode_id * 7 + o_custkey) % 29 = 0 THEN 3 ELSE 2 END AS anime_id, number - o_custkey % 4 - 1 + CASE WHEN (episode_id + o_custkey) % 37 = 0 THEN 1 ELSE 0 END AS local_number,
+  CASE WHEN (episode_id + o_custkey) % 31 = 0 THEN 'special' ELSE 'normal' END AS kind FROM e WHERE (episode_id * 3 + o_custkey) % 43 > 0"""
+#: Three candidates a season, of which the second is the owner's; counts and dates fit for some.
+_KIN = """SELECT o_orderkey AS season, o_orderkey * 10 + i AS anime_id, CAST(o_orderkey % 5 + 2 - o_custkey % 4 - CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN (o_custkey + i) % 5 = 0 THEN 1 ELSE 0 END AS INT) AS episode_count, (o_custkey + i) % 7 = 0 AS short,
+  CASE WHEN (o_custkey + i) % 11 = 0 THEN 'x' ELSE '1996-03-31' END AS start_date, CASE WHEN (o_custkey + i) % 6 = 0 THEN '1999-01-01' ELSE '1996-06-30' END AS end_date, (o_orderkey + i) % 3 > 0 AS related FROM orders"""
+
+
+@query(
+    "suffix_plans",
+    f"""WITH {repairs._SEASONS_SQL}, t AS ({_BEHIND}), m AS ({_MAPPED}), x AS (SELECT e.*, {_AIRED} AS aired FROM e), c AS (SELECT * FROM ({_KIN.replace("FROM orders", "FROM orders, (VALUES (1), (2), (3)) v(i)")})),
+    a AS (SELECT season, count(*) AS m, min(number) AS lo FROM e GROUP BY 1), s AS (SELECT t.*, CASE WHEN a.lo = 1 AND prefix_end < m THEN prefix_end + 1 END AS ss, CASE WHEN a.lo = 1 AND prefix_end < m THEN m END AS se FROM t JOIN a USING (season)),
+    h AS (SELECT s.season, count(*) AS n, count(DISTINCT anime_id) AS k, min(anime_id) AS one, bool_and(kind = 'normal' AND local_number = number - ss + 1) AS step FROM s JOIN m ON m.season = s.season AND number BETWEEN ss AND se GROUP BY 1),
+    f AS (SELECT c.* FROM c JOIN s USING (season) JOIN x y ON y.season = s.season AND y.number = ss JOIN x z ON z.season = s.season AND z.number = se
+      WHERE c.episode_count = se - ss + 1 AND NOT short AND start_date <> 'x' AND y.aired < '1997' AND abs(date_diff('day', CAST(y.aired AS DATE), DATE '1996-03-31')) <= 180 AND abs(date_diff('day', CAST(z.aired AS DATE), CAST(end_date AS DATE))) <= 180),
+    g AS (SELECT season, count(*) FILTER (WHERE related) AS n, min(anime_id) FILTER (WHERE related) AS kin, bool_or(anime_id % 10 = 2) AS own FROM f GROUP BY 1)
+    SELECT s.season, ss AS suffix_start, se AS suffix_end, coalesce(h.n, 0) AS n_mapped, CASE WHEN h.n = se - ss + 1 AND h.k = 1 AND step AND EXISTS (SELECT 1 FROM f WHERE f.season = s.season AND f.anime_id = h.one) THEN h.one END AS exact,
+    CASE WHEN g.n = 1 THEN kin END AS related, coalesce(own, FALSE) AS owner_fits FROM s LEFT JOIN h ON h.season = s.season LEFT JOIN g ON g.season = s.season""",
+)
+def suffix_plans(spark: SparkSession, d: str) -> DataFrame:
+    e, orders = repairs._seasons(spark, d), table(spark, d, "orders")
+    mapped = spark.sql(_MAPPED.replace("FROM e", "FROM {e}"), e=e)
+    kin = spark.sql(_KIN.replace("FROM orders", "FROM {rows}"), rows=orders.withColumn("i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))))
+    locals_ = F.when(F.col("episode_count") > 0, F.sequence(F.when(F.col("short"), 2).otherwise(1), F.greatest("episode_count", F.lit(2)))).otherwise(F.array().cast("array<int>"))
+    locals_ = F.when((F.col("episode_count") == 1) & ~F.col("short"), F.array(F.lit(1))).otherwise(locals_)
+    episodes = spark.sql(f"SELECT season, number, {_AIRED} AS air_date FROM {{e}}", e=e)
+    return evidence.suffix_evidence(spark.sql(_BEHIND.replace("FROM orders", "FROM {rows}"), rows=orders), episodes, mapped, kin.withColumn("locals", locals_), ["season"])
+
+
 #: Gates of the ownership repair job that are facts about the season's provider entity and its parents, in their order.
 _FACTS = {
     "missing-provider-entity": 53, "target-provider-association-already-exists": 47, "owner-count-not-one": 43, "existing-provider-segments": 41, "missing-legacy-parent": 37,
