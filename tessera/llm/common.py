@@ -6,6 +6,7 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,18 @@ def stage_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/tessera-stage"
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """While it lasts, Python workers get batches of ``n`` rows at most, so that batches of texts stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(n, int(before)) if int(before) > 0 else n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Paths of the tables that this process has staged and not removed.
 _staged: list[str] = []
 

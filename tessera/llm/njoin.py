@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, slices, staged, text_or_empty
+from .common import batch_rows, free_names, slices, staged, text_or_empty
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Members up to which a signature is looked at pair by pair.
@@ -42,11 +42,13 @@ CELLS = 128
 #: Chance that a shingle of one set is also in an unrelated set of its band, and cost of a candidate in signatures.
 CHANCE, CANDIDATE_COST = 0.03, 3.0
 PIECE = 500_000
+#: Rows of a batch for a Python worker: some megabytes of texts.
+BATCH_ROWS = 1000
 
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 #: Word digests that a task keeps, and the longest word that is kept.
-DIGESTS, DIGEST_BYTES = 200_000, 40
+DIGESTS, DIGEST_BYTES = 60_000, 40
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _digests: dict[int, dict[bytes, bytes]] = {}
 
@@ -394,7 +396,8 @@ def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den:
     members = {b: rough.get(int(np.log(max(1, low)) / step), 0) for b, low in enumerate(edges)}
     bands = allocate(num, den, most, members)
     for seed in range(4):
-        found = _classes_of(docs, k, num, den, bands, seed)
+        with batch_rows(docs.sparkSession, BATCH_ROWS):
+            found = _classes_of(docs, k, num, den, bands, seed)
         if found is not None:
             return found
     raise RuntimeError("four seeds in turn gave different shingles one hash")
