@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,31 +43,43 @@ def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-#: Paths of the tables that this process has staged and not removed.
-_staged: list[str] = []
+#: Folder of the run that stages tables now; None outside of runs.
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def staging_run(spark: SparkSession) -> Iterator[str]:
+    """While it lasts, tables of this thread are staged in a folder of their own, whose path it gives.
+
+    Results are lazy and read these tables, so the caller removes the folder (``remove_tables``) once it has written
+    what it made of them. Tables of other runs, and those staged outside of any, are never touched.
+    """
+    token = _run.set(f"{stage_folder(spark)}/run-{uuid.uuid4().hex}")
+    try:
+        yield _run.get()
+    finally:
+        _run.reset(token)
+
+
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table, in the folder of the run that lasts."""
+    return f"{_run.get() or stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that nothing reads any more."""
+    """Delete tables, or whole folders of runs, that nothing reads any more."""
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def remove_staged(spark: SparkSession) -> None:
-    """Delete all tables staged so far: for callers whose results are written and read again."""
-    remove_tables(spark, _staged)
-    _staged.clear()
-
-
 def free_names(columns: list[str], n: int) -> list[str]:
     """``n`` column names that differ from ``columns``, in any case of letters."""
     taken = {c.lower() for c in columns}
