@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mix, njoin, shard, toxicity
-from tessera.llm.common import remove_staged, remove_tables, stage_folder
+from tessera.llm.common import remove_tables, stage_folder, staging_run
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,14 +75,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents; what a stage returns is written to the shared folder and read by the next.
 
-    What a stage was made of, its input's copy and its own intermediate tables, is removed once it is written.
+    What a stage was made of, its input's copy and the tables that it staged itself, is removed once it is written, or
+    when it fails; tables of other queries and of other runs stay.
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = f"{stage_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        remove_staged(spark)
-        remove_tables(spark, before)
-        before = [path]
+        with staging_run(spark) as own:
+            try:
+                stage(spark, docs, sf_dir).write.parquet(path)
+            finally:
+                remove_tables(spark, [own, *before])
+        docs, before = spark.read.parquet(path), [path]
     return docs
