@@ -15,7 +15,7 @@ still lie in several components are looked at again, small ones pair by pair, la
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -244,7 +244,16 @@ def _class_ids(doc: np.ndarray, h: np.ndarray, other: np.ndarray, n: np.ndarray)
     return mix(one + n.astype(np.uint64)).view(np.int64), mix(two).view(np.int64)
 
 
+#: (document numbers, their signatures, one row of numbers for each document) of (document numbers, hashes, documents).
+Marks = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 def _prepared(docs: DataFrame, k: int, bands: Bands, seed: int) -> DataFrame:
+    return prepared(docs, k, seed, lambda doc, h, n: (*signatures(doc, h, n, bands), sketch(doc, h, n)))
+
+
+def prepared(docs: DataFrame, k: int, seed: int, marks: Marks) -> DataFrame:
+    """doc_id, body, n_shingles, set1, set2 of every row, and of sets that their task hasn't met before: sigs, sketch."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,11 +271,11 @@ def _prepared(docs: DataFrame, k: int, bands: Bands, seed: int) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(int(one[i]))
             use = fresh[doc]
-            owner, sig = signatures(doc[use], h[use], len(texts), bands)
+            owner, sig, cells = marks(doc[use], h[use], len(texts))
             order = np.argsort(owner, kind="stable")
             owner, sig = owner[order], sig[order].view(np.int64)
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-            cells = sketch(doc, h, len(texts)).astype(np.int32)
+            cells = cells.astype(np.int32)
             yield pd.DataFrame({
                 "doc_id": f["doc_id"].to_numpy(), "body": f["body"].to_numpy(), "n_shingles": n, "set1": one, "set2": two,
                 "sigs": [sig[ends[i] : ends[i + 1]] if fresh[i] else None for i in range(len(texts))],
@@ -323,13 +332,40 @@ def _met(sets: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     return sets.where("sigs IS NOT NULL").select("sigs", "set1").mapInPandas(run, "sig long, set1 long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts, k: int, num: int, den: int) -> DataFrame:
+@dataclass(frozen=True)
+class Search:
+    """How candidates are found, and how most of them are ruled out before words are compared.
+
+    ``prepare(docs, k, seed)`` gives each row its set's numbers, signatures and sketch; ``near(pairs)`` keeps of the rows
+    (a, n_a, s_a, b, n_b, s_b) those that may be similar; ``sketches(doc, h, n_docs)`` makes sketches of sets of hashes, and
+    ``close(s, n, rest, sizes)`` tells which of the sketches ``rest`` may be similar to the sketch ``s``.
+    """
+
+    prepare: Callable[[DataFrame, int, int], DataFrame]
+    near: Callable[[DataFrame], DataFrame]
+    sketches: Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+    close: Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _partitioned(bands: Bands, num: int, den: int) -> Search:
+    """Signatures from the partitioned universe, sketches that count shingles by cell."""
+
+    def near(pairs: DataFrame) -> DataFrame:
+        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+        return pairs.where(apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+
+    def close(s: np.ndarray, n: int, rest: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.abs(rest - s).sum(axis=1) * (num + den) <= (sizes + n) * (den - num)
+
+    return Search(lambda docs, k, seed: _prepared(docs, k, bands, seed), near, sketch, close)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts, k: int, num: int, den: int, search: Search) -> DataFrame:
     """(a, b) of ``pairs`` whose sets are similar: sizes first, then sketches, then the words themselves."""
     left = classes.select(F.col("set1").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = classes.select(F.col("set1").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     sized = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    near = staged(sized.where(apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b"), "near-pairs")
+    near = staged(search.near(sized).select("a", "b"), "near-pairs")
     own = texts(near.select(F.col("a").alias("set1")).unionByName(near.select(F.col("b").alias("set1"))).distinct())
     met = near.join(own.select(F.col("set1").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("set1").alias("a"), F.col("text").alias("x")), "a")
 
@@ -341,13 +377,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts, k: int, num: int, den
     return met.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def _linked_in_block(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+def _linked_in_block(frame: pd.DataFrame, num: int, den: int, search: Search) -> pd.DataFrame:
     """Links that join components of a large signature's members; pairs that are joined already are skipped."""
     ids, label = frame["set1"].to_numpy(), frame["label"].to_numpy()
     sets = [np.sort(np.asarray(x, dtype=np.int64)) for x in frame["shingles"]]
     n = np.array([len(s) for s in sets])
     side = frame["side"].to_numpy()
-    cells = np.stack([np.bincount((s.view(np.uint64) >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS) for s in sets]).astype(np.int32)
+    # 32 sets at a time: a sketch may be made of more numbers than its set has
+    cells = np.concatenate([search.sketches(np.repeat(np.arange(len(part)), [len(s) for s in part]), np.concatenate(part).view(np.uint64), len(part)).astype(np.int32) for part in (sets[i : i + 32] for i in range(0, len(sets), 32))])
     parent = {int(x): int(x) for x in label}
 
     def root(x: int) -> int:
@@ -362,8 +399,7 @@ def _linked_in_block(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         ok = (label[later] != label[i]) & (np.minimum(n[later], n[i]) * den >= np.maximum(n[later], n[i]) * num) & ((side[later] != side[i]) | (side.max() == side.min()))
         later = later[ok]
         if len(later):
-            far = np.abs(cells[later] - cells[i]).sum(axis=1)
-            later = later[far * (num + den) <= (n[later] + n[i]) * (den - num)]
+            later = later[search.close(cells[i], n[i], cells[later], n[later])]
         for j in later:
             a, b = root(int(label[i])), root(int(label[j]))
             if a != b:
@@ -394,18 +430,22 @@ def similar_classes(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den:
     most = 1 + max([int(np.exp((b + 1) * step)) * 6 for b in rough], default=1)
     edges = band_edges(most)
     members = {b: rough.get(int(np.log(max(1, low)) / step), 0) for b, low in enumerate(edges)}
-    bands = allocate(num, den, most, members)
+    return classes_by(_partitioned(allocate(num, den, most, members), num, den), docs, k, num, den)
+
+
+def classes_by(search: Search, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """What ``similar_classes`` returns, with candidates from ``search``."""
     for seed in range(4):
         with batch_rows(docs.sparkSession, BATCH_ROWS):
-            found = _classes_of(docs, k, num, den, bands, seed)
+            found = _classes_of(search, docs, k, num, den, seed)
         if found is not None:
             return found
     raise RuntimeError("four seeds in turn gave different shingles one hash")
 
 
-def _classes_of(docs: DataFrame, k: int, num: int, den: int, bands: Bands, seed: int) -> DataFrame | None:
-    """What ``similar_classes`` returns, or None if hashes under this seed tell too little apart."""
-    prep = staged(_prepared(docs, k, bands, seed), "sets")
+def _classes_of(search: Search, docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame | None:
+    """What ``classes_by`` returns, or None if hashes under this seed tell too little apart."""
+    prep = staged(search.prepare(docs, k, seed), "sets")
     some = prep.where("n_shingles > 0")
     named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "body")))
     grouped = some.groupBy("set1").agg(F.min("set2").alias("low"), F.max("set2").alias("high"), F.coalesce(named, F.min(F.struct("doc_id", "body"))).alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
@@ -436,7 +476,7 @@ def _classes_of(docs: DataFrame, k: int, num: int, den: int, bands: Bands, seed:
     shared = staged(rows.groupBy("sig").agg(F.min("set1").alias("p"), F.max("set1").alias("q")).where("p < q").select("sig", "p"), "shared")
     members_of = staged(_met(some, rows, shared).join(shared, "sig").distinct(), "members")
     stars = members_of.where("set1 <> p").select(F.col("p").alias("a"), F.col("set1").alias("b")).distinct()
-    links = staged(_verified(stars, classes, texts, k, num, den), "links")
+    links = staged(_verified(stars, classes, texts, k, num, den, search), "links")
     label = components(links)
 
     # Signatures whose members, three at least, are in several components still.
@@ -450,10 +490,10 @@ def _classes_of(docs: DataFrame, k: int, num: int, den: int, bands: Bands, seed:
     many = again.where(F.col("size") > SMALL)
     joined = 0
     if not many.isEmpty():
-        joining = staged(_block_links(many, classes, sets, num, den), "block-links").distinct()
+        joining = staged(_block_links(many, classes, sets, num, den, search), "block-links").distinct()
         joined = joining.count()
         more = more.unionByName(joining).distinct()
-    more = staged(_verified(more, classes, texts, k, num, den), "more-links")
+    more = staged(_verified(more, classes, texts, k, num, den, search), "more-links")
     if joined and more.join(joining, ["a", "b"], "left_semi").count() < joined:
         return None  # a pair was passed over because of a link that isn't one
     if not more.isEmpty():
@@ -465,7 +505,7 @@ def _classes_of(docs: DataFrame, k: int, num: int, den: int, bands: Bands, seed:
     return own.select("doc_id", "body", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _block_links(many: DataFrame, classes: DataFrame, sets, num: int, den: int) -> DataFrame:
+def _block_links(many: DataFrame, classes: DataFrame, sets, num: int, den: int, search: Search) -> DataFrame:
     """(a, b) that join components of large signatures' members. Members are dealt into blocks, each pair of blocks is one group."""
     sized = many.join(classes.select("set1", "n"), "set1")
     # A hot signature's counts are added up before they are exchanged; the blocks of all signatures are few numbers each.
@@ -474,7 +514,7 @@ def _block_links(many: DataFrame, classes: DataFrame, sets, num: int, den: int)
     # A member goes to each pair of blocks that its own is in; a block is also compared with itself.
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = other.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set1", "label", F.col("block").alias("side")).join(sets(many.select("set1").distinct()), "set1")
-    return sent.groupBy("sig", "i", "j").applyInPandas(lambda f: _linked_in_block(f, num, den), "a long, b long")
+    return sent.groupBy("sig", "i", "j").applyInPandas(lambda f: _linked_in_block(f, num, den, search), "a long, b long")
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:

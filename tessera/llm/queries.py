@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, html, mix, njoin, quality, secrets, shard, toxicity, urls
+from . import align, codes, decontaminate, exact, html, minhash, mix, njoin, quality, secrets, shard, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": lambda s, d: html.op8_html_extraction(t(s, d, "pages")),
         "op9_exact_dedup": lambda s, d: exact.op9_exact_dedup(t(s, d, "documents")),
         "op10_sharding": lambda s, d: shard.op10_sharding(t(s, d, "documents")),
+        "op11_minhash_dedup": lambda s, d: minhash.op11_minhash_dedup(t(s, d, "documents")),
+        "op12_token_alignment": lambda s, d: align.op12_token_alignment(t(s, d, "documents")),
+        "op13_vector_codes": lambda s, d: codes.op13_vector_codes(t(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"url_rules": urls.RULES_SQL, "op3_ngram_jaccard": njoin.OP3_SQL, "op9_exact_dedup": exact.OP9_SQL}
+    return {"url_rules": urls.RULES_SQL, "op3_ngram_jaccard": njoin.OP3_SQL, "op9_exact_dedup": exact.OP9_SQL, "op11_minhash_dedup": minhash.OP11_SQL, "op13_vector_codes": codes.OP13_SQL}
