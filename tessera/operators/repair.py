@@ -201,18 +201,3 @@ def transfer_plan(moves: DataFrame, episodes: DataFrame, mapped: DataFrame, targ
     rows = checked.join(plans.where("reason IS NULL").select(*group), group, "left_semi").select(*group, "mapping_id", "episode_id", "number", "from_id", c("to.to_id").alias("to_id"))
     return plans, rows
 
-
-def moved(rows: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): ``rows`` (mapping_id, episode_id ...) with each move's (mapping_id, from_id, to_id) carried out.
-
-    A move is rejected unless exactly one row has its mapping_id and stands at from_id, and no row stands at to_id yet. If any is, none is carried out.
-    """
-    at = rows.groupBy("mapping_id").agg(F.count("*").alias("_n"), F.max("episode_id").alias("_at"))
-    taken = rows.select(F.col("episode_id").alias("to_id")).distinct().withColumn("_taken", F.lit(True))
-    checked = moves.join(at, "mapping_id", "left").join(taken, "to_id", "left")
-    ok = F.coalesce((F.col("_n") == 1) & (F.col("_at") == F.col("from_id")) & F.col("_taken").isNull(), F.lit(False))
-    rejects = checked.where(~ok).select(*moves.columns)
-    if not rejects.isEmpty():
-        return rows, rejects
-    changed = rows.join(moves.select("mapping_id", F.col("to_id").alias("_to")), "mapping_id", "left")
-    return changed.withColumn("episode_id", F.coalesce("_to", "episode_id")).select(*rows.columns), rejects
