@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,13 +21,33 @@ def failure_windows(rows: DataFrame, keys: list[str], order: list[Column], faile
     return rows.withColumn("over", failed & (F.sum(failed.cast("int")).over(w) >= share * F.count("*").over(w)))
 
 
+def spaced(rows: DataFrame, keys: list[str], at: str, apart: int) -> DataFrame:
+    """Of each key the row with the least number ``at``, then the next row at least ``apart`` behind the last one taken.
+
+    Rows of a key are gone through in order; a task holds the last one taken only, however many rows a key has.
+    """
+    own = [rows.columns.index(k) for k in keys]
+    place = rows.columns.index(at)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, begun = None, 0
+        for f in frames:
+            takes = []
+            for row in zip(*(f.iloc[:, i] for i in own), f.iloc[:, place], strict=True):
+                key, n = [None if v != v else v for v in row[:-1]], row[-1]  # null keys are one key
+                takes.append(key != last or n >= begun + apart)
+                if takes[-1]:
+                    last, begun = key, n
+            yield f[takes]
+
+    ordered = rows.where(F.col(at).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, at)
+    return ordered.mapInPandas(run, ", ".join(f"`{n}` {kind}" for n, kind in rows.dtypes))
+
+
 def back_offs(rows: DataFrame, keys: list[str], batch: str, hold: int = 10) -> DataFrame:
     """(keys, batch) in which a back-off begins: the first batch with a row that is ``over``, then the first such batch
-    after ``hold`` batches have passed. What is collected of a key is one number for each batch that failed."""
-    failing = rows.where("over").groupBy(*keys).agg(F.array_sort(F.collect_set(batch)).alias("_b"))
-    none = F.array().cast("array<bigint>")
-    begun = F.aggregate("_b", none, lambda got, b: F.when((F.size(got) == 0) | (b >= F.element_at(got, -1) + hold), F.concat(got, F.array(b.cast("bigint")))).otherwise(got))
-    return failing.select(*keys, F.explode(begun).alias(batch))
+    after ``hold`` batches have passed."""
+    return spaced(rows.where("over").select(*keys, F.col(batch).cast("bigint").alias(batch)).distinct(), keys, batch, hold)
 
 
 def safe_progress(rows: DataFrame, position: str, failed: Column) -> DataFrame:
