@@ -67,9 +67,30 @@ def at(spark: SparkSession, root: str, place: tuple[str, str]) -> DataFrame:
     return spark.read.schema(place[1]).parquet(f"{root}/{place[0]}")
 
 
-def publish(spark: SparkSession, root: str, after: Commit, tables: dict[str, tuple[str, str]]) -> Commit:
-    """One commit with the given tables new and the others as in ``after``, on which it must follow."""
-    commit = Commit(after.number + 1, {**after.tables, **tables})
+def stage_parts(df: DataFrame, root: str, name: str, by: str, parts: list[int]) -> dict[str, tuple[str, str] | None]:
+    """Write the parts of a table that ``by`` names into folders of their own, for ``publish``; a part without rows is None.
+
+    Rows of one part come to one task before they are written, unless AQE splits a large one.
+    """
+    spark = df.sparkSession
+    folder, kinds = f"tables/{name}-{uuid.uuid4().hex}", ", ".join(f"`{c}` {kind}" for c, kind in df.drop(by).dtypes)
+    df.repartition(by).write.partitionBy(by).parquet(f"{root}/{folder}")
+    there = set(shared.names(spark, f"{root}/{folder}"))
+    return {f"{name}/{part}": (f"{folder}/{by}={part}", kinds) if f"{by}={part}" in there else None for part in parts}
+
+
+def read_parts(spark: SparkSession, root: str, name: str, schema: str, commit: Commit, parts: list[int] | None = None) -> DataFrame:
+    """The rows of all parts of a table, or of some: the others' files aren't listed."""
+    wanted = None if parts is None else {f"{name}/{part}" for part in parts}
+    places = [place[0] for own, place in sorted(commit.tables.items()) if own.startswith(f"{name}/") and (wanted is None or own in wanted)]
+    if not places:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{root}/{place}" for place in places])
+
+
+def publish(spark: SparkSession, root: str, after: Commit, tables: dict[str, tuple[str, str] | None]) -> Commit:
+    """One commit with the given tables new (None: gone) and the others as in ``after``, on which it must follow."""
+    commit = Commit(after.number + 1, {name: place for name, place in {**after.tables, **tables}.items() if place is not None})
     text = json.dumps({name: list(place) for name, place in commit.tables.items()}, indent=1)
     if not shared.write_text(spark, f"{root}/commits/{commit.number:012d}.json", text, replace=False):
         raise Conflict(f"{root} has a commit {commit.number} already")
@@ -78,11 +99,12 @@ def publish(spark: SparkSession, root: str, after: Commit, tables: dict[str, tup
 
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     """Remove tables that none of the last ``keep`` commits names, tables of writers that failed among them; returns their names.
+    A folder with parts goes when none of its parts is named any more.
 
     No writer may be at work meanwhile: its staged tables aren't named by any commit yet.
     """
     numbers = [int(n.removesuffix(".json")) for n in shared.names(spark, f"{root}/commits")]
-    kept = {place[0] for n in numbers[-max(1, keep) :] for place in commit_at(spark, root, n).tables.values()}
+    kept = {"/".join(place[0].split("/")[:2]) for n in numbers[-max(1, keep) :] for place in commit_at(spark, root, n).tables.values()}
     gone = [n for n in shared.names(spark, f"{root}/tables") if f"tables/{n}" not in kept]
     for n in gone:
         shared.remove(spark, f"{root}/tables/{n}")
