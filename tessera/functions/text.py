@@ -156,8 +156,21 @@ def composite_prefix(c: Column) -> tuple[Column, Column]:
 
 
 def path_segments(path: Column) -> Column:
-    """The path's non-empty segments with %xx decoded; a segment that can't be decoded stays as it is."""
-    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.coalesce(F.try_url_decode(x), x))
+    """The path's non-empty segments with %xx decoded; a plus sign is one, and a segment that can't be decoded stays as it is."""
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.coalesce(decoded(x), x))
+
+
+def decoded(c: Column) -> Column:
+    """%xx decoded, null if that can't be; in a path a plus sign is no space."""
+    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def encoded(c: Column) -> Column:
+    """The text as a part of a path: all but letters, digits and ``-_.!~*'()`` as %xx."""
+    out = F.url_encode(c)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
 
 
 def earliest_date(texts: Column) -> Column:

@@ -98,10 +98,34 @@ def distinct_titles(titles: Column) -> Column:
     return F.aggregate(clean, F.array().cast("array<string>"), lambda got, t: F.when(F.exists(got, lambda g: F.lower(g) == F.lower(t)), got).otherwise(F.concat(got, F.array(t))))
 
 
-def unique_slugs(rows: DataFrame, slug: str, key: str, taken: DataFrame) -> DataFrame:
-    """``rows`` with a slug of their own: the slug, or with the id behind it if ``taken`` (slug) or a row of a smaller id has it already."""
-    held = taken.select(F.col(slug).alias("_held")).distinct()
-    nth = F.row_number().over(Window.partitionBy(slug).orderBy(key))
-    ranked = rows.withColumn("_nth", nth).join(held, F.col(slug) == F.col("_held"), "left")
-    first = (F.col("_nth") == 1) & F.col("_held").isNull() & (F.col(slug) != "")
-    return ranked.withColumn(slug, F.when(first, F.col(slug)).when(F.col(slug) == "", F.col(key).cast("string")).otherwise(F.concat_ws("-", slug, F.col(key).cast("string")))).select(*rows.columns)
+def unique_slugs(rows: DataFrame, slug: str, key: str, taken: DataFrame, stamp: str) -> DataFrame:
+    """``rows`` with a slug of their own, as if they came one by one in order of their whole-number key: the slug (the key
+    for a blank one); if ``taken`` (slug) or a row before has it, with the key behind it; if that is taken too, with
+    ``stamp`` behind both.
+
+    A row before may have got its slug with its key behind it. That row's slug and key are the two parts of this one, so
+    each such chain is a join for each ``-number`` at the slugs' ends, of which the longest slug decides how many.
+    """
+    c = F.col
+    base = F.when(F.coalesce(F.trim(slug), F.lit("")) == "", c(key).cast("string")).otherwise(c(slug))
+    own = rows.withColumn("_one", base)
+    held = taken.select(c(slug).alias("_held")).distinct()
+    ids = own.select("_one", c(key).alias("_id"))
+    first = ids.groupBy("_one").agg(F.min("_id").alias("_first"))
+    ids = ids.join(first, "_one").join(held, c("_one") == c("_held"), "left")
+    # Lost for sure: taken, or a smaller key asks for it too. Then by chains, from their shortest slug on.
+    parts = r"^(.+)-(\d+)$"
+    before, number = F.regexp_extract("_one", parts, 1), F.regexp_extract("_one", parts, 2).try_cast("long")
+    lost = ids.select("_one", "_id", before.alias("_p"), number.alias("_n"), (c("_held").isNotNull() | (c("_id") > c("_first"))).alias("_lost"))
+    ends = lost.agg(F.max(F.length(F.regexp_extract("_one", r"((?:-\d+)*)$", 1)) - F.length(F.replace(F.regexp_extract("_one", r"((?:-\d+)*)$", 1), F.lit("-")))).alias("n")).first()["n"] or 0
+    for _ in range(ends):
+        losers = lost.where("_lost").select(c("_one").alias("_q"), c("_id").alias("_m")).distinct()
+        joined = lost.join(losers, (c("_p") == c("_q")) & (c("_n") == c("_m")) & (c("_m") < c("_id")), "left")
+        lost = joined.select("_one", "_id", "_p", "_n", (c("_lost") | c("_q").isNotNull()).alias("_lost"))
+    two = F.concat_ws("-", "_one", c("_id").cast("string"))
+    losing = lost.where("_lost").select("_one", "_id", two.alias("_two"))
+    asked = first.select(c("_one").alias("_two"), c("_first").alias("_other"))
+    second = losing.join(asked, "_two", "left").join(held, c("_two") == c("_held"), "left")
+    given = second.select("_one", "_id", F.when(c("_held").isNull() & (c("_other").isNull() | (c("_other") > c("_id"))), c("_two")).otherwise(F.concat_ws("-", "_two", F.lit(stamp))).alias("_given")).distinct()
+    out = own.withColumn("_id", c(key)).join(given, ["_one", "_id"], "left")
+    return out.withColumn(slug, F.coalesce("_given", "_one")).select(*rows.columns)

@@ -84,7 +84,9 @@ def catalogue_diff(spark: SparkSession, wanted: dict[str, list[str]]) -> DataFra
 
 
 def progress(done: Column, total: Column, seconds: Column) -> list[Column]:
-    """remaining, percent, per_minute, eta_seconds of a run; nulls where a rate is unknown."""
+    """remaining, percent, per_minute, eta_seconds of a run: 0 percent of nothing and 100 at most, 0 a minute before any
+    time has passed, and no estimate without a rate."""
     left = F.greatest(total - done, F.lit(0))
-    rate = F.when((seconds > 0) & (done > 0), done * 60.0 / seconds)
-    return [left.alias("remaining"), F.when(total > 0, F.floor(100.0 * done / total + 0.5)).cast("int").alias("percent"), F.round(rate, 2).alias("per_minute"), F.ceil(left * 60.0 / rate).cast("long").alias("eta_seconds")]
+    percent = F.when(total > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.floor(100.0 * done / total + 0.5)))).otherwise(0)
+    rate = F.when(seconds > 0, done / (seconds * 1000) * 60_000).otherwise(0.0)
+    return [left.alias("remaining"), percent.cast("int").alias("percent"), rate.cast("double").alias("per_minute"), F.when(rate > 0, F.ceil(left / rate * 60)).cast("long").alias("eta_seconds")]

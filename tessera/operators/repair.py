@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import positive_id, url_parts
+from tessera.sources.shared import staged
 
 from .classify import first_reason
 from .ranges import without_overlap
@@ -18,7 +19,8 @@ from .ranges import without_overlap
 #: The greatest confidence of a mapping that a job may replace, and the reasons of each plan in their order.
 WEAK = 85
 ORPHAN_REASONS = ("unsupportedProvider", "strongerOrManualEvidence", "incompleteParentEvidence", "conflictingParentEvidence", "providerIdentityCollision")
-LINEAR_REASONS = ("stronger-or-manual-evidence", "invalid-local-coverage", "invalid-provider-numbering", "non-linear-numbering", "conflicting-provider-identity")
+LINEAR_REASONS = ("stronger-or-manual-evidence", "invalid-local-coverage", "invalid-provider-numbering", "non-linear-numbering")
+OVERLAP = "overlapping-candidate-segment"
 ALIGNED_REASONS = (
     "empty-episode-range", "non-normal-local-episode", "invalid-episode-number", "duplicate-provider-episode-number", "duplicate-local-episode-number", "non-contiguous-provider-range",
     "non-contiguous-local-range", "non-linear-local-alignment",
@@ -82,8 +84,7 @@ def linear_segments(rows: DataFrame, owner: str, identity: list[str]) -> DataFra
     """One row for each owner and identity: reason, ps, pe, ls, le, offset, n.
 
     ``rows``: owner, identity, local_number, local_count, provider_number, source, confidence. A segment covers 1 to
-    local_count and runs in step with the provider's numbers. Segments of one identity and different owners that meet
-    are all rejected.
+    local_count and runs in step with the provider's numbers. ``overlapping`` looks at candidates against each other.
     """
     keys, c = [owner, *identity], F.col
     local, provider = positive_id(c("local_number")), positive_id(c("provider_number"))
@@ -100,12 +101,21 @@ def linear_segments(rows: DataFrame, owner: str, identity: list[str]) -> DataFra
         F.when(~c("weak"), LINEAR_REASONS[0]), F.when(no_cover, LINEAR_REASONS[1]), F.when(c("np") < c("n"), LINEAR_REASONS[2]), F.when((c("dx") < c("n")) | (c("dp") < c("n")), LINEAR_REASONS[3]),
         F.when(c("gap") <= F.coalesce("jump", "gap"), LINEAR_REASONS[1]), F.when(c("jump").isNotNull(), LINEAR_REASONS[3]),
     )
-    planned = a.select(*keys, reason.alias("reason"), "ps", "pe", F.lit(1).cast("long").alias("ls"), F.col("n").alias("le"), "n")
-    free = without_overlap(planned.where("reason IS NULL"), identity, owner, "ps", "pe").select(*keys, F.lit(True).alias("free"))
-    joined = planned.join(free, keys, "left")
-    reason = F.coalesce("reason", F.when(c("free").isNull(), LINEAR_REASONS[4]))
     good = reason.isNull()
-    return joined.select(*keys, reason.alias("reason"), *[F.when(good, x).alias(n) for n, x in (("ps", c("ps")), ("pe", c("pe")), ("ls", c("ls")), ("le", c("le")), ("offset", c("ps") - c("ls")))], "n")
+    return a.select(*keys, reason.alias("reason"), *[F.when(good, x).alias(n) for n, x in (("ps", c("ps")), ("pe", c("pe")), ("ls", F.lit(1).cast("long")), ("le", c("n")), ("offset", c("ps") - 1))], "n")
+
+
+def overlapping(rows: DataFrame, owner: str, identity: list[str]) -> DataFrame:
+    """``rows`` (owner, identity, reason, ps, pe): candidates of one identity and different owners that meet are all rejected.
+
+    Only rows without a reason so far take part; rows with one come back as they are.
+    """
+    keys = [owner, *identity]
+    left = staged(rows, "candidates")  # looked at twice
+    free = without_overlap(left.where("reason IS NULL"), identity, owner, "ps", "pe").select(*keys, F.lit(True).alias("_free")).distinct()
+    joined = left.join(free, keys, "left")
+    reason = F.coalesce("reason", F.when(F.col("_free").isNull(), OVERLAP))
+    return joined.select(*[F.when(reason.isNull(), F.col(x)).alias(x) if x in ("ps", "pe", "ls", "le", "offset") else reason.alias(x) if x == "reason" else F.col(x) for x in rows.columns])
 
 
 def aligned_segments(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -178,14 +178,20 @@ def distinct_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(matching.distinct_titles(titles), "|").alias("titles"))
 
 
+_SLUGS = "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN concat(lower(p_brand), '-', CAST(p_partkey - CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -3 END AS VARCHAR(20))) WHEN p_partkey % 50 = 1 THEN ' ' ELSE lower(p_brand) END AS slug FROM part"
+_TAKEN = "SELECT lower(p_brand) AS slug FROM part WHERE p_size = 50 AND p_partkey % 3 = 0 UNION ALL SELECT concat(lower(p_brand), '-', CAST(p_partkey AS VARCHAR(20))) FROM part WHERE p_partkey % 11 = 0"
+
+
 @query(
     "unique_slugs",
-    """WITH s AS (SELECT p_partkey, lower(p_brand) AS slug, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part), t AS (SELECT DISTINCT lower(p_brand) AS slug FROM part WHERE p_size = 50)
-       SELECT p_partkey, CASE WHEN n = 1 AND NOT EXISTS (SELECT 1 FROM t WHERE t.slug = s.slug) THEN slug ELSE slug || '-' || p_partkey END AS slug FROM s""",
+    f"""WITH s AS (SELECT p_partkey AS k, CASE WHEN trim(slug) = '' THEN CAST(p_partkey AS VARCHAR) ELSE slug END AS c FROM ({_SLUGS})), t AS (SELECT DISTINCT slug FROM ({_TAKEN})),
+       a AS (SELECT *, c IN (SELECT slug FROM t) OR k > min(k) OVER (PARTITION BY c) AS lost FROM s), b AS (SELECT a.k, a.c, a.lost OR EXISTS (SELECT 1 FROM a q WHERE q.lost AND q.k < a.k AND q.c || '-' || q.k = a.c) AS lost FROM a),
+       d AS (SELECT k, c, lost, c || '-' || k AS two, c || '-' || k IN (SELECT slug FROM t) OR EXISTS (SELECT 1 FROM s q WHERE q.c = b.c || '-' || b.k AND q.k < b.k) AS again FROM b)
+       SELECT k AS p_partkey, CASE WHEN NOT lost THEN c WHEN NOT again THEN two ELSE two || '-9' END AS slug FROM d""",
 )
 def unique_slugs(spark: SparkSession, d: str) -> DataFrame:
-    slugs = table(spark, d, "part").select("p_partkey", "p_size", F.lower("p_brand").alias("slug"))
-    return matching.unique_slugs(slugs.select("p_partkey", "slug"), "slug", "p_partkey", slugs.where("p_size = 50").select("slug"))
+    rows, taken = (spark.sql(text.replace("FROM part", "FROM {rows}"), rows=table(spark, d, "part")) for text in (_SLUGS, _TAKEN))
+    return matching.unique_slugs(rows, "slug", "p_partkey", taken, "9")
 
 
 @query(
@@ -223,12 +229,12 @@ def url_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "run_progress",
-    """SELECT o_orderkey, greatest(100 - o_custkey % 120, 0) AS remaining, CAST(floor(100.0 * (o_custkey % 120) / 100 + 0.5) AS INT) AS percent,
-       CASE WHEN o_custkey % 120 > 0 AND o_orderkey % 50 > 0 THEN round((o_custkey % 120) * 60.0 / (o_orderkey % 50), 2) END AS per_minute,
-       CASE WHEN o_custkey % 120 > 0 AND o_orderkey % 50 > 0 THEN CAST(ceil(greatest(100 - o_custkey % 120, 0) * 60.0 / ((o_custkey % 120) * 60.0::DOUBLE / (o_orderkey % 50))) AS BIGINT) END AS eta_seconds FROM orders""",
+    """WITH r AS (SELECT o_orderkey, o_custkey % 120 AS done, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 100 END AS total, o_orderkey % 50 AS seconds FROM orders),
+       p AS (SELECT *, CASE WHEN seconds > 0 THEN CAST(done AS DOUBLE) / (seconds * 1000) * 60000 ELSE 0 END AS rate, CASE WHEN done < total THEN total - done ELSE 0 END AS remaining FROM r)
+       SELECT o_orderkey, remaining, CASE WHEN total = 0 THEN 0 WHEN done > total THEN 100 ELSE CAST(floor(100.0 * done / total + 0.5) AS INT) END AS percent, rate AS per_minute, CASE WHEN rate > 0 THEN CAST(ceil(remaining / rate * 60) AS BIGINT) END AS eta_seconds FROM p""",
 )
 def run_progress(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", *reads.progress(F.col("o_custkey") % 120, F.lit(100), F.col("o_orderkey") % 50))
+    return table(spark, d, "orders").select("o_orderkey", *reads.progress(F.col("o_custkey") % 120, F.when(F.col("o_orderkey") % 9 == 0, 0).otherwise(100), F.col("o_orderkey") % 50))
 
 
 @query("derived_languages", "SELECT c_custkey, 'ja' AS code, 'audio' AS media FROM customer WHERE c_nationkey % 4 = 0")

@@ -53,17 +53,18 @@ def mapping_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "batch_scores",
-    """WITH b AS (SELECT l_suppkey AS target, l_orderkey AS batch, l_linenumber AS number, l_shipdate::DATE::VARCHAR AS air_date FROM lineitem),
+    """WITH b AS (SELECT l_suppkey % 3 + 1 AS target, l_orderkey AS batch, l_linenumber AS number, l_linenumber + CASE WHEN l_orderkey % 6 = 0 THEN 1 ELSE 0 END AS said, l_shipdate::DATE::VARCHAR AS air_date FROM lineitem),
     k AS (SELECT s_suppkey AS target, unnest(range(1, 4)) AS number FROM supplier),
-    a AS (SELECT target, batch, count(*) AS n, count(DISTINCT number) AS nd, count(*) FILTER (WHERE number BETWEEN 1 AND CASE WHEN target % 3 = 0 THEN 4 ELSE 3 END) AS fits,
+    a AS (SELECT target, batch, count(*) AS n, count(DISTINCT number) AS nd, count(*) FILTER (WHERE number BETWEEN 1 AND CASE WHEN target % 3 = 0 THEN 4 ELSE 3 END) AS fits, count(*) >= 3 AND count(*) FILTER (WHERE said <> number) > count(*) FILTER (WHERE said = number) AS contrary,
       CAST(substr(min(air_date), 1, 4) AS INT) AS y, CASE WHEN target % 3 = 0 THEN 4 END AS c FROM b GROUP BY target, batch),
     s AS (SELECT *, coalesce(c, 3) AS k FROM a)
-    SELECT target, batch, CASE WHEN nd < n OR fits < greatest(1, ceil(least(k, n) * 0.75)) OR (c IS NOT NULL AND n / c NOT BETWEEN 0.5 AND 1.75) OR abs(y - 1996) > 1 THEN NULL
+    SELECT target, batch, CASE WHEN nd < n OR fits < greatest(1, ceil(least(k, n) * 0.75)) OR (c IS NOT NULL AND n / c NOT BETWEEN 0.5 AND 1.75) OR abs(y - 1996) > 1 OR contrary THEN NULL
       ELSE greatest(0, 30 - 4 * abs(n - k)) + CASE WHEN y = 1996 THEN 20 ELSE 8 END + n END AS score FROM s""",
 )
 def batch_scores(spark: SparkSession, d: str) -> DataFrame:
     lines, suppliers = table(spark, d, "lineitem"), table(spark, d, "supplier")
-    batches = lines.select(F.col("l_suppkey").alias("target"), F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("number"), F.lit("part").alias("title"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("air_date"))
+    title = F.concat(F.lit("Episode "), (F.col("l_linenumber") + F.when(F.col("l_orderkey") % 6 == 0, 1).otherwise(0)).cast("string"), F.lit(": part"))
+    batches = lines.select((F.col("l_suppkey") % 3 + 1).alias("target"), F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("number"), title.alias("title"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("air_date"))
     known = suppliers.select(F.col("s_suppkey").alias("target"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("number"), F.lit(None).cast("string").alias("air_date"))
     contexts = suppliers.select(F.col("s_suppkey").alias("target"), F.lit(1996).alias("season_year"), F.when(F.col("s_suppkey") % 3 == 0, 4).alias("episode_count"))
     return scoring.batch_scores(batches, known, contexts, "target", "batch")

@@ -51,12 +51,12 @@ _LINEAR = """SELECT l_orderkey AS owner, l_orderkey % 500 AS identity, CASE WHEN
       min(place) FILTER (WHERE local_number <> place) AS gap, min(place) FILTER (WHERE provider_number <> before + 1) AS jump, min(provider_number) AS ps, max(provider_number) AS pe FROM s GROUP BY ALL),
     p AS (SELECT *, CASE WHEN strong THEN 'stronger-or-manual-evidence' WHEN uncounted OR c1 <> c2 OR n <> c1 THEN 'invalid-local-coverage' WHEN dx < n OR dp < n THEN 'non-linear-numbering'
       WHEN gap IS NOT NULL AND (jump IS NULL OR gap <= jump) THEN 'invalid-local-coverage' WHEN jump IS NOT NULL THEN 'non-linear-numbering' END AS why FROM a),
-    f AS (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN EXISTS (SELECT 1 FROM p b WHERE b.why IS NULL AND b.identity = p.identity AND b.owner <> p.owner AND b.ps <= p.pe AND p.ps <= b.pe) THEN 'conflicting-provider-identity' END AS reason FROM p)
+    f AS (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN EXISTS (SELECT 1 FROM p b WHERE b.why IS NULL AND b.identity = p.identity AND b.owner <> p.owner AND b.ps <= p.pe AND p.ps <= b.pe) THEN 'overlapping-candidate-segment' END AS reason FROM p)
     SELECT owner, identity, reason, CASE WHEN reason IS NULL THEN ps END AS ps, CASE WHEN reason IS NULL THEN pe END AS pe, CASE WHEN reason IS NULL THEN 1 END AS ls, CASE WHEN reason IS NULL THEN n END AS le,
     CASE WHEN reason IS NULL THEN ps - 1 END AS "offset", n FROM f""",
 )
 def linear_segments(spark: SparkSession, d: str) -> DataFrame:
-    return repair.linear_segments(_made(spark, d, _LINEAR, "lineitem"), "owner", ["identity"])
+    return repair.overlapping(repair.linear_segments(_made(spark, d, _LINEAR, "lineitem"), "owner", ["identity"]), "owner", ["identity"])
 
 
 _DUAL = """SELECT l_orderkey AS season, CASE WHEN l_linenumber <= l_orderkey % 4 + 1 THEN l_orderkey * 10 + 1 ELSE l_orderkey * 10 + 2 END AS anime_id, l_linenumber AS provider_number,

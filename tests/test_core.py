@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import classify, merge, ranges
+from tessera.operators import classify, matching, merge, ranges, reads
 from tessera.operators import relational as rel
 from tessera.sources import files
 from tessera.streaming import microbatch
@@ -159,3 +159,30 @@ def test_back_off(spark, failed, over, begun):
     seen = microbatch.failure_windows(rows, ["k"], [F.col("i")], F.col("failed"))
     assert sorted(r["i"] for r in seen.where("over").collect()) == over
     assert sorted(r["batch"] for r in microbatch.back_offs(seen, ["k"], "batch").collect()) == begun
+
+
+def test_paths_keep_plus_signs(spark):
+    rows = [("/a+b/%C3%A9//c%20d/%zz/",)]
+    assert values(spark, rows, "p STRING", fn.path_segments(F.col("p"))) == [(["a+b", "é", "c d", "%zz"],)]
+    assert values(spark, [("a b+c~(d)!*'é/",)], "p STRING", fn.encoded(F.col("p"))) == [("a%20b%2Bc~(d)!*'%C3%A9%2F",)]
+
+
+@pytest.mark.parametrize(("row", "want"), [((0, 0, 10), (0, 0, 0.0, None)), ((12, 10, 60), (0, 100, 12.0, 0)), ((1, 3, 0), (2, 33, 0.0, None)), ((5, 10, 90), (5, 50, 3.3333333333333335, 90))])
+def test_progress(spark, row, want):
+    got = spark.createDataFrame([row], "d INT, t INT, s INT").select(*reads.progress(F.col("d"), F.col("t"), F.col("s"))).first()
+    assert tuple(got) == want
+
+
+def test_slugs_are_unique_as_if_rows_came_in_order(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "b", "", " ", "c", *[f"{x}-{rng.randrange(1, 40)}" for x in ("a", "b", "a-5", "b-7")]])) for i in range(1, 40)]
+    rows += [(5000, "a"), (5001, "a-5000"), (5002, "a-5000-5001"), (4999, "a-5002"), (5003, "a-5003-5002")]
+    taken = [("b",), ("a-9",), ("c-3",), ("7",)]
+    have, want = {t for t, in taken}, {}
+    for i, slug in sorted(rows):
+        one = slug if slug.strip() else str(i)
+        own = next((s for s in (one, f"{one}-{i}") if s not in have), f"{one}-{i}-now")
+        have.add(own)
+        want[i] = own
+    got = matching.unique_slugs(spark.createDataFrame(rows, "id INT, slug STRING"), "slug", "id", spark.createDataFrame(taken, "slug STRING"), "now").collect()
+    assert {r["id"]: r["slug"] for r in got} == want
