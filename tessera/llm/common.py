@@ -66,9 +66,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{_run.get() or stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing."""
+def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    A ``small`` result of many tasks is dealt to an eighth as many that write it: fewer files.
+    """
     path = staging_path(df.sparkSession, name)
+    if small:
+        df = df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

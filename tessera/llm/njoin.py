@@ -288,7 +288,7 @@ def prepared(docs: DataFrame, k: int, seed: int, marks: Marks) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (a, b): the component's least node. Alternating stars, a table a round."""
-    star = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    star = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", small=True)
     state = [F.count("*"), *(F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(20,0)")) for i in (1, 2))]  # exact sums of two hashes
     before = None
     while True:
@@ -297,7 +297,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        star = staged(small, "stars")
+        star = staged(small, "stars", small=True)
         now = star.agg(*state).first()
         if now == before:
             break
@@ -365,7 +365,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts, k: int, num: int, den
     left = classes.select(F.col("set1").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = classes.select(F.col("set1").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     sized = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    near = staged(search.near(sized).select("a", "b"), "near-pairs")
+    near = staged(search.near(sized).select("a", "b"), "near-pairs", small=True)
     own = texts(near.select(F.col("a").alias("set1")).unionByName(near.select(F.col("b").alias("set1"))).distinct())
     met = near.join(own.select(F.col("set1").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("set1").alias("a"), F.col("text").alias("x")), "a")
 
@@ -455,7 +455,7 @@ def _classes_of(search: Search, docs: DataFrame, k: int, num: int, den: int, see
 
     def texts(wanted: DataFrame) -> DataFrame:
         """(set1, text) of the wanted classes: one document's text each."""
-        ids = staged(wanted.join(classes.select("set1", F.col("rep").alias("_id"), F.col("body").alias("_body")), "set1"), "wanted")
+        ids = staged(wanted.join(classes.select("set1", F.col("rep").alias("_id"), F.col("body").alias("_body")), "set1"), "wanted", small=True)
         near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         found = docs.select("doc_id", "text", F.xxhash64("text").alias("body")).join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
         return staged(found.select("set1", "text").dropDuplicates(["set1"]), "texts")
@@ -476,7 +476,7 @@ def _classes_of(search: Search, docs: DataFrame, k: int, num: int, den: int, see
     shared = staged(rows.groupBy("sig").agg(F.min("set1").alias("p"), F.max("set1").alias("q")).where("p < q").select("sig", "p"), "shared")
     members_of = staged(_met(some, rows, shared).join(shared, "sig").distinct(), "members")
     stars = members_of.where("set1 <> p").select(F.col("p").alias("a"), F.col("set1").alias("b")).distinct()
-    links = staged(_verified(stars, classes, texts, k, num, den, search), "links")
+    links = staged(_verified(stars, classes, texts, k, num, den, search), "links", small=True)
     label = components(links)
 
     # Signatures whose members, three at least, are in several components still.
@@ -490,10 +490,10 @@ def _classes_of(search: Search, docs: DataFrame, k: int, num: int, den: int, see
     many = again.where(F.col("size") > SMALL)
     joined = 0
     if not many.isEmpty():
-        joining = staged(_block_links(many, classes, sets, num, den, search), "block-links").distinct()
+        joining = staged(_block_links(many, classes, sets, num, den, search), "block-links", small=True).distinct()
         joined = joining.count()
         more = more.unionByName(joining).distinct()
-    more = staged(_verified(more, classes, texts, k, num, den, search), "more-links")
+    more = staged(_verified(more, classes, texts, k, num, den, search), "more-links", small=True)
     if joined and more.join(joining, ["a", "b"], "left_semi").count() < joined:
         return None  # a pair was passed over because of a link that isn't one
     if not more.isEmpty():
