@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -30,13 +31,17 @@ from .common import batch_rows, slices, staged, staging_path, text_or_empty
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of the largest vocabulary file that is sent to the executors.
 MAX_VOCABULARY = 32 << 20
-#: Rows of a batch, characters of a slice of it, characters after which a text is cut.
-BATCH_ROWS, SLICE, CUT = 1000, 500_000, 100_000
+#: Rows of a batch, characters of a slice of it.
+BATCH_ROWS, SLICE = 1000, 500_000
+#: Units that a task keeps, and the longest one that it keeps.
+UNITS, UNIT_CHARS = 400_000, 40
 #: Keys that a task holds before it adds them up, and distinct ones before it gives them out.
 HELD, GIVEN = 2_000_000, 4_000_000
 MASK = (1 << 32) - 1
 #: A single space between two other characters: both tokenizers start a new token there, whatever lies before.
 _SPACE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+#: Text that may stand between such spaces, and how many units are encoded as one text.
+_EDGES, RUN = re.compile(r"[^\s▁](?:.*[^\s▁])?\Z", re.S), 500
 
 
 @dataclass(frozen=True)
@@ -66,8 +71,27 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass
+class _Known:
+    """Aligned units: whether both tokenizers give their bytes back, numbers of tokens and groups, the groups as text, and
+    the linked pairs, of which a unit's begin at ``start``."""
+
+    index: dict[str, int]
+    whole: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    start: np.ndarray
+    groups: list[str]
+    pairs: np.ndarray
+
+
 class _Encoders:
-    """Both tokenizers, the bytes and the decimal strings of their tokens."""
+    """Both tokenizers, the bytes and the decimal strings of their tokens.
+
+    Where both tokenizers start a new token at a space whatever lies before, a text is cut into units, words mostly, which
+    are encoded by themselves and put together. Units that come again aren't encoded again.
+    """
 
     def __init__(self, pair: Pair) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -87,44 +111,120 @@ class _Encoders:
         self.size_a, self.size_b = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.bytes_a, self.bytes_b))
         n = max(len(self.bytes_a), len(self.bytes_b))
         self.comma, self.bar, self.semicolon = (np.array([f"{i}{end}" for i in range(n)], dtype=object) for end in ",|;")
+        self.forget()
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode("utf-8")
 
+    def forget(self) -> None:
+        none = np.empty(0, dtype=np.int64)
+        self.known = _Known({}, np.empty(0, dtype=bool), none, none, none, none, [], none)
+
     def cut(self, text: str) -> list[str]:
-        """Parts of a long text; the spaces between them are left out, since both tokenizers put one before a part."""
-        parts, at = [], 0
-        while self.cuts and len(text) - at > CUT and (space := _SPACE.search(text, at + CUT)):
-            parts.append(text[at : space.start()])
-            at = space.end()
-        return [*parts, text[at:]]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of both tokenizers for each text; None where a text is empty or either's bytes aren't the text's."""
-        cut = [self.cut(t) if t else [] for t in texts]
-        flat = [part for parts in cut for part in parts]
-        a = iter(self.a.encode_batch_fast([" " + part for part in flat], add_special_tokens=False))
-        b = iter(self.b.encode(flat, num_threads=1))
-        for text, parts in zip(texts, cut, strict=True):
-            ids_a, ids_b = [i for _ in parts for i in next(a).ids], [i for _ in parts for i in next(b)]
-            raw = b" " + text.encode("utf-8", "replace")
-            same = text and b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw and b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw
-            yield (np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)) if same else None
+        """The units of a text; the spaces between them are left out, since both tokenizers put one before a unit."""
+        return _SPACE.split(text) if self.cuts else [text]
+
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of both tokenizers for each text; None where either's bytes aren't the text's."""
+        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        for text, x, y in zip(texts, a, self.b.encode(texts, num_threads=1), strict=True):
+            raw, ids = b" " + text.encode("utf-8", "replace"), x.ids
+            same = b"".join(map(self.bytes_a.__getitem__, ids)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw
+            yield (np.array(ids, dtype=np.int64), np.array(y, dtype=np.int64)) if same else None
+
+    def learn(self, units: list[str]) -> _Known:
+        """Align units, many at once: what is known of them.
+
+        Units between which texts are cut are encoded as one text again, which costs less than one by one. Where that
+        text's bytes don't come back, each is encoded by itself.
+        """
+        joint = [u for u in units if self.cuts and _EDGES.match(u)]
+        alone = [u for u in units if not (self.cuts and _EDGES.match(u))]
+        good, ids_a, ids_b = [], [], []
+        runs = [joint[i : i + RUN] for i in range(0, len(joint), RUN)]
+        for run, ids in zip(runs, self._encoded([" ".join(run) for run in runs]), strict=True):
+            if ids is None:
+                alone += run
+            else:
+                good += run
+                ids_a.append(ids[0])
+                ids_b.append(ids[1])
+        bad = []
+        for unit, ids in zip(alone, self._encoded(alone), strict=True):
+            if ids is None:
+                bad.append(unit)
+            else:
+                good.append(unit)
+                ids_a.append(ids[0])
+                ids_b.append(ids[1])
+        none = np.empty(0, dtype=np.int64)
+        a, b = np.concatenate([none, *ids_a]), np.concatenate([none, *ids_b])
+        # All units behind each other are one long text; each unit ends at an end of both.
+        i, j = self.align(a, b)
+        texts = self.groups(a, b, i, j)
+        ends = np.cumsum([1 + len(u.encode("utf-8", "replace")) for u in good], dtype=np.int64)
+        n_a, n_b = (np.diff(np.searchsorted(size[own].cumsum(), ends) + 1, prepend=0) for size, own in ((self.size_a, a), (self.size_b, b)))
+        n_groups = np.diff(np.searchsorted(i, np.cumsum(n_a)), prepend=0)
+        last = np.cumsum(n_a + n_b).tolist()
+        joined = ["".join(texts[s:e])[:-1] for s, e in zip([0, *last], last, strict=False)]
+        more = np.zeros(len(bad), dtype=np.int64)
+        n_a, n_b, n_groups = (np.concatenate([n, more]) for n in (n_a, n_b, n_groups))
+        names = [*good, *bad]
+        return _Known(dict(zip(names, range(len(names)), strict=True)), np.arange(len(names)) < len(good), n_a, n_b, n_groups, np.cumsum(n_groups) - n_groups, joined + [""] * len(bad), a[i] << 32 | b[j])
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the tokens of both that end together, group by group."""
         _, i, j = np.intersect1d(self.size_a[a].cumsum(), self.size_b[b].cumsum(), assume_unique=True, return_indices=True)
         return i, j
 
-    def groups(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> str:
-        """All groups as ``a1,a2|b1;a3|b2,b3``."""
+    def groups(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[str]:
+        """The texts of all tokens, which joined are the groups as ``a1,a2|b1;a3|b2,b3;``."""
         at_a = np.arange(len(a)) + np.concatenate([[0], j + 1])[np.searchsorted(i, np.arange(len(a)))]
         at_b = np.arange(len(b)) + (i + 1)[np.searchsorted(j, np.arange(len(b)))]
         out = np.empty(len(a) + len(b), dtype=object)
         out[at_a], out[at_b] = self.comma[a], self.comma[b]
         out[at_a[i]], out[at_b[j]] = self.bar[a[i]], self.semicolon[b[j]]
-        return "".join(out.tolist())[:-1]
+        return out.tolist()
+
+    def _kept(self, own: _Known) -> None:
+        """Add what was learned to what is kept, long units left out; start anew where that would be too much."""
+        keep = [i for i, u in enumerate(own.index) if len(u) <= UNIT_CHARS]
+        if len(self.known.index) + len(keep) > UNITS:
+            self.forget()
+        if not keep or len(keep) > UNITS:
+            return
+        k, at, names = self.known, np.array(keep), list(own.index)
+        sizes = own.n_groups[at]
+        place = np.repeat(own.start[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        for name in ("whole", "n_a", "n_b", "n_groups"):
+            setattr(k, name, np.concatenate([getattr(k, name), getattr(own, name)[at]]))
+        k.start = np.concatenate([k.start, len(k.pairs) + np.cumsum(sizes) - sizes])
+        k.pairs = np.concatenate([k.pairs, own.pairs[place]])
+        for i in keep:
+            k.index[names[i]] = len(k.groups)
+            k.groups.append(own.groups[i])
+
+    def documents(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray] | None]:
+        """For each text the numbers of tokens and of groups, the groups, the distinct linked pairs and how often each is
+        linked; None where a text is empty or either tokenizer's bytes aren't the text's."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        old, base = self.known, len(self.known.groups)
+        own = self.learn([u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in old.index])
+        number = old.index | {u: base + i for u, i in own.index.items()}
+        whole, n_a, n_b, n_groups = (np.concatenate([getattr(old, n), getattr(own, n)]) for n in ("whole", "n_a", "n_b", "n_groups"))
+        start, pairs = np.concatenate([old.start, len(old.pairs) + own.start]), np.concatenate([old.pairs, own.pairs])
+        for text, units in zip(texts, cut, strict=True):
+            at = np.array([*map(number.__getitem__, units)], dtype=np.int64)
+            if not text or not whole[at].all():
+                yield None
+                continue
+            groups = ";".join([old.groups[i] if i < base else own.groups[i - base] for i in at.tolist()])
+            distinct, times = np.unique(at, return_counts=True)
+            sizes = n_groups[distinct]
+            place = np.repeat(start[distinct] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            yield int(n_a[at].sum()), int(n_b[at].sum()), int(n_groups[at].sum()), groups, *_added_up(pairs[place], np.repeat(times, sizes))
+        self._kept(own)
 
 
 @lru_cache(maxsize=2)
@@ -146,14 +246,12 @@ def aligned(docs: DataFrame, pair: Pair, with_groups: bool = False) -> DataFrame
         encoders, number = _encoders(sent.value), TaskContext.get().partitionId() << 40
         for f in slices(frames, "text", SLICE):
             rows = []
-            for ids in encoders.encode(f["text"].map(text_or_empty).tolist()):
-                if ids is None:
+            for found in encoders.documents(f["text"].map(text_or_empty).tolist()):
+                if found is None:
                     rows.append((0, 0, 0, "", "", none, none))
                     continue
-                i, j = encoders.align(*ids)
-                groups = encoders.groups(*ids, i, j)
-                keys, times = np.unique(ids[0][i] << 32 | ids[1][j], return_counts=True)
-                rows.append((len(ids[0]), len(ids[1]), len(i), sha256(groups.encode()).hexdigest(), groups if with_groups else "", keys, times))
+                n_a, n_b, n_groups, groups, keys, times = found
+                rows.append((n_a, n_b, n_groups, sha256(groups.encode()).hexdigest(), groups if with_groups else "", keys, times))
             out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "groups_sha256", "groups", "keys", "times"])
             out.insert(0, "row", np.arange(number, number + len(out)))
             out.insert(1, "doc_id", f["doc_id"].to_numpy())
@@ -169,10 +267,10 @@ def aligned(docs: DataFrame, pair: Pair, with_groups: bool = False) -> DataFrame
 
 def _added_up(keys: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and their amounts' sums."""
-    own, at = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(own), dtype=np.int64)
-    np.add.at(total, at, amounts)
-    return own, total
+    order = np.argsort(keys)
+    own, amounts = keys[order], amounts[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, dtype=np.int64)
+    return own[first], np.add.reduceat(amounts, first) if len(own) else amounts.astype(np.int64)
 
 
 def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -87,15 +87,27 @@ def test_query_equals_plain_loops_on_a_whole_table(spark):
     assert rows_of(queries.queries()["op12_token_alignment"](spark, sf)) == want
 
 
-def test_long_texts_are_cut_without_effect(monkeypatch):
+def test_units_are_put_together_as_whole_texts_are(monkeypatch):
     encoders = align._Encoders(align.Pair.read())
-    texts = [*(t for t in TEXTS if t.strip()), *(r[1] for r in hard_rows() if r[1] and len(r[1]) < 10_000), " ".join(TEXTS), "a  b c\n d e'll f's g  "]
-    whole = list(encoders.encode(texts))
-    for size in (1, 7, 40):
-        monkeypatch.setattr(align, "CUT", size)
-        assert any(len(encoders.cut(t)) > 2 for t in texts) and all(" ".join(encoders.cut(t)) == t for t in texts)
-        for x, y in zip(whole, encoders.encode(texts), strict=True):
-            assert (x is None) == (y is None) and (x is None or all(np.array_equal(p, q) for p, q in zip(x, y, strict=True)))
+    texts = [*TEXTS, *(r[1] for r in hard_rows() if r[1] and len(r[1]) < 10_000), " ".join(TEXTS[:2]), "a  b c\n d e'll f's g  ", None, ""]
+    assert encoders.cuts and any(len(encoders.cut(t)) > 2 for t in texts if t) and all(" ".join(encoders.cut(t)) == t for t in texts if t)
+    texts = [t or "" for t in texts]
+
+    def seen(own, step):
+        found = [x for i in range(0, len(texts), step) for x in own.documents(texts[i : i + step])]
+        return [x and (*x[:4], x[4].tolist(), x[5].tolist()) for x in found]
+
+    want = seen(encoders, 100)
+    assert [x and (*x[:3], hashlib.sha256(x[3].encode()).hexdigest()) for x in want] == [p[6] and (*p[:3], p[6]) or None for p in plain(texts)]
+    assert seen(encoders, 100) == want and seen(encoders, 1) == want  # from what is kept
+    for kept in (0, 3, 50):
+        monkeypatch.setattr(align, "UNITS", kept)
+        monkeypatch.setattr(align, "RUN", kept + 1)
+        encoders.forget()
+        assert seen(encoders, 1) == want and len(encoders.known.index) <= kept
+    encoders.cuts = False
+    encoders.forget()
+    assert seen(encoders, 7) == want
 
 
 def test_counts_are_added_up_in_parts(monkeypatch):
