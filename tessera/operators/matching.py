@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import grams, title_similarity, tokens, year_of
+from tessera.sources.shared import staged
 
 from .classify import first_reason
 from .relational import distinct_on
@@ -19,31 +20,44 @@ RETIRED = ("title-contradiction-with-substantially-wrong-year", "title-contradic
 VERDICTS = ("exactly-one-strong-match", "multiple-strong-match", "no-strong-match")
 
 
+#: Different tokens and grams of all titles up to which their frequencies are broadcast (some 30 bytes each).
+BROADCAST_PARTS = 500_000
+
+
 def similar_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) for all pairs of ``left`` (a, title) and ``right`` (b, title) that are similar by ``least`` or more.
 
-    Titles are comparable ones, an id may have several; the best pair counts. Similar titles share a token or a gram, and
-    one of the rarest of either side: only as many of these as similarity can leave out are looked up, so that frequent
-    ones bring nobody together.
+    Titles are comparable ones, an id may have several; the best pair counts. Each different title is taken apart once,
+    into hashes of its tokens and of its grams. Similar titles share a token or a gram that is one of the rarest of either
+    side, as many as similarity can leave out, and have about as many; pairs that meet so are judged by their hashes,
+    and those that pass by the texts themselves.
     """
-
-    def parts(rows: DataFrame, key: str) -> DataFrame:
-        rows = rows.where("title <> ''").select(key, "title").distinct()
-        kinds = F.array(F.struct(F.lit("t").alias("kind"), tokens(F.col("title")).alias("xs")), F.struct(F.lit("g").alias("kind"), grams(F.col("title")).alias("xs")))
-        return rows.select(key, "title", F.inline(kinds)).select(key, "title", "kind", F.size("xs").alias("n"), F.explode("xs").alias("x"))
-
-    x, y = parts(left, "a"), parts(right, "b")
-    often = x.select("kind", "x").unionByName(y.select("kind", "x")).groupBy("kind", "x").agg(F.count("*").alias("often"))
+    c = F.col
+    sides = [df.where("title <> ''").select(F.lit(side).alias("side"), "title") for side, df in ((0, left), (1, right))]
+    hashed = lambda xs: F.transform(xs, lambda x: F.xxhash64(x))
+    parts = F.array(*[F.struct(F.lit(kind).alias("kind"), hashed(of(c("title"))).alias("xs")) for kind, of in (("t", tokens), ("g", grams))])
+    apart = staged(sides[0].unionByName(sides[1]).distinct().select("side", "title", F.inline(parts)).withColumn("n", F.size("xs")), "titles")
+    often = staged(apart.select("kind", F.explode("xs").alias("x")).groupBy("kind", "x").agg(F.count("*").alias("often")), "often")
+    if often.count() <= BROADCAST_PARTS:
+        often = F.broadcast(often)
     # Of n parts at least this many are shared: least x n of tokens (Jaccard), least / (2 - least) x n of grams (Dice).
-    shared = F.ceil(F.col("n") * F.when(F.col("kind") == "t", least).otherwise(least / (2 - least)) - 1e-9)
-
-    def rarest(rows: DataFrame, key: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(key, "title", "kind").orderBy("often", "x"))
-        return rows.join(often, ["kind", "x"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - shared + 1)
-
-    one, two = rarest(x, "a").select("a", F.col("title").alias("ta"), "kind", "x"), rarest(y, "b").select("b", F.col("title").alias("tb"), "kind", "x")
-    pairs = one.join(two, ["kind", "x"]).select("a", "ta", "b", "tb").distinct()
-    return pairs.groupBy("a", "b").agg(F.max(title_similarity(F.col("ta"), F.col("tb"))).alias("similarity")).where(F.col("similarity") >= least)
+    share = F.when(c("kind") == "t", least).otherwise(least / (2 - least))
+    rank = F.row_number().over(Window.partitionBy("side", "title", "kind").orderBy("often", "x"))
+    rows = apart.select("side", "title", "kind", "n", F.explode("xs").alias("x")).join(often, ["kind", "x"]).withColumn("rank", rank)
+    rare = rows.where(c("rank") <= c("n") - F.ceil(c("n") * share - 1e-9) + 1).select("side", "title", "kind", "x", "n")
+    one, two = (rare.where(c("side") == side).select("kind", "x", c("title").alias(title), c("n").alias(n)) for side, title, n in ((0, "ta", "na"), (1, "tb", "nb")))
+    # Sets of such different sizes can't be as similar.
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-9
+    met = one.join(two, ["kind", "x"]).where(near).select("ta", "tb").distinct()
+    own = apart.groupBy("side", "title").agg(*[F.first(F.when(c("kind") == k, c("xs")), ignorenulls=True).alias(k) for k in "tg"])
+    for side, title in ((0, "ta"), (1, "tb")):
+        met = met.join(own.where(c("side") == side).select(c("title").alias(title), c("t").alias(f"t{side}"), c("g").alias(f"g{side}")), title)
+    shared = {k: F.size(F.array_intersect(f"{k}0", f"{k}1")) for k in "tg"}
+    all_ = {k: F.size(f"{k}0") + F.size(f"{k}1") for k in "tg"}
+    close = F.greatest(shared["t"] / (all_["t"] - shared["t"]), 2.0 * shared["g"] / all_["g"]) >= least - 1e-9
+    pairs = met.where((c("ta") == c("tb")) | close).select("ta", "tb", title_similarity(c("ta"), c("tb")).alias("similarity")).where(c("similarity") >= least)
+    named = [df.where("title <> ''").select(key, c("title").alias(title)).distinct() for df, key, title in ((left, "a", "ta"), (right, "b", "tb"))]
+    return pairs.join(named[0], "ta").join(named[1], "tb").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def best_per_candidate(rows: DataFrame, key: list[str], score: str, tie: str) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import positive_id, url_parts
+from tessera.functions.text import positive_id
 from tessera.sources.shared import staged
 
 from .classify import first_reason
@@ -41,20 +41,27 @@ def weak_automatic(source: Column, confidence: Column) -> Column:
     return F.coalesce(source.isin("fuzzy", "api") & whole, F.lit(False))
 
 
-def parent_evidence(provider: Column, url: Column, provider_id: Column, season: Column, number: Column) -> Column:
-    """The parent ``show:season`` that an episode's address names, if all of its parts agree with the row; else null."""
-    host, path = url_parts(url)
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    part = lambda i: F.try_element_at(parts, F.lit(i + 1))
-    site = F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"^www\.", "")
-    s = positive_id(season)
-    tmdb = (
-        (site == "themoviedb.org") & (F.size(parts) == 6) & (part(0) == "tv") & (part(2) == "season") & (part(4) == "episode") & positive_id(part(1)).isNotNull()
-        & (positive_id(part(3)) == s) & (positive_id(part(5)) == positive_id(number))
-    )
-    tvdb = (site == "thetvdb.com") & (F.size(parts) == 4) & (part(0) == "series") & (part(2) == "episodes") & positive_id(part(1)).isNotNull() & (positive_id(part(3)) == positive_id(provider_id))
-    agrees = F.when(provider == "tmdb", tmdb).when(provider == "thetvdb", tvdb)
-    return F.when(agrees & s.isNotNull(), F.concat_ws(":", positive_id(part(1)).cast("string"), s.cast("string")))
+#: Addresses of an episode by provider: host with or without www and port, segments between slashes; what they name.
+_SITE, _END = r"^(?i:https?)://(?i:(?:www\.)?{})(?::[0-9]*)?/+", r"/*(?:[?#].*)?$"
+ADDRESSES = {
+    "tmdb": _SITE.format(r"themoviedb\.org") + r"tv/+([^/?#]+)/+season/+([^/?#]+)/+episode/+([^/?#]+)" + _END,
+    "thetvdb": _SITE.format(r"thetvdb\.com") + r"series/+([^/?#]+)/+episodes/+([^/?#]+)" + _END,
+}
+
+
+def with_parent(rows: DataFrame) -> DataFrame:
+    """``rows`` (provider, url, provider_id, season, number) with show and in_season: the parent that an episode's address
+    names, if all of its parts agree with the row; else nulls. Each address is matched once."""
+    c = F.col
+    found = [F.when(c("provider") == p, F.regexp_replace("url", pattern, "\n" + "\n".join(f"${i + 1}" for i in range(pattern.count("([^/?#]+)"))))) for p, pattern in ADDRESSES.items()]
+    # A row of its own for what is used several times: Spark would match again for each use.
+    parts = F.split(F.coalesce(*found), "\n")
+    split = rows.withColumn("_parts", parts).withColumn("_named", F.when(F.size("_parts") > 2, F.struct(*[positive_id(F.get("_parts", F.lit(i))).alias(f"p{i}") for i in (1, 2, 3)], positive_id(c("season")).alias("s"))))
+    named = split.select(*rows.columns, F.inline(F.array("_named")))
+    tmdb = (c("provider") == "tmdb") & (c("p2") == c("s")) & (c("p3") == positive_id(c("number")))
+    tvdb = (c("provider") == "thetvdb") & (c("p2") == positive_id(c("provider_id")))
+    agrees = F.coalesce((tmdb | tvdb) & c("p1").isNotNull() & c("s").isNotNull(), F.lit(False))
+    return named.select(*rows.columns, F.when(agrees, c("p1")).alias("show"), F.when(agrees, c("s")).alias("in_season"))
 
 
 def orphan_plan(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -63,21 +70,24 @@ def orphan_plan(rows: DataFrame, existing: DataFrame) -> DataFrame:
     ``rows``: anime_id, provider, url, provider_id, season, number, source, confidence. A parent that ``existing``
     (provider, provider_id) holds already, or that several groups ask for, goes to none of them.
     """
-    seen = rows.select("anime_id", "provider", "confidence", weak_automatic(F.col("source"), F.col("confidence")).alias("weak"), parent_evidence(*[F.col(x) for x in ("provider", "url", "provider_id", "season", "number")]).alias("parent"))
+    c = F.col
+    seen = with_parent(rows).select("anime_id", "provider", "confidence", weak_automatic(c("source"), c("confidence")).alias("weak"), "show", "in_season")
     groups = seen.groupBy("anime_id", "provider").agg(
-        F.count("*").alias("n"), F.bool_and("weak").alias("weak"), F.count("parent").alias("known"), F.min("parent").alias("parent"), F.max("parent").alias("other"), F.least(F.lit(WEAK), F.min("confidence")).cast("int").alias("confidence"),
+        F.count("*").alias("n"), F.bool_and("weak").alias("weak"), F.count("show").alias("known"), F.min("show").alias("show"), F.max("show").alias("show2"), F.min("in_season").alias("season"), F.max("in_season").alias("season2"),
+        F.least(F.lit(WEAK), F.min("confidence")).cast("int").alias("confidence"),
     )
-    c = F.col
-    clear = first_reason(*zip(ORPHAN_REASONS[:4], (~c("provider").isin("thetvdb", "tmdb"), ~c("weak"), c("known") < c("n"), c("parent") != c("other")), strict=True))
-    planned = groups.withColumn("reason", clear)
-    held = existing.select("provider", F.col("provider_id").alias("parent")).distinct().withColumn("held", F.lit(True))
-    asked = planned.where("reason IS NULL").groupBy("provider", "parent").agg(F.countDistinct("anime_id").alias("askers"))
-    joined = planned.join(held, ["provider", "parent"], "left").join(asked, ["provider", "parent"], "left")
-    reason = F.coalesce("reason", F.when(c("held").isNotNull() | (c("askers") > 1), ORPHAN_REASONS[4]))
-    good = reason.isNull()
-    show, season = (F.substring_index("parent", ":", i) for i in (1, -1))
-    url = F.when(c("provider") == "tmdb", F.concat(F.lit("https://www.themoviedb.org/tv/"), show, F.lit("/season/"), season))
-    return joined.select("anime_id", "provider", reason.alias("reason"), *[F.when(good, x).alias(n) for n, x in (("parent_id", c("parent")), ("parent_url", url), ("confidence", c("confidence")))], "n")
+    clear = first_reason(*zip(ORPHAN_REASONS[:4], (~c("provider").isin(*ADDRESSES), ~c("weak"), c("known") < c("n"), (c("show") != c("show2")) | (c("season") != c("season2"))), strict=True))
+    parent = F.concat_ws(":", c("show").cast("string"), c("season").cast("string"))
+    planned = staged(groups.select("anime_id", "provider", clear.alias("reason"), F.when(clear.isNull(), parent).alias("parent"), "show", "season", "confidence", "n"), "orphans")
+    # Only groups that ask for a parent are joined: the others have none, and would all meet under a null key.
+    asking = planned.where("reason IS NULL")
+    several = asking.groupBy("provider", "parent").agg(F.count("*").alias("askers")).where("askers > 1").select("provider", "parent")
+    gone = several.unionByName(existing.select("provider", F.col("provider_id").alias("parent"))).distinct().withColumn("_gone", F.lit(ORPHAN_REASONS[4]))
+    judged = asking.join(gone, ["provider", "parent"], "left").withColumn("reason", c("_gone")).select(*planned.columns)
+    out = planned.where("reason IS NOT NULL").unionByName(judged)
+    good = c("reason").isNull()
+    url = F.when(c("provider") == "tmdb", F.concat(F.lit("https://www.themoviedb.org/tv/"), c("show").cast("string"), F.lit("/season/"), c("season").cast("string")))
+    return out.select("anime_id", "provider", "reason", *[F.when(good, x).alias(n) for n, x in (("parent_id", c("parent")), ("parent_url", url), ("confidence", c("confidence")))], "n")
 
 
 def linear_segments(rows: DataFrame, owner: str, identity: list[str]) -> DataFrame:
