@@ -1,10 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks of text at block-level tags. Parts that the page itself declares as something else (menus,
-footers, forms, elements named as adverts or comments) are set aside. First pass over the rest: the share of link text,
-the length and the share of stop words decide a block or leave it open. Second pass: an open block takes the label of
-the nearest decided blocks before and after it. ``article`` and ``main`` are no decision, only where neighbours are looked for and what
-holds without any.
+footers, forms, elements named as adverts or comments) are set aside, unless such an element holds the headline and most
+of the page's dense text: then its name says nothing. First pass over the rest: the share of link text, the length and
+the share of stop words decide a block or leave it open. Second pass: an open block takes the label of the nearest decided
+blocks before and after it. ``article`` and ``main`` are no decision, only where neighbours are looked for and what holds
+without any; what lies outside of them stays if it is a story of its own.
 """
 
 from __future__ import annotations
@@ -34,10 +35,15 @@ RAW = frozenset("script style textarea title template noscript iframe svg xmp".s
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id and role which mark parts that aren't the article.
+#: Words in class, id and role which mark parts that aren't the article. The first ones do wherever a name ends
+#: with them or begins with them and tells a kind of box; the second ones mean many things and do as whole names, or
+#: behind a word for the whole site only.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright dialog disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion recommended related reply replies share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv advert advertisement advertising adsense breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter pagination pager popup promo promotion recommended reply replies share sharing sidebar sidebars signup sponsor sponsored subscribe toolbar".split()
 )
+VAGUE = frozenset("banner dialog header notice notices notification related social widget".split())
+BOXES = frozenset("area bar block body box bubble button buttons container content form group holder inner item items label links list nav panel row section slot text title unit widget wrap wrapper".split())
+SITES = frozenset("ad cookie cookies footer global page privacy sidebar site top".split())
 #: Of these, the words which mark reader comments; they count for an ``article`` element too, as whole class names.
 COMMENTS = frozenset("comment comments disqus reply replies".split())
 #: Beginnings of class names that say something about a layout ("with-sidebar"), and elements that hold it.
@@ -61,35 +67,68 @@ _WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, OPEN = 1, 0, 2
 
 
-def marked(name: str, attributes: str) -> bool:
-    """Do the attributes name a part that isn't the article? An element that holds the layout is judged by whole names for comments only."""
+def marked(name: str, attributes: str, inside: bool = False) -> bool:
+    """Do the attributes name a part that isn't the article? An element that holds the layout is judged by whole names for
+    comments only; inside an article a header is the article's own."""
     if not attributes:
         return False
     for value in _NAMED.findall(attributes):
         for token in value.strip("\"'").lower().split():
-            words = re.split(r"[^a-z]+", token)
             if name in LAYOUT:
                 if name == "article" and token in COMMENTS:
                     return True
-            elif words[0] not in ABOUT and MARKS.intersection(words):
+            elif not (inside and token == "header") and names_a_part([w for w in re.split(r"[^a-z]+", token) if w]):
                 return True
     return bool(_HIDDEN.search(attributes))
 
 
+def names_a_part(words: list[str]) -> bool:
+    """Does a name of these words stand for a part that isn't the article? ``post-share`` and ``comment-list`` do, ``ad-free``,
+    ``entry-header`` and ``elementor-widget-container`` don't."""
+    if not words or words[0] in ABOUT:
+        return False
+    if words[-1] in MARKS or (words[0] in MARKS and all(w in BOXES or w in MARKS or w in VAGUE for w in words[1:])):
+        return True
+    return words[-1] in VAGUE and (len(words) == 1 or words[0] in SITES or words[0] in MARKS) or (words[0] in VAGUE and len(words) > 1 and all(w in BOXES for w in words[1:]) and words[0] not in ("header", "widget"))
+
+
 @dataclass
 class Block:
     text: str
     aside: bool  # in a part that the page declares as something else
     home: int  # number of the article or main element that it stands in, 0 for none
     links: float  # share of link text
+    tag: str = ""  # the block element that it stands in
+    mark: int = 0  # number of the outermost element that its name sets aside, 0 for none or where an element's kind does
+    top: bool = False  # set aside only by a header outside of articles
     label: int = OPEN
     by: str = ""  # what decided: aside, links, stop words, neighbours, home
 
 
+#: Elements that hold a page's main part or its headline.
+CORE = frozenset(("h1", "article", "main"))
+
+
+def unmarked(found: list[Block], core: set[int]) -> None:
+    """A mark on an element that holds the headline or the article and most of the page's dense text isn't believed, and a
+    headline in the page's header stays open where no other one is."""
+    dense = [len(b.text) if len(b.text) >= SHORT_CHARS and b.links <= MAX_LINKS and stop_share(b.text) >= STOP_LOW else 0 for b in found]
+    for mark in core:
+        if 2 * sum(n for n, b in zip(dense, found, strict=True) if b.mark == mark) > sum(dense):
+            for b in found:
+                if b.mark == mark:
+                    b.aside = False
+    tops = [b for b in found if b.top and b.tag == "h1"]
+    if len(tops) == 1 and not any(b.tag == "h1" and not b.top or b.home and not b.aside for b in found):
+        tops[0].aside = False
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, aside, article
+    stack: list[tuple[str, bool, int, int, bool]] = []  # element, aside, article, mark, header only
+    core: set[int] = set()  # marks of elements that hold a headline or an article
+    marks = 0
     depth: Counter[str] = Counter()  # open elements by name, so that a stray end tag needs no search
     pieces: list[tuple[str, bool]] = []
     links = homes = 0
@@ -100,8 +139,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(x for x, _ in pieces)).split())
             if text:
                 linked, whole = sum(len(x.strip()) for x, link in pieces if link), sum(len(x.strip()) for x, _ in pieces)
-                _, aside, home = stack[-1] if stack else ("", False, 0)
-                found.append(Block(text, aside, home, linked / max(1, whole)))
+                tag, aside, home, mark, top = stack[-1] if stack else ("", False, 0, 0, False)
+                found.append(Block(text, aside, home, linked / max(1, whole), tag, mark, top))
             pieces.clear()
 
     def pop() -> str:
@@ -156,13 +195,23 @@ def blocks(page: str) -> list[Block]:
             links = 0
             if stack and (stack[-1][0] == "p" or stack[-1][0] in SIBLINGS.get(name, ())):
                 pop()
-            _, aside, home = stack[-1] if stack else ("", False, 0)
-            if name in ("article", "main") and not marked(name, attributes):
+            _, aside, home, mark, top = stack[-1] if stack else ("", False, 0, 0, False)
+            named = marked(name, attributes, home > 0)
+            if mark and name in CORE and not named:
+                core.add(mark)
+            if name in ("article", "main") and not named:
                 homes += 1
                 home = home or homes
             # a header inside the article holds its headline
-            aside = aside or bool(mute) or (name in OUTSIDE and not (name == "header" and home)) or marked(name, attributes)
-            stack.append((name, aside, home))
+            outside = bool(mute) or (name in OUTSIDE and not (name == "header" and home))
+            if named and not aside and not outside and not _HIDDEN.search(attributes) and not COMMENTS.intersection(re.split(r"[^a-z]+", attributes.lower())):
+                marks += 1
+                mark = marks
+            elif outside or named:
+                mark = 0  # its kind sets it aside, or what can't be doubted
+            top = not named and not mute and (top and name not in OUTSIDE or name == "header" and outside and not aside)
+            aside = aside or outside or named
+            stack.append((name, aside, home, mark, top))
             depth[name] += 1
         elif name == "br":
             say(" ")
@@ -174,6 +223,7 @@ def blocks(page: str) -> list[Block]:
             elif not attributes.endswith("/") and marked(name, attributes):
                 mute[:] = [name, 1, len(stack)]
     close()
+    unmarked(found, core)
     return found
 
 
@@ -183,11 +233,12 @@ def stop_share(text: str) -> float:
 
 
 def first_pass(block: Block) -> tuple[int, str]:
-    """Label and reason. In an article a lack of stop words leaves a block open; elsewhere it speaks against it."""
+    """Label and reason. In an article a lack of stop words leaves a block open, and so do links: bylines and lists of
+    sources are its own; elsewhere both speak against it."""
     if block.aside:
         return BAD, "aside"
     if block.links > MAX_LINKS:
-        return BAD, "links"
+        return (OPEN, "") if block.home else (BAD, "links")
     n, stops = len(block.text), stop_share(block.text)
     if n >= LONG_CHARS and stops >= STOP_LOW or n >= SHORT_CHARS and stops >= STOP_HIGH:
         return GOOD, "stop words"
@@ -233,12 +284,30 @@ def classify(page: str) -> list[Block]:
                 b.label, b.by = GOOD, "length"
     second_pass(found)
     if any(b.home and b.label == GOOD for b in found):
-        for b in rest:  # where there is an article, text outside is something else
-            if not b.home and b.label == GOOD:
-                b.label, b.by = BAD, "home"
+        # Where there is an article, text outside is something else, but for another story: a heading and dense blocks.
+        for run in _outside(found):
+            story = sum(b.by == "stop words" and b.label == GOOD for b in run) >= 2 and any(b.tag in HEADINGS for b in run)
+            for b in run:
+                if b.label == GOOD and not story:
+                    b.label, b.by = BAD, "home"
     return found
 
 
+HEADINGS = frozenset("h1 h2 h3".split())
+
+
+def _outside(found: list[Block]) -> Iterator[list[Block]]:
+    """Runs of blocks outside of articles that nothing set aside or in an article interrupts."""
+    run: list[Block] = []
+    for b in found:
+        if b.home or b.aside:
+            yield run
+            run = []
+        else:
+            run.append(b)
+    yield run
+
+
 def main_text(page: str) -> str:
     return "\n".join(b.text for b in classify(page) if b.label == GOOD)
 

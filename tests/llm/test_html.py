@@ -92,3 +92,37 @@ def test_hard_rows(spark):
     got = html.op8_html_extraction(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, n_chars INT")).collect()
     assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, 0), (1, 0), (2, 20_000 * 39 - 1), (3, 0), (3, 0)]
     assert html.op8_html_extraction(spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING")).count() == 0
+
+
+BODY = "".join(f"<p>{sentence(random.Random(i), 12)}</p>" for i in range(3))
+TEXT = "\n".join(sentence(random.Random(i), 12) for i in range(3))
+
+
+@pytest.mark.parametrize("name", ["elementor-widget-container", "elementor-widget elementor-widget-text-editor", "ad-free", "post-header-layout", "share-price-report", "entry-content has-sidebar", "social-science", "related-work", "noticeboard", "promotional", "adventure", "menuetto", "content widget-free"])
+@pytest.mark.parametrize("wrap", ["<main><div class='{}'>", "<article><div class='{}'>", "<article><section id='{}'>"])
+def test_names_that_only_contain_a_mark(name, wrap):
+    assert html.main_text(f"<nav><a href=/>x</a></nav>{wrap.format(name)}<h1>Title of it</h1>{BODY}") == "Title of it\n" + TEXT
+
+
+@pytest.mark.parametrize("name", ["ad", "post-share", "comment-list", "cookie-notice", "site-header", "sidebar-widget", "share-buttons", "newsletter-signup-box", "widget", "notice", "related", "ad-banner", "social", "promo-box", "breadcrumbs", "menu-item"])
+def test_names_that_stand_for_another_part(name):
+    assert html.main_text(f"<article><h1>Title of it</h1>{BODY}<div class='{name}'>{BODY}</div></article>") == "Title of it\n" + TEXT
+
+
+def test_headlines_stay():
+    for source in (f"<article><div class='entry-header'><h1>Title of it</h1></div>{BODY}", f"<header><h1>Title of it</h1></header>{BODY}", f"<article><header class='header'><h1>Title of it</h1></header>{BODY}", f"<div class='widget promo'><h1>Title of it</h1>{BODY}</div><footer>x</footer>"):
+        assert html.main_text(source) == "Title of it\n" + TEXT, source
+    assert html.main_text(f"<header><h1>Site name</h1></header><article><h1>Title of it</h1>{BODY}") == "Title of it\n" + TEXT
+    assert html.main_text(f"<div class='comments'><h1>Comments</h1>{BODY}{BODY}</div><article>{BODY}") == TEXT
+
+
+def test_links_of_the_article_stay():
+    by, sources = "<p><a href=/a>By Jane Doe</a></p>", "<ul><li><a href=/1>A whole sentence that is a source of it</a></li><li><a href=/2>Another one of these</a></li></ul>"
+    want = "Title of it\nBy Jane Doe\n" + TEXT + "\nA whole sentence that is a source of it\nAnother one of these"
+    assert html.main_text(f"<nav><a href=/>Home</a></nav><article><h1>Title of it</h1>{by}{BODY}{sources}</article><div><a href=/>More</a></div>") == want
+
+
+def test_another_story_behind_the_article_stays():
+    story = f"<div><h2>Second story</h2>{BODY}</div>"
+    assert html.main_text(f"<article><h1>One</h1>{BODY}</article>{story}<footer>f</footer>") == f"One\n{TEXT}\nSecond story\n{TEXT}"
+    assert html.main_text(f"<article><h1>One</h1>{BODY}</article><div>{sentence(random.Random(9), 12)}</div>") == f"One\n{TEXT}"
