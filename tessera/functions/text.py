@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def normal_name(c: Column) -> Column:
@@ -41,21 +40,104 @@ def default_confidence(source: Column, kind: Column, has_url: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
+#: Stands for "no further character" in the tables below; it is no character of any text (a Unicode noncharacter).
+_NOTHING = "\uffff"
+
+
+@cache
+def _decompositions() -> tuple[str, list[str], str]:
+    """(characters, their parts, other characters that change): the compatibility decompositions without marks.
+
+    The first ones have several parts (of which the n-th string holds the n-th, _NOTHING where there are fewer); the last
+    two-line string holds those with one part or none, over their counterparts.
+    """
+    one, many = {}, {}
+    for code in range(0x80, 0x110000):
+        if not 0xD800 <= code < 0xE000:
+            c = chr(code)
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
+            if plain != c:
+                (one if len(plain) <= 1 else many)[c] = plain
+    longest = max(map(len, many.values()))
+    parts = ["".join(v[i] if i < len(v) else _NOTHING for v in many.values()) for i in range(longest)]
+    # F.translate drops characters without a counterpart: those go last.
+    kept, gone = [c for c, v in one.items() if v], [c for c, v in one.items() if not v]
+    return "".join(many), parts, "".join(kept + gone) + "\n" + "".join(one[c] for c in kept)
+
+
+#: Parts of the longest decompositions that a text is searched for at once; longer ones are few and looked up one by one.
+_COMMON = 4
+
+
+def decomposed(c: Column) -> Column:
+    """The compatibility decomposition of a text, without marks: by tables of the Unicode data that Python has, in the JVM.
+
+    ASCII texts are left alone. Characters with several parts are replaced one by one, by a table for each part.
+    """
+    many, parts, single = _decompositions()
+    wide = set(c for i, c in enumerate(many) if parts[_COMMON][i] != _NOTHING)
+    place = {c: i for i, c in enumerate(many)}
+    few = "".join(c for c in many if c not in wide)
+    tables = ["".join(part[place[c]] for c in few) for part in parts[:_COMMON]]
+
+    def one(x: Column) -> Column:
+        return F.replace(F.concat(*[F.translate(x, few, table) for table in tables]), F.lit(_NOTHING), F.lit(""))
+
+    out = c
+    for w in sorted(wide):
+        out = F.replace(out, F.lit(w), F.lit("".join(part[place[w]] for part in parts).rstrip(_NOTHING)))
+    has = "[" + "".join(f"\\x{{{ord(a):x}}}-\\x{{{ord(b):x}}}" for a, b in _ranges(few)) + "]"
+    each = F.transform(F.split(out, ""), lambda x: F.when(x.rlike(has), one(x)).otherwise(x))
+    whole = F.when(out.rlike(has), F.array_join(each, "")).otherwise(out)
+    a, b = single.split("\n")
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(whole, a, b), r"\p{M}+", "")).otherwise(c)
+
+
+def _ranges(characters: str) -> list[tuple[str, str]]:
+    """The characters as ranges of consecutive ones."""
+    out: list[list[str]] = []
+    for c in sorted(characters):
+        if out and ord(c) == ord(out[-1][1]) + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(a, b) for a, b in out]
 
 
 def comparable_title(c: Column, ascii_only: bool = False) -> Column:
     """Compatibility-decomposed, without marks, lower case, other than letters and digits as single spaces, trimmed.
 
-    Spark has no expression for the decomposition; ``ascii_only`` leaves it out, and the whole stays in the JVM. Give
-    the result a column of its own before it is used in array functions: a UDF can't stand in a lambda.
+    ``ascii_only`` leaves the decomposition out, for texts that are known to need none.
     """
-    plain = c if ascii_only else F.regexp_replace(_decomposed(c), r"\p{M}+", "")
+    plain = c if ascii_only else decomposed(c)
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 
+def json_set(document: Column, path: list[str], value: Column) -> Column:
+    """The JSON text of an object with the text ``value`` at ``path``, in keys' order; other members stay as they are.
+
+    A missing last key is added, a missing or non-object parent leaves the document alone, and so does a document that
+    is no object; a null document or value gives null.
+    """
+    def put(current: Column, keys: list[str]) -> Column:
+        own = F.try_variant_get(current, "$", "map<string,variant>")
+        if len(keys) == 1:
+            inner = F.parse_json(F.to_json(F.struct(value.alias("v"))))
+            new = F.variant_get(inner, "$.v", "variant")
+        else:
+            there = F.element_at(own, keys[0])
+            new = put(there, keys[1:])
+        kept = F.map_filter(own, lambda k, _: k != F.lit(keys[0]))
+        added = F.map_concat(kept, F.create_map(F.lit(keys[0]), new))
+        sound = own.isNotNull() if len(keys) == 1 else own.isNotNull() & F.map_contains_key(own, keys[0]) & new.isNotNull()
+        ordered = F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(F.when(sound, added), lambda _, v: F.to_json(v)))))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(ordered), lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["key"].alias("k")))) - 6), F.lit(":"), e["value"])), ","), F.lit("}"))
+        return F.parse_json(text)
+
+    parsed = F.try_parse_json(document)
+    return F.when(value.isNull(), None).otherwise(F.coalesce(F.to_json(put(parsed, path)), document))
+
+
 def tokens(title: Column) -> Column:
     return F.array_distinct(F.filter(F.split(title, " "), lambda t: t != ""))
 

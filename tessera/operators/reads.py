@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a list if no number is asked for, and at most.
@@ -74,13 +74,14 @@ def unambiguous(rows: DataFrame, keys: list[str], number: str, identity: str) ->
     return same.where(F.col(identity).eqNullSafe(F.col("_other"))).drop("_other")
 
 
-def catalogue_diff(spark: SparkSession, wanted: dict[str, list[str]]) -> DataFrame:
-    """(table, column, state) for tables and columns of ``wanted`` and of the session's catalogue: present, missing or extra."""
-    there = [(t.name, c.name) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name) if t.name in wanted]
-    have = spark.createDataFrame(there, "table STRING, column STRING").withColumn("have", F.lit(True))
-    want = spark.createDataFrame([(t, c) for t, cs in wanted.items() for c in cs], "table STRING, column STRING").withColumn("want", F.lit(True))
-    state = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "extra").otherwise("present")
-    return want.join(have, ["table", "column"], "full").select("table", "column", state.alias("state"))
+def ordered_children(bridge: DataFrame, dimension: DataFrame, parent: str, key: str, rank: str, name: str) -> DataFrame:
+    """(parent, children): of each parent the dimension's names by ascending rank, those without a rank last, then by name.
+
+    ``bridge``: parent, key, rank; ``dimension`` (key, name) is broadcast by Spark while it is small.
+    """
+    own = bridge.join(dimension.select(key, name), key)
+    order = F.struct(F.col(rank).isNull().alias("last"), F.col(rank).alias("rank"), F.col(name).alias("name"))
+    return own.groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["name"]).alias("children"))
 
 
 def progress(done: Column, total: Column, seconds: Column) -> list[Column]:

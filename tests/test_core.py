@@ -2,12 +2,13 @@
 
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import classify, matching, merge, ranges, reads
+from tessera.operators import classify, matching, merge, ranges, reads, shape
 from tessera.operators import relational as rel
 from tessera.sources import files
 from tessera.streaming import microbatch
@@ -186,3 +187,32 @@ def test_slugs_are_unique_as_if_rows_came_in_order(spark):
         want[i] = own
     got = matching.unique_slugs(spark.createDataFrame(rows, "id INT, slug STRING"), "slug", "id", spark.createDataFrame(taken, "slug STRING"), "now").collect()
     assert {r["id"]: r["slug"] for r in got} == want
+
+
+def test_decompositions_equal_the_unicode_data(spark):
+    rng = random.Random(4)
+    codes = [*range(1, 0x3400), *range(0xA000, 0xD800, 5), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F260), *range(0x2F800, 0x2FA20), *rng.sample(range(0x10000, 0x110000), 500)]
+    rows = [(f"a{chr(c)}b",) for c in codes] + [("".join(chr(rng.choice(codes)) for _ in range(20)),) for _ in range(200)] + [("",), (None,)]
+    plain = lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.category(x).startswith("M"))
+    for text, got in spark.createDataFrame(rows, "t STRING").select("t", fn.decomposed(F.col("t"))).collect():
+        assert got == plain(text), (text, got)
+
+
+def test_json_set(spark):
+    j = F.col("j")
+    rows = [('{"a":1,"b":{"c":[1,2],"d":"x\\"y"}}',), ("[1]",), ("bad",), (None,), ('{"b":3}',), ("{}",)]
+    top = values(spark, rows, "j STRING", fn.json_set(j, ["a"], F.lit('n"o')))
+    assert [r[0] for r in top] == ['{"a":"n\\"o","b":{"c":[1,2],"d":"x\\"y"}}', "[1]", "bad", None, '{"a":"n\\"o","b":3}', '{"a":"n\\"o"}']
+    deep = values(spark, rows, "j STRING", fn.json_set(j, ["b", "e"], F.lit("n")))
+    assert [r[0] for r in deep] == ['{"a":1,"b":{"c":[1,2],"d":"x\\"y","e":"n"}}', "[1]", "bad", None, '{"b":3}', "{}"]
+    assert values(spark, rows[:1], "j STRING", fn.json_set(j, ["a"], F.lit(None).cast("string"))) == [(None,)]
+
+
+def test_shapes(spark):
+    for name in ("shape_x_a", "shape_x_b"):
+        spark.range(1).select(F.col("id"), F.lit(1).alias("N")).createOrReplaceTempView(name)
+    have = shape.catalogue(spark, "shape_x_").unionByName(spark.createDataFrame([("index", "a", "id")], "kind STRING, table STRING, name STRING"))
+    good = shape.shape_report(have, shape.wanted_shape(spark, {"A": ["ID", "n"]}, ["gone"], {"a": ["id"]}))
+    assert tuple(shape.verdict(good).first()) == (True, 4, 0, 0, 3)
+    bad = shape.verdict(shape.shape_report(have, shape.wanted_shape(spark, {"a": ["x"], "c": []}, ["b"], {"a": ["n"]}))).first()
+    assert tuple(bad)[:4] == (False, 1, 3, 1) and shape.exists(spark, "shape_x_a") and not shape.exists(spark, "shape_x_c")

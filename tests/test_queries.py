@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import catalogue, collisions, jobs, loads, lookups, planners, repairs, streams  # noqa: F401  (the others add their queries to the catalogue)
+from tessera.plans import catalogue, collisions, jobs, loads, lookups, planners, repairs, smalls, streams  # noqa: F401  (the others add their queries to the catalogue)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
