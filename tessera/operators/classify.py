@@ -65,6 +65,17 @@ def ownership(rows: DataFrame, season: list[str], number: str, owner: str, orpha
     return a.select(*season, kind.alias("ownership"))
 
 
+def ownership_summary(rows: DataFrame, season: list[str], number: str, owner: str, orphan: Column, holder: Column) -> DataFrame:
+    """(ownership, groups, authoritative, orphan_owned, owner_owned, other_owned, unmapped): of each class the seasons and the
+    sums of their episodes by who holds them. Rows as ``ownership`` takes them, one an episode."""
+    of = F.col(owner)
+    counts = rows.groupBy(*season).agg(
+        F.count("*").alias("authoritative"), F.count_if(of == orphan).alias("orphan_owned"), F.count_if(of == holder).alias("owner_owned"), F.count_if(of.isNotNull() & (of != orphan) & (of != holder)).alias("other_owned"), F.count_if(of.isNull()).alias("unmapped")
+    )
+    joined = ownership(rows, season, number, owner, orphan, holder).join(counts, season)
+    return joined.groupBy("ownership").agg(F.count("*").alias("groups"), *[F.sum(c).alias(c) for c in ("authoritative", "orphan_owned", "owner_owned", "other_owned", "unmapped")])
+
+
 def count_mismatch(authoritative: Column, local: Column, metadata: Column) -> Column:
     """Null for equal counts; else what the metadata's count says about the difference."""
     return F.when(authoritative != local, first_reason(*zip(MISMATCH, (metadata.isNull(), metadata != authoritative, local < authoritative, F.lit(True)), strict=True)))

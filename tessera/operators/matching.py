@@ -106,6 +106,19 @@ def group_verdict(rows: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys, "n", verdict.alias("verdict"), ((F.col("n") >= 2) & (F.col("keep") == 1) & (F.col("retire") == F.col("n") - 1)).alias("repair_safe"))
 
 
+def ambiguity_report(candidates: DataFrame, identities: DataFrame, key: str) -> DataFrame:
+    """(measure, value, n): how many groups have each verdict and how many are safe to repair, and how many candidates have
+    each class and each repair status.
+
+    ``candidates`` as ``match_class`` takes them; groups without a row in ``identities`` (key) are left out. A group is
+    all candidates of a title, of whichever provider.
+    """
+    judged = match_class(candidates.join(identities.select(key).distinct(), key, "left_semi"))
+    verdicts = group_verdict(judged, [key]).select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in (("verdict", F.col("verdict")), ("repair-safe", F.col("repair_safe").cast("string")))])))
+    classes = judged.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(v).alias("value")) for m, v in (("class", "match"), ("repair", "repair"))])))
+    return verdicts.unionByName(classes).groupBy("measure", "value").agg(F.count("*").alias("n"))
+
+
 def distinct_titles(titles: Column) -> Column:
     """The array's titles, trimmed, without blank ones and without repeats in other letter case; the first spelling stays."""
     clean = F.filter(F.transform(titles, lambda t: F.trim(t)), lambda t: t != "")

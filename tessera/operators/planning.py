@@ -79,6 +79,14 @@ def observed_transform(mapped: DataFrame, episodes: DataFrame, keys: list[str],
     return a.select(*keys, reason.alias("reason"), *[F.when(good, x).alias(n) for n, x in (("offset", c("o")), ("first", c("o") + 1), ("last", c("o") + c("c")), ("boundary", boundary))])
 
 
+def transform_report(transforms: DataFrame) -> DataFrame:
+    """(measure, value, n) of ``observed_transform`` rows: groups by boundary and by offset of those with a transform, the
+    others by reason."""
+    kinds = (("boundary", F.col("boundary")), ("offset", F.col("offset").cast("string")), ("reason", F.col("reason")))
+    each = transforms.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in kinds])))
+    return each.where("value IS NOT NULL").groupBy("measure", "value").agg(F.count("*").alias("n"))
+
+
 def dual_relation(s1: Column, e1: Column, s2: Column, e2: Column, numbers: Column) -> Column:
     """How two ranges of one season lie, whose authoritative numbers are the array ``numbers``."""
     union = F.array_union(F.sequence(s1, e1), F.sequence(s2, e2))

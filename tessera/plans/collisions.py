@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import classify, facts, planning, repair, slugs
+from tessera.operators import classify, facts, matching, planning, repair, slugs
 
-from . import jobs, repairs
+from . import jobs, lookups, repairs
 from .catalogue import oracle_sql, query, table
 
 _made = repairs._made
@@ -181,3 +181,60 @@ def collision_segment_job(spark: SparkSession, d: str) -> DataFrame:
     known = facts.collision_facts(groups, owners, none.select(F.lit(0).cast("bigint").alias("association_id")), owners, none.select("anime_id", "provider", F.lit(0).alias("episode_id")), none.select("provider", "provider_id", F.lit(0).alias("episode_id")), none.select("anime_id"))
     outcomes = known.join(plans, ["anime_id", "provider_id"], "left").withColumn("reason", facts.collision_segments(F.col("identity"), F.col("plan")))
     return planning.reason_counts(repair.overlapping(outcomes.select("anime_id", "provider_id", "reason", "ps", "pe"), "anime_id", ["provider_id"]))
+
+
+@query(
+    "season_ownership_job",
+    f"""WITH {repairs._SEASONS_SQL}, {_facts_sql('2', _TARGET)}, h AS ({repairs._HELD}), r AS (SELECT e.season, e.number, CASE WHEN h.anime_id IS NULL THEN 'u' WHEN h.anime_id = e.season * 10 + 1 THEN 'o' WHEN h.anime_id = e.season * 10 + 2 THEN 'w' ELSE 'x' END AS who
+          FROM e JOIN f ON f.season = e.season AND n_others > 0 LEFT JOIN h ON h.season = e.season AND h.episode_id = e.episode_id),
+        s AS (SELECT *, number - row_number() OVER (PARTITION BY season, who ORDER BY number) AS run FROM r),
+        a AS (SELECT season, count(*) AS n, count(*) FILTER (WHERE who = 'x') AS nx, count(*) FILTER (WHERE who = 'u') AS nu, count(*) FILTER (WHERE who = 'o') AS no, count(*) FILTER (WHERE who = 'w') AS nw, count(DISTINCT run) FILTER (WHERE who = 'o') AS ro, count(DISTINCT run) FILTER (WHERE who = 'w') AS rw,
+          min(number) FILTER (WHERE who = 'o') AS lo, max(number) FILTER (WHERE who = 'o') AS ho, min(number) FILTER (WHERE who = 'w') AS lw, max(number) FILTER (WHERE who = 'w') AS hw FROM s GROUP BY 1)
+        SELECT CASE WHEN nx > 0 THEN 'other-anime-involved' WHEN ro = 0 AND rw = 0 THEN 'unmapped-only' WHEN rw = 0 THEN 'orphan-only' WHEN ro = 0 THEN 'owner-only' WHEN ro = 1 AND rw = 1 AND hw + 1 = lo THEN 'owner-then-orphan-adjacent' WHEN ro = 1 AND rw = 1 AND ho + 1 = lw THEN 'orphan-then-owner-adjacent'
+          WHEN ro = 1 AND rw = 1 THEN 'owner-orphan-with-gap' ELSE 'fragmented-between-owner-and-orphan' END AS ownership, count(*) AS groups, sum(n)::BIGINT AS authoritative, sum(no)::BIGINT AS orphan_owned, sum(nw)::BIGINT AS owner_owned, sum(nx)::BIGINT AS other_owned, sum(nu)::BIGINT AS unmapped FROM a GROUP BY 1""",
+)
+def season_ownership_job(spark: SparkSession, d: str) -> DataFrame:
+    """Seasons with another owner, by how their episodes are shared."""
+    e = repairs._seasons(spark, d)
+    held = spark.sql(repairs._HELD.replace("FROM e", "FROM {e}"), e=e).select("season", "episode_id", "anime_id")
+    groups = _facts(spark, d, "2", _TARGET).where("n_others > 0").select("season", F.col("anime_id").alias("orphan"), (F.col("season") * 10 + 2).alias("holder"))
+    rows = e.select("season", "number", "episode_id").join(held, ["season", "episode_id"], "left").join(groups, "season")
+    return classify.ownership_summary(rows, ["season"], "number", "anime_id", F.col("orphan"), F.col("holder"))
+
+
+_COUNT = "CAST(season % 5 + 3 - o_custkey % 3 AS INT)"
+
+
+@query(
+    "merged_transform_job",
+    f"""WITH {repairs._SEASONS_SQL}, {_facts_sql('2', _TARGET)}, l AS ({repairs._LOCALS}), s AS (SELECT season, {_COUNT} AS c, count(*) AS n, min(number) AS lo, max(number) AS hi FROM e GROUP BY ALL), k AS (SELECT anime_id, count(*) AS k FROM l GROUP BY 1),
+        g AS (SELECT f.season, c, s.lo, s.hi FROM f JOIN s USING (season) LEFT JOIN k ON k.anime_id = tg WHERE n_owners = 1 AND NOT associated AND NOT any_ AND cut = 0 AND parent = ow AND NOT tout AND NOT oout AND coalesce(k.k, 0) <> s.n AND c <> s.n),
+        h AS (SELECT g.*, m.local_number AS x, m.episode_id - g.season * 100 AS p FROM g JOIN ({repairs._HELD}) m ON m.season = g.season AND m.anime_id = g.season * 10 + 1),
+        a AS (SELECT season, c, lo, hi, min(p - x) AS o, max(p - x) AS o2, min(x) AS lx, max(x) AS hx, count(*) AS n, count(DISTINCT x) AS nx, bool_or(x < 1 OR x > c) AS far FROM h GROUP BY ALL),
+        r AS (SELECT *, CASE WHEN far THEN 'invalid-local-episode-number' WHEN nx < n THEN 'duplicate-local-episode-number' WHEN o <> o2 THEN 'non-linear-observed-transform' WHEN o + 1 < lo OR o + c > hi THEN 'inferred-segment-outside-provider-season' END AS reason FROM a)
+        SELECT 'reason' AS measure, reason AS value, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL UNION ALL SELECT 'offset', CAST(o AS VARCHAR), count(*) FROM r WHERE reason IS NULL GROUP BY ALL
+        UNION ALL SELECT 'boundary', CASE WHEN lx = 1 AND hx = c THEN 'both-boundaries-observed' WHEN lx = 1 THEN 'local-start-observed' WHEN hx = c THEN 'local-end-observed' ELSE 'internal-only' END, count(*) FROM r WHERE reason IS NULL GROUP BY ALL""",
+)
+def merged_transform_job(spark: SparkSession, d: str) -> DataFrame:
+    """Transforms observed of seasons in scope whose title has another count than its metadata says."""
+    e = repairs._seasons(spark, d)
+    season = e.groupBy("season", "o_custkey").agg(F.count("*").alias("n_season")).selectExpr("season", "n_season", f"{_COUNT} AS count")
+    own = spark.sql(repairs._LOCALS.replace("FROM e", "FROM {e}"), e=e).groupBy("anime_id").agg(F.count("*").alias("n_local"))
+    rows = _facts(spark, d, "2", _TARGET).where(facts.in_scope()).join(season, "season").join(own, "anime_id", "left").withColumn("n_local", F.coalesce("n_local", F.lit(0)))
+    mismatch = classify.count_mismatch(F.col("n_season"), F.col("n_local"), F.col("count"))
+    chosen = rows.where(mismatch == "local-mismatch-metadata-differs").select("season", "anime_id", "count")
+    held = spark.sql(repairs._HELD.replace("FROM e", "FROM {e}"), e=e).select("season", "episode_id", "anime_id", "local_number")
+    mapped = held.join(chosen, ["season", "anime_id"]).select("season", "episode_id", "local_number", "count")
+    return planning.transform_report(planning.observed_transform(mapped, e.select("season", "episode_id", "number"), ["season"], "count"))
+
+
+@query(
+    "ambiguous_mapping_job",
+    f"""WITH {lookups._MATCHED_SQL}, cand AS (SELECT w.* FROM w WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = w.anime_id AND o_custkey % 4 > 0)), grp AS (SELECT anime_id, count(*) AS n, count(*) FILTER (WHERE match = 'strong-match') AS s, count(*) FILTER (WHERE repair = 'verified-keep') AS k, count(*) FILTER (WHERE repair = 'verified-retire') AS r FROM cand GROUP BY 1)
+        SELECT 'verdict' AS measure, CASE WHEN s = 1 THEN 'exactly-one-strong-match' WHEN s > 1 THEN 'multiple-strong-match' ELSE 'no-strong-match' END AS value, count(*) AS n FROM grp GROUP BY ALL UNION ALL SELECT 'repair-safe', CAST(n >= 2 AND k = 1 AND r = n - 1 AS VARCHAR), count(*) FROM grp GROUP BY ALL
+        UNION ALL SELECT 'class', match, count(*) FROM cand GROUP BY ALL UNION ALL SELECT 'repair', repair, count(*) FROM cand GROUP BY ALL""",
+)
+def ambiguous_mapping_job(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of titles that have an identity, by verdict, class and repair status."""
+    identities = table(spark, d, "orders").where("o_custkey % 4 > 0").select(F.col("o_orderkey").alias("anime_id"))
+    return matching.ambiguity_report(_made(spark, d, lookups._CANDIDATES, "lineitem"), identities, "anime_id")
