@@ -1,10 +1,13 @@
 """Pipeline stages on hard rows, and the queries with SQL against it."""
 
+import os
+import threading
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from tessera.llm import queries, urls
+from tessera.llm import common, exact, mix, njoin, queries, urls
 
 from .test_operators import hard_rows
 
@@ -39,3 +42,34 @@ def test_hard_urls(spark):
     got = urls.op7_url_filter(spark.createDataFrame(rows, "page_id BIGINT, url STRING, host INT")).collect()
     assert len(got) == len(rows) and {r["verdict"] for r in got} <= {"allow", "block"}
     assert {(r["page_id"], r["rule"]) for r in got if r["rule"]} == {(4, "net/de/"), (None, "org/es/")}
+
+
+def _runs(spark):
+    return [n for n in os.listdir(common.stage_folder(spark).removeprefix("file://")) if n.startswith("run-")]
+
+
+def test_runs_leave_other_results_alone(spark, monkeypatch):
+    """Lazy results of other operators outlive a run, a run that fails, and two runs at once; runs leave no tables of their own."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    held = [exact.op9_exact_dedup(docs), njoin.op3_ngram_jaccard(docs), mix.op4_mix(docs)]
+    want = [sorted(map(str, df.collect())) for df in held]
+    some = {name: stage for name, stage in corpus_pipeline.STAGES if name in ("mixing", "sharding")}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", list(some.items()))
+    first = sorted(map(str, corpus_pipeline.run(spark, DATA).collect()))
+
+    def fails(spark, docs, sf_dir):
+        common.staged(docs.limit(1), "half")
+        raise RuntimeError("stop")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("mixing", some["mixing"]), ("failing", fails)])
+    with pytest.raises(RuntimeError, match="stop"):
+        corpus_pipeline.run(spark, DATA)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", list(some.items()))
+    found = []
+    threads = [threading.Thread(target=lambda: found.append(sorted(map(str, corpus_pipeline.run(spark, DATA).collect())))) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert found == [first, first] and not _runs(spark)
+    assert [sorted(map(str, df.collect())) for df in held] == want
