@@ -79,8 +79,15 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _first_entries(vectors: DataFrame, parts: int, entries: int) -> np.ndarray:
     """The parts of the vectors of the least ids; of rows that repeat an id, the least vector counts."""
-    own = vectors.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(entries)
-    rows = [r["v"] for r in own.collect()]  # as many as a codebook has entries
+    ids: list = []
+    while len(ids) < entries:  # once, unless ids repeat; each time the tasks' least ids come together, no row is exchanged
+        rest = vectors.where("vec_id IS NOT NULL").select("vec_id")
+        least = [r[0] for r in (rest.where(F.col("vec_id") > F.lit(ids[-1])) if ids else rest).orderBy("vec_id").limit(entries).collect()]
+        if not least:
+            break
+        ids = [*ids, *sorted(set(least))][:entries]
+    own = vectors.where(F.col("vec_id").isin(ids)).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
+    rows = [r["v"] for r in own.collect()] if ids else []  # as many as a codebook has entries
     if not rows:
         return np.empty((parts, 0, 0), dtype=np.int64)
     return np.array(rows, dtype=np.int64).reshape(len(rows), parts, -1).transpose(1, 0, 2)

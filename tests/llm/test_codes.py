@@ -71,8 +71,16 @@ def test_query_equals_its_sql(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_ids_that_repeat_start_one_entry_each(spark):
+    rows = vectors(40, 8)
+    rows = [r for i, r in enumerate(rows) for _ in range(30 if i < 3 else 1 + i % 2)]
+    first = codes._first_entries(codes.integer_vectors(spark.createDataFrame(rows, VECTOR).repartition(4)), 8, 16)
+    want = [[math.floor(4096 * spark_float(x)) for x in v] for _, v, _ in vectors(40, 8)[:16]]
+    assert first.transpose(1, 0, 2).reshape(16, 8).tolist() == want
+
+
 def test_hard_rows(spark):
-    rows = vectors(30, 16) + vectors(30, 16)[:5]  # repeated rows
+    rows = vectors(30, 16) + vectors(30, 16)[:5] * 9  # repeated rows, more than a codebook has entries
     rows += [(None, rows[0][1], 1), (900, [], 1), (901, [1.0] * 15, 1), (902, [1.0] * 24, 1), (903, [3e38] * 16, 2), (904, [-3e38] * 16, 2)]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], VECTOR + ", v STRING, error INT")
     found = codes.op13_vector_codes(frame).collect()
