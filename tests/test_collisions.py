@@ -2,7 +2,6 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import facts, repair, slugs
 from tessera.plans import collisions  # noqa: F401  (adds its queries to the catalogue)
