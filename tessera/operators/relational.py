@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join that deals both sides out by their key. Spark guesses a side's size from compressed files and takes an
+    exploded array for one row, so that sides with a row a group or an episode would go through the driver to all executors."""
+    return df.hint("merge")
+
+
 def _matched(left: DataFrame, right: DataFrame, on: dict[str, str], how: str) -> DataFrame:
     keys = right.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())])
     return left.join(keys, reduce(Column.__and__, [F.col(x) == F.col(f"_k{i}") for i, x in enumerate(on)]), how)

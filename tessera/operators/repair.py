@@ -15,6 +15,7 @@ from tessera.sources.shared import staged
 
 from .classify import first_reason
 from .ranges import without_overlap
+from .relational import dealt
 
 #: The greatest confidence of a mapping that a job may replace, and the reasons of each plan in their order.
 WEAK = 85
@@ -209,7 +210,7 @@ def transfer_plan(moves: DataFrame, episodes: DataFrame, mapped: DataFrame, targ
     """
     c = F.col
     best = targets.groupBy("target", "number").agg(F.min_by(F.struct("to_id", "kind", "populated"), F.struct(~c("kind").eqNullSafe("normal"), "to_id")).alias("to"))
-    known = reduce(lambda df, other: df.join(other[0], other[1], "left"), [
+    known = reduce(lambda df, other: df.join(dealt(other[0]), other[1], "left"), [
         (episodes.select(*group, "number", "episode_id"), [*group, "number"]), (mapped.select(*group, "episode_id", "mapping_id", "anime_id", "from_id"), [*group, "episode_id"]), (best, ["target", "number"]),
     ], moves)
     fault = first_reason(*zip(TRANSFER_REASONS[1:], (
@@ -218,6 +219,6 @@ def transfer_plan(moves: DataFrame, episodes: DataFrame, mapped: DataFrame, targ
     checked = known.withColumn("_fault", fault)
     a = checked.groupBy(*group).agg(F.count("*").alias("n"), F.size(F.collect_set("number")).alias("d"), F.min(F.when(c("_fault").isNotNull(), F.struct("number", "_fault"))).alias("first"))
     plans = a.select(*group, F.coalesce(F.when(c("d") < c("n"), TRANSFER_REASONS[0]), c("first._fault")).alias("reason"), "n")
-    rows = checked.join(plans.where("reason IS NULL").select(*group), group, "left_semi").select(*group, "mapping_id", "episode_id", "number", "from_id", c("to.to_id").alias("to_id"))
+    rows = checked.join(dealt(plans.where("reason IS NULL").select(*group)), group, "left_semi").select(*group, "mapping_id", "episode_id", "number", "from_id", c("to.to_id").alias("to_id"))
     return plans, rows
 
