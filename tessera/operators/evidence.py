@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import days_apart, strict_date
 
 from .classify import first_reason
+from .relational import dealt
 
 #: Thresholds, and the reasons of each check in their order.
 LEAST_TITLE, MOST_DAYS = 0.72, 180
@@ -93,19 +94,19 @@ def suffix_evidence(seasons: DataFrame, episodes: DataFrame, mapped: DataFrame,
     c = F.col
     a = episodes.groupBy(*season).agg(F.count("*").alias("m"), F.size(F.collect_set("number")).alias("dm"), F.min("number").alias("lo"), F.max("number").alias("hi"))
     whole = (c("lo") == 1) & (c("dm") == c("m")) & (c("hi") == c("m")) & (c("prefix_end") > 0) & (c("prefix_end") < c("m"))
-    cut = seasons.join(a, season, "left").withColumns({"suffix_start": F.when(whole, c("prefix_end") + 1), "suffix_end": F.when(whole, c("m"))}).withColumn("k", c("suffix_end") - c("suffix_start") + 1)
-    dates = cut.join(episodes, season).groupBy(*season).agg(*[F.max(F.when(c("number") == c(at), F.trim("air_date"))).alias(x) for x, at in (("first", "suffix_start"), ("last", "suffix_end"))])
-    behind = cut.join(mapped, season).where(c("number").between(c("suffix_start"), c("suffix_end")))
+    cut = seasons.join(dealt(a), season, "left").withColumns({"suffix_start": F.when(whole, c("prefix_end") + 1), "suffix_end": F.when(whole, c("m"))}).withColumn("k", c("suffix_end") - c("suffix_start") + 1)
+    dates = cut.join(dealt(episodes), season).groupBy(*season).agg(*[F.max(F.when(c("number") == c(at), F.trim("air_date"))).alias(x) for x, at in (("first", "suffix_start"), ("last", "suffix_end"))])
+    behind = cut.join(dealt(mapped), season).where(c("number").between(c("suffix_start"), c("suffix_end")))
     in_step = (c("kind") == "normal") & (c("local_number") == c("number") - c("suffix_start") + 1)
     held = behind.groupBy(*season).agg(F.count("*").alias("n_mapped"), F.size(F.collect_set("number")).alias("dn"), F.min("anime_id").alias("one"), F.max("anime_id").alias("other"), F.coalesce(F.bool_and(in_step), F.lit(False)).alias("in_step"))
     near = lambda own, aired: F.coalesce(days_apart(strict_date(c(own)), strict_date(c(aired))) <= MOST_DAYS, F.lit(False))
     # ``locals`` is as long as a season
     covers = F.array_sort("locals") == F.transform(F.sequence(F.lit(1), c("k")), lambda i: i.cast("int"))
-    judged = cut.join(dates, season, "left").join(candidates, season).withColumn("fits", F.coalesce(c("episode_count").eqNullSafe(c("k")) & covers & near("start_date", "first") & near("end_date", "last"), F.lit(False)))
+    judged = cut.join(dealt(dates), season, "left").join(dealt(candidates), season).withColumn("fits", F.coalesce(c("episode_count").eqNullSafe(c("k")) & covers & near("start_date", "first") & near("end_date", "last"), F.lit(False)))
     fitting = judged.where("fits").groupBy(*season).agg(
         F.collect_set("anime_id").alias("all"), F.count_if("related").alias("n_related"), F.min(F.when(c("related"), c("anime_id"))).alias("kin"), F.bool_or(c("anime_id") == c("owner")).alias("owner_fits"),
     )
-    out = cut.join(held, season, "left").join(fitting, season, "left")
+    out = cut.join(dealt(held), season, "left").join(dealt(fitting), season, "left")
     exact = (c("n_mapped") == c("k")) & (c("dn") == c("k")) & (c("one") == c("other")) & c("in_step") & F.array_contains("all", c("one"))
     return out.select(
         *season, "suffix_start", "suffix_end", F.coalesce("n_mapped", F.lit(0)).alias("n_mapped"), F.when(exact, c("one")).alias("exact"), F.when(c("n_related") == 1, c("kin")).alias("related"),
