@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classify import first_reason
+from .relational import dealt
 
 STALE = "INTERVAL 5 MINUTES"
 RETRY = "INTERVAL 15 MINUTES"
@@ -64,10 +65,10 @@ def observed_transform(mapped: DataFrame, episodes: DataFrame, keys: list[str],
     off = c("number") - c("local_number")
     foreign, outside = c("number").isNull(), F.coalesce((c("local_number") < 1) | (c("local_number") > c(count)), F.lit(True))
     first = F.min(F.when(foreign | outside, F.struct("local_number", (~foreign).alias("own"), foreign.alias("foreign"))))
-    a = mapped.join(known, [*keys, "episode_id"], "left").groupBy(*keys).agg(
+    a = mapped.join(dealt(known), [*keys, "episode_id"], "left").groupBy(*keys).agg(
         F.max(count).alias("c"), F.min(off).alias("o"), F.max(off).alias("o2"), F.min("local_number").alias("lo_l"), F.max("local_number").alias("hi_l"), first.alias("bad"),
         F.count("*").alias("n"), F.size(F.collect_set("number")).alias("np"), F.size(F.collect_set("local_number")).alias("nl"),
-    ).join(season, keys, "left")
+    ).join(dealt(season), keys, "left")
     wanted = F.sequence(c("o") + 1, c("o") + c("c"))
     reason = first_reason(*zip(TRANSFORM_FAULTS, (
         F.coalesce(c("c") < 1, F.lit(True)), (c("ni") < c("ne")) | (F.size("numbers") < c("ne")), F.coalesce(c("bad.foreign"), F.lit(False)), c("bad").isNotNull(), c("nl") < c("n"),
