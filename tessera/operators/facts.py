@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.sources.shared import staged
 
 from .planning import in_order
+from .relational import dealt
 
 IDENTITY = ["provider", "provider_id"]
 
@@ -27,12 +28,12 @@ def collision_facts(groups: DataFrame, associations: DataFrame, segments: DataFr
     """
     c = F.col
     cut = segments.groupBy("association_id").agg(F.count("*").alias("_cut"))
-    owned = associations.join(cut, "association_id", "left").groupBy(*IDENTITY, c("anime_id").alias("_a")).agg(F.count("*").alias("_k"), F.sum(F.coalesce("_cut", F.lit(0))).alias("_cut"))
+    owned = associations.join(dealt(cut), "association_id", "left").groupBy(*IDENTITY, c("anime_id").alias("_a")).agg(F.count("*").alias("_k"), F.sum(F.coalesce("_cut", F.lit(0))).alias("_cut"))
     per = owned.groupBy(*IDENTITY).agg(F.sum("_k").alias("n_owners"), F.sum("_cut").alias("_segments"), F.min("_a").alias("_low"), F.max("_a").alias("_high"))
     mine = owned.select(*IDENTITY, c("_a").alias("anime_id"), c("_k").alias("_mine"))
     any_ = associations.select("anime_id", "provider").distinct().withColumn("_any", F.lit(True))
     legacy = parents.groupBy(*IDENTITY).agg(F.min("anime_id").alias("parent"))
-    known = groups.join(per, IDENTITY, "left").join(mine, [*IDENTITY, "anime_id"], "left").join(any_, ["anime_id", "provider"], "left").join(legacy, IDENTITY, "left")
+    known = groups.join(dealt(per), IDENTITY, "left").join(dealt(mine), [*IDENTITY, "anime_id"], "left").join(dealt(any_), ["anime_id", "provider"], "left").join(dealt(legacy), IDENTITY, "left")
     others = F.coalesce(c("n_owners"), F.lit(0)) - F.coalesce(c("_mine"), F.lit(0))
     owner = F.when(others == 1, F.when(c("_low") == c("anime_id"), c("_high")).otherwise(c("_low")))
     facts = known.withColumns({
@@ -43,13 +44,13 @@ def collision_facts(groups: DataFrame, associations: DataFrame, segments: DataFr
     def outside(who: str, name: str) -> DataFrame:
         """(anime_id, identity): how many episodes the title has mapped of the provider that aren't the season's."""
         asked = facts.where(c(who).isNotNull()).select(c(who).alias("_who"), *IDENTITY).distinct()
-        rows = asked.join(mapped.select(c("anime_id").alias("_who"), "provider", "episode_id"), ["_who", "provider"])
-        wrong = rows.join(seasons.select(*IDENTITY, "episode_id"), [*IDENTITY, "episode_id"], "left_anti")
+        rows = asked.join(dealt(mapped.select(c("anime_id").alias("_who"), "provider", "episode_id")), ["_who", "provider"])
+        wrong = rows.join(dealt(seasons.select(*IDENTITY, "episode_id")), [*IDENTITY, "episode_id"], "left_anti")
         return wrong.groupBy(c("_who").alias(who), *IDENTITY).agg(F.count("*").alias(name))
 
     for who, name in (("anime_id", "target_outside"), ("owner", "owner_outside")):
-        facts = facts.join(outside(who, name), [who, *IDENTITY], "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return facts.join(metadata.select("anime_id").distinct().withColumn("described", F.lit(True)), "anime_id", "left").withColumn("described", F.coalesce("described", F.lit(False)))
+        facts = facts.join(dealt(outside(who, name)), [who, *IDENTITY], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return facts.join(dealt(metadata.select("anime_id").distinct().withColumn("described", F.lit(True))), "anime_id", "left").withColumn("described", F.coalesce("described", F.lit(False)))
 
 
 def _c(name: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import classify, facts, matching, planning, repair, slugs
+from tessera.operators.relational import dealt
 
 from . import jobs, lookups, repairs
 from .catalogue import oracle_sql, query, table
@@ -73,13 +74,13 @@ def _facts(spark: SparkSession, d: str, own: str, target: str) -> DataFrame:
     held = spark.sql(repairs._HELD.replace("FROM e", "FROM {e}"), e=e).select("anime_id", "episode_id")
     mapped = held.unionByName(from_lines(_FOREIGN)).withColumn("provider", F.lit("tmdb"))
     seasons = e.select(F.lit("tmdb").alias("provider"), F.concat(F.col("season").cast("string"), F.lit(":1")).alias("provider_id"), "episode_id")
-    described = spark.sql(_DESCRIBED.replace("FROM orders JOIN customer", "FROM {o} JOIN {c}"), o=orders, c=table(spark, d, "customer"))
+    described = spark.sql(_DESCRIBED.replace("FROM orders JOIN customer", "FROM {o} JOIN {c}"), o=orders, c=dealt(table(spark, d, "customer")))
     own_sql = own.replace("l_season", "l_orderkey")
     return facts.collision_facts(groups, from_lines(_ASSOCIATED.format(own=own_sql)), from_lines(_SEGMENTED), spark.sql(_PARENTS.replace("FROM orders", "FROM {rows}"), rows=orders), mapped, seasons, described)
 
 
 def _reasons(frame: DataFrame, key: str, name: str) -> DataFrame:
-    return frame.select(F.col(key).alias("season"), F.col("reason").alias(name))
+    return dealt(frame.select(F.col(key).alias("season"), F.col("reason").alias(name)))
 
 
 _CHECKS_SQL = f"w AS ({oracle_sql()['whole_season_plans']}), v AS ({oracle_sql()['transfer_plans']}), i AS ({oracle_sql()['identity_checks']}), a AS ({oracle_sql()['airdate_checks']})"
@@ -138,7 +139,7 @@ def count_mismatch_job(spark: SparkSession, d: str) -> DataFrame:
     e = repairs._seasons(spark, d)
     season = e.groupBy("season").agg(F.count("*").alias("n_season"), F.min("number").alias("lo"), F.max("number").alias("hi")).where("lo = 1 AND hi = n_season")
     own = spark.sql(repairs._LOCALS.replace("FROM e", "FROM {e}"), e=e).groupBy("anime_id").agg(F.count("*").alias("n_local"))
-    rows = _facts(spark, d, "2", _TARGET).where(facts.in_scope()).join(season, "season").join(own, "anime_id", "left")
+    rows = _facts(spark, d, "2", _TARGET).where(facts.in_scope()).join(dealt(season), "season").join(dealt(own), "anime_id", "left")
     return rows.withColumn("n_local", F.coalesce("n_local", F.lit(0))).where("n_local <> n_season").select("season", "n_season", "n_local")
 
 
@@ -220,11 +221,11 @@ def merged_transform_job(spark: SparkSession, d: str) -> DataFrame:
     e = repairs._seasons(spark, d)
     season = e.groupBy("season", "o_custkey").agg(F.count("*").alias("n_season")).selectExpr("season", "n_season", f"{_COUNT} AS count")
     own = spark.sql(repairs._LOCALS.replace("FROM e", "FROM {e}"), e=e).groupBy("anime_id").agg(F.count("*").alias("n_local"))
-    rows = _facts(spark, d, "2", _TARGET).where(facts.in_scope()).join(season, "season").join(own, "anime_id", "left").withColumn("n_local", F.coalesce("n_local", F.lit(0)))
+    rows = _facts(spark, d, "2", _TARGET).where(facts.in_scope()).join(dealt(season), "season").join(dealt(own), "anime_id", "left").withColumn("n_local", F.coalesce("n_local", F.lit(0)))
     mismatch = classify.count_mismatch(F.col("n_season"), F.col("n_local"), F.col("count"))
     chosen = rows.where(mismatch == "local-mismatch-metadata-differs").select("season", "anime_id", "count")
     held = spark.sql(repairs._HELD.replace("FROM e", "FROM {e}"), e=e).select("season", "episode_id", "anime_id", "local_number")
-    mapped = held.join(chosen, ["season", "anime_id"]).select("season", "episode_id", "local_number", "count")
+    mapped = held.join(dealt(chosen), ["season", "anime_id"]).select("season", "episode_id", "local_number", "count")
     return planning.transform_report(planning.observed_transform(mapped, e.select("season", "episode_id", "number"), ["season"], "count"))
 
 
