@@ -155,7 +155,7 @@ def dual_plan(seasons: DataFrame, rows: DataFrame, season: list[str]) -> DataFra
     joined = seasons
     for who in ("owner", "orphan"):
         own = segments.select(*season, F.col("anime_id").alias(who), *[F.col(x).alias(f"{who}_{x}") for x in ("reason", "ps", "pe", "n")])
-        joined = joined.join(own, [*season, who], "left")
+        joined = joined.join(dealt(own), [*season, who], "left")
     c = F.col
     adjacent = F.coalesce(c("ownership").isin("owner-then-orphan-adjacent", "orphan-then-owner-adjacent"), F.lit(False))
     fault = {who: F.when(c(f"{who}_n").isNull(), ALIGNED_REASONS[0]).otherwise(c(f"{who}_reason")) for who in ("owner", "orphan")}
@@ -180,7 +180,7 @@ def whole_season_plan(pairs: DataFrame, episodes: DataFrame, mapped: DataFrame,
     own = locals_.groupBy("anime_id").agg(F.count("*").alias("k"), F.countDistinct("number").alias("dk"), F.min("number").alias("klo"), F.max("number").alias("khi"))
     target = own.select(F.col("anime_id").alias("target"), "k", "dk", "klo", "khi")
     owner = own.select(F.col("anime_id").alias("owner"), F.col("k").alias("owner_k"))
-    held = pairs.join(episodes, season).join(mapped.withColumn("_held", F.lit(True)), [*season, "episode_id"], "left")
+    held = pairs.join(dealt(episodes), season).join(dealt(mapped.withColumn("_held", F.lit(True))), [*season, "episode_id"], "left")
     mine, theirs = c("anime_id") == c("target"), c("anime_id") == c("owner")
     fault = F.coalesce(
         F.when(c("_held").isNull(), SEASON_REASONS[4]), F.when(~c("kind").eqNullSafe("normal"), SEASON_REASONS[5]),
@@ -190,7 +190,7 @@ def whole_season_plan(pairs: DataFrame, episodes: DataFrame, mapped: DataFrame,
         F.min(F.when(c("_fault").isNotNull(), F.struct("number", "_fault"))).alias("first"), F.count_if(mine).alias("n_target"), F.count_if(theirs).alias("n_owner"),
         F.array_sort(F.collect_list(F.when(theirs, c("number")))).alias("moves"),
     )
-    joined = pairs.join(a, season, "left").join(target, "target", "left").join(owner, "owner", "left").join(per, [*season, "target", "owner"], "left")
+    joined = pairs.join(dealt(a), season, "left").join(dealt(target), "target", "left").join(dealt(owner), "owner", "left").join(dealt(per), [*season, "target", "owner"], "left")
     k = F.coalesce("k", F.lit(0))
     reason = F.coalesce(
         F.when(c("n").isNull() | ~_one_to_n(c("n"), c("dn"), c("lo"), c("hi")) | (c("di") < c("n")), SEASON_REASONS[0]), F.when(k != c("n"), SEASON_REASONS[1]),

@@ -12,6 +12,6 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["transfer_plans", "suffix_plans", "observed_transforms"])
+@pytest.mark.parametrize("name", ["transfer_plans", "suffix_plans", "observed_transforms", "merged_transform_job", "ownership_repair_job"])
 def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in planned(queries()[name](spark, DATA))
