@@ -6,6 +6,7 @@ through the checkpoint. Rows of a key must arrive in order from batch to batch;
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,6 +19,9 @@ from .microbatch import spaced
 
 #: Outcomes of a window, share of failures at which a back-off begins, batches that it lasts.
 WINDOW, SHARE, HOLD = 20, 0.25, 10
+#: Keys are dealt into so many buckets, each with one state: a state of its own for each key costs several calls a key and batch.
+#: A checkpoint serves as long as this number stays as it is.
+BUCKETS = 4096
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -36,27 +40,32 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 
 
 class _InFlight(StatefulProcessor):
-    """State of a key: when its request in flight began, in microseconds, until a timer says that it is over."""
+    """State of a bucket: when each of its requests in flight began, in microseconds, and a timer at which all are over."""
 
     def __init__(self, time: str, lasts: int) -> None:
         self.time, self.lasts = time, lasts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("begun", "at BIGINT")
+        self.handle, self.state = handle, handle.getValueState("begun", "flights STRING, due BIGINT")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        begun, takes = self.state.get()[0] if self.state.exists() else None, []
+        text, before = self.state.get() if self.state.exists() else ("{}", None)
+        flights, takes = json.loads(text), []
         frame = pd.concat(list(rows)).sort_values("own_micros")
-        for at in frame["own_micros"]:
+        for own, at in zip(frame["own_key"].tolist(), frame["own_micros"].tolist(), strict=True):
+            begun = flights.get(own)
             takes.append(begun is None or at >= begun + self.lasts)
             if takes[-1]:
-                begun = int(at)
+                flights[own] = at
+        due = (max(flights.values()) + self.lasts) // 1000 + 1
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        over = timerValues.getCurrentWatermarkInMs() * 1000 - self.lasts
+        self.state.update((json.dumps({own: begun for own, begun in flights.items() if begun > over}), due))
         if any(takes):
-            for due in self.handle.listTimers():
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer((begun + self.lasts) // 1000 + 1)
-            self.state.update((begun,))
-            yield frame.loc[takes].drop(columns=["own_micros", "own_key"])
+            yield frame.loc[takes].drop(columns=["own_micros", "own_key", "own_bucket"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -74,8 +83,8 @@ def in_flight(requests: DataFrame, keys: list[str], time: str, seconds: int) ->
     keys in flight only, and Spark may drop rows behind it. Start the stream within ``keyed_state``. (Dropping duplicates
     within the watermark would also drop the next flight's first row wherever the watermark hasn't moved on yet.)
     """
-    own = requests.where(F.col(time).isNotNull()).withWatermark(time, f"{seconds} seconds").withColumns({"own_micros": F.unix_micros(time), "own_key": _key(keys)})
-    return own.groupBy("own_key").transformWithStateInPandas(_InFlight(time, seconds * 1_000_000), _kinds(requests, requests.columns), "Append", "EventTime")
+    own = requests.where(F.col(time).isNotNull()).withWatermark(time, f"{seconds} seconds").withColumns({"own_micros": F.unix_micros(time), "own_key": _key(keys), "own_bucket": _bucket(keys)})
+    return own.groupBy("own_bucket").transformWithStateInPandas(_InFlight(time, seconds * 1_000_000), _kinds(requests, requests.columns), "Append", "EventTime")
 
 
 def flights(requests: DataFrame, keys: list[str], time: str, seconds: int) -> DataFrame:
@@ -84,27 +93,29 @@ def flights(requests: DataFrame, keys: list[str], time: str, seconds: int) -> Da
 
 
 class _BackOffs(StatefulProcessor):
-    """State of a key: its last outcomes as text (1 is a failure), and the batch in which its last back-off began."""
+    """State of a bucket: of each key its last outcomes as text (1 is a failure), and the batch in which its last back-off began."""
 
     def __init__(self, names: list[str], order: list[str], batch: str, failed: str, size: int, share: float, hold: int) -> None:
         self.names, self.order, self.batch, self.failed, self.size, self.share, self.hold = names, order, batch, failed, size, share, hold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "outcomes STRING, begun BIGINT")
+        self.state = handle.getValueState("windows", "windows STRING")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        outcomes, begun = self.state.get() if self.state.exists() else ("", None)
-        found = []
+        windows = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        places, found = [], []
         frame = pd.concat(list(rows)).sort_values(self.order)
-        own = frame[self.names].head(1)
-        for batch, failed in zip(frame[self.batch], frame[self.failed], strict=True):
+        for i, (own, batch, failed) in enumerate(zip(*(frame[c].tolist() for c in ("own_key", self.batch, self.failed)), strict=True)):
+            outcomes, begun = windows.get(own, ("", None))
             outcomes = (outcomes + ("1" if failed else "0"))[-self.size :]
             if failed and outcomes.count("1") >= self.share * len(outcomes) and (begun is None or batch >= begun + self.hold):
                 begun = int(batch)
+                places.append(i)
                 found.append(begun)
-        self.state.update((outcomes, begun))
+            windows[own] = (outcomes, begun)
+        self.state.update((json.dumps(windows),))
         if found:
-            yield own.loc[own.index.repeat(len(found))].assign(**{self.batch: found})
+            yield frame[self.names].iloc[places].assign(**{self.batch: found})
 
     def close(self) -> None:
         pass
@@ -128,6 +139,10 @@ def _key(keys: list[str]) -> Column:
     return F.to_json(F.struct(*keys))
 
 
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(_key(keys)), F.lit(BUCKETS)).cast("int")
+
+
 def _kinds(df: DataFrame, names: list[str]) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
@@ -141,7 +156,7 @@ def live_back_offs(outcomes: DataFrame, keys: list[str], order: list[str], batch
     """
     used = outcomes.select(*dict.fromkeys([*keys, *order, batch, failed]))
     processor = _BackOffs(keys, order, batch, failed, size, share, hold)
-    return used.withColumn("_key", _key(keys)).groupBy("_key").transformWithStateInPandas(processor, f"{_kinds(outcomes, keys)}, `{batch}` BIGINT", "Append", "None")
+    return used.withColumns({"own_key": _key(keys), "own_bucket": _bucket(keys)}).groupBy("own_bucket").transformWithStateInPandas(processor, f"{_kinds(outcomes, keys)}, `{batch}` BIGINT", "Append", "None")
 
 
 class _Latest(StatefulProcessor):

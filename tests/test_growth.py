@@ -4,6 +4,7 @@ import pytest
 
 from tessera.plans import collisions, jobs, planners, repairs  # noqa: F401  (they add their queries to the catalogue)
 from tessera.plans.catalogue import queries
+from tessera.streaming import live
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,3 +16,14 @@ def planned(df):
 @pytest.mark.parametrize("name", ["transfer_plans", "suffix_plans", "observed_transforms", "merged_transform_job", "ownership_repair_job"])
 def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in planned(queries()[name](spark, DATA))
+
+
+def test_keys_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "BUCKETS", 2)
+    spark.range(60).selectExpr("id AS k", "TIMESTAMP '2024-01-01' + make_dt_interval(0, 0, 0, id) AS at").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k BIGINT, at TIMESTAMP").parquet(str(tmp_path / "in"))
+    with live.keyed_state(spark):
+        query = live.in_flight(stream, ["k"], "at", 120).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= 6  # a bucket's text and its timer (both ways)
