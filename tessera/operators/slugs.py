@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import decoded, encoded, positive_id
+from tessera.sources.shared import staged
 
 from .repair import WEAK, weak_automatic
 
@@ -44,6 +45,7 @@ def slug_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     c = F.col
     seen = slug_evidence(rows.where(c("provider") == PROVIDER)).withColumn("weak", weak_automatic(c("source"), c("confidence")))
+    seen = staged(seen.select("anime_id", "mapping_id", "show", "show_id", "s", "e", "n", "weak", "confidence"), "slugs")  # addresses are taken apart once
     slug = F.when(c("show_id").isNull(), c("show"))
     spelled = F.when(slug.isNotNull(), F.struct("mapping_id", slug.alias("slug")))
     groups = seen.groupBy("anime_id").agg(
@@ -53,7 +55,7 @@ def slug_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = c("weak") & (c("known") == c("n")) & c("slug").isNotNull() & (c("slug") == c("slug2")) & (c("season") == c("season2")) & c("id").eqNullSafe(c("id2"))
     bad = ~F.coalesce(one, F.lit(False))
     out = groups.select("anime_id", F.when(bad, REASONS[0]).alias("reason"), *[F.when(~bad, x).alias(n) for n, x in (("slug", c("slug")), ("spelling", c("spelled.slug")), ("season", c("season")), ("expected_id", c("id")))], "confidence", "n")
-    return out, seen.where("show IS NOT NULL").select("anime_id", "s", "e", c("n").alias("number"))
+    return staged(out, "slug-groups"), seen.where("show IS NOT NULL").select("anime_id", "s", "e", c("n").alias("number"))
 
 
 def resolved_slugs(groups: DataFrame, evidence: DataFrame, series: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -64,8 +66,10 @@ def resolved_slugs(groups: DataFrame, evidence: DataFrame, series: DataFrame, ep
     """
     c = F.col
     shows = series.where("series_id > 0").groupBy(normal_slug(c("slug")).alias("slug")).agg(F.min("series_id").alias("series_id"))
-    found = groups.join(shows, "slug", "left")
-    asked = evidence.join(found.where("reason IS NULL AND series_id IS NOT NULL").select("anime_id", "series_id"), "anime_id")
+    # Only groups with a slug are looked up: the others would all meet under a null key.
+    asking = groups.where("reason IS NULL").join(shows, "slug", "left")
+    found = asking.unionByName(groups.where("reason IS NOT NULL").withColumn("series_id", F.lit(None).cast(shows.schema["series_id"].dataType)))
+    asked = evidence.join(asking.where("series_id IS NOT NULL").select("anime_id", "series_id"), "anime_id")
     real = episodes.where("episode_id > 0 AND number > 0").groupBy("series_id", c("season").alias("s"), c("episode_id").alias("e")).agg(F.max("number").alias("_number"))
     checked = asked.join(real, ["series_id", "s", "e"], "left").groupBy("anime_id").agg(F.bool_and(F.coalesce(c("_number") == c("number"), F.lit(False))).alias("_there"))
     joined = found.join(checked, "anime_id", "left")
@@ -85,5 +89,5 @@ def without_collisions(plans: DataFrame, existing: DataFrame) -> DataFrame:
     held = existing.where(F.col("provider") == PROVIDER).select(F.col("provider_id").alias("_id")).distinct().withColumn("_held", F.lit(True))
     asked = plans.where("reason IS NULL").groupBy(F.col("provider_id").alias("_id")).agg(F.countDistinct("anime_id").alias("_askers"))
     claims = asked.join(held, "_id", "left").where("_held OR _askers > 1").select("_id", F.lit(COLLISION).alias("_why"))
-    joined = plans.join(claims, (F.col("provider_id") == F.col("_id")) & F.col("reason").isNull(), "left")
-    return joined.withColumn("reason", F.coalesce("reason", "_why")).select(*plans.columns)
+    joined = plans.where("reason IS NULL").join(claims, F.col("provider_id") == F.col("_id"), "left")
+    return joined.withColumn("reason", F.col("_why")).select(*plans.columns).unionByName(plans.where("reason IS NOT NULL"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import classify, facts, matching, planning, repair, slugs
 from tessera.operators.relational import dealt
+from tessera.sources.shared import staged
 
 from . import jobs, lookups, repairs
 from .catalogue import oracle_sql, query, table
@@ -32,9 +33,9 @@ _SLUG_SQL = f"""r AS MATERIALIZED ({_SLUGGED}), sr AS ({_SERIES}), au AS ({_AUTH
 
 def _slugged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(mappings, resolved groups)."""
-    r = _made(spark, d, _SLUGGED, "lineitem")
+    r = staged(_made(spark, d, _SLUGGED, "lineitem"), "slugged")  # its windows are gone through once
     series, episodes = (spark.sql(text.replace("FROM r", "FROM {r}"), r=r) for text in (_SERIES, _AUTHORITATIVE))
-    return r, slugs.resolved_slugs(*slugs.slug_groups(r.drop("k")), series, episodes)
+    return r, staged(slugs.resolved_slugs(*slugs.slug_groups(r.drop("k")), series, episodes), "resolved")
 
 
 @query(
@@ -177,11 +178,13 @@ def collision_segment_job(spark: SparkSession, d: str) -> DataFrame:
     groups = resolved.select("anime_id", F.lit("thetvdb").alias("provider"), "provider_id", F.col("reason").alias("identity"))
     rows = r.select("anime_id", "local_number", "local_count", F.col("number").alias("provider_number"), "source", "confidence").join(groups.where("identity IS NULL").select("anime_id", "provider_id"), "anime_id")
     plans = repair.linear_segments(rows, "anime_id", ["provider_id"]).withColumnRenamed("reason", "plan")
-    none = groups.limit(0)
+    none, clear = groups.limit(0), groups.where("identity IS NULL")
     owners = _made(spark, d, _OWNERS, "orders")
-    known = facts.collision_facts(groups, owners, none.select(F.lit(0).cast("bigint").alias("association_id")), owners, none.select("anime_id", "provider", F.lit(0).alias("episode_id")), none.select("provider", "provider_id", F.lit(0).alias("episode_id")), none.select("anime_id"))
+    known = facts.collision_facts(clear, owners, none.select(F.lit(0).cast("bigint").alias("association_id")), owners, none.select("anime_id", "provider", F.lit(0).alias("episode_id")), none.select("provider", "provider_id", F.lit(0).alias("episode_id")), none.select("anime_id"))
     outcomes = known.join(plans, ["anime_id", "provider_id"], "left").withColumn("reason", facts.collision_segments(F.col("identity"), F.col("plan")))
-    return planning.reason_counts(repair.overlapping(outcomes.select("anime_id", "provider_id", "reason", "ps", "pe"), "anime_id", ["provider_id"]))
+    outcomes = outcomes.select("anime_id", "provider_id", "reason", "ps", "pe")
+    # Groups without an identity have their reason already; most would meet under a null key.
+    return planning.reason_counts(repair.overlapping(outcomes, "anime_id", ["provider_id"]).select("reason").unionByName(groups.where("identity IS NOT NULL").select(F.col("identity").alias("reason"))))
 
 
 @query(

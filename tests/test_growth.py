@@ -27,3 +27,8 @@ def test_keys_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
     query.awaitTermination()
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert 0 < max(held) <= 6  # a bucket's text and its timer (both ways)
+
+
+@pytest.mark.parametrize("name", ["slug_repairs", "collision_segment_job"])
+def test_addresses_are_taken_apart_once(spark, name):
+    assert "regexp_extract" not in planned(queries()[name](spark, DATA))  # they lie in a table by then
