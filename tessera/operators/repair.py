@@ -177,7 +177,7 @@ def whole_season_plan(pairs: DataFrame, episodes: DataFrame, mapped: DataFrame,
     """
     c = F.col
     a = episodes.groupBy(*season).agg(F.count("*").alias("n"), F.size(F.collect_set("number")).alias("dn"), F.size(F.collect_set("episode_id")).alias("di"), F.min("number").alias("lo"), F.max("number").alias("hi"))
-    own = locals_.groupBy("anime_id").agg(F.count("*").alias("k"), F.countDistinct("number").alias("dk"), F.min("number").alias("klo"), F.max("number").alias("khi"))
+    own = locals_.groupBy("anime_id").agg(F.count("*").alias("k"), F.size(F.collect_set("number")).alias("dk"), F.min("number").alias("klo"), F.max("number").alias("khi"))
     target = own.select(F.col("anime_id").alias("target"), "k", "dk", "klo", "khi")
     owner = own.select(F.col("anime_id").alias("owner"), F.col("k").alias("owner_k"))
     held = pairs.join(dealt(episodes), season).join(dealt(mapped.withColumn("_held", F.lit(True))), [*season, "episode_id"], "left")

@@ -32,3 +32,8 @@ def test_keys_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("name", ["slug_repairs", "collision_segment_job"])
 def test_addresses_are_taken_apart_once(spark, name):
     assert "regexp_extract" not in planned(queries()[name](spark, DATA))  # they lie in a table by then
+
+
+def test_own_numbers_are_counted_in_one_exchange(spark):
+    plan = planned(queries()["whole_season_plans"](spark, DATA))
+    assert "count(distinct" not in plan and "Broadcast" not in plan
