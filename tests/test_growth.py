@@ -1,7 +1,12 @@
 """Steps that once failed on larger tables: no side of a row a group or an episode goes through the driver."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions.text import title_similarity
+from tessera.operators import matching
 from tessera.plans import collisions, jobs, planners, repairs  # noqa: F401  (they add their queries to the catalogue)
 from tessera.plans.catalogue import queries
 from tessera.streaming import live
@@ -37,3 +42,32 @@ def test_addresses_are_taken_apart_once(spark, name):
 def test_own_numbers_are_counted_in_one_exchange(spark):
     plan = planned(queries()["whole_season_plans"](spark, DATA))
     assert "count(distinct" not in plan and "Broadcast" not in plan
+
+
+def numbered(spark, n):
+    return spark.range(n).selectExpr("id", "concat('new hot ring ', 10000 + id * 7919 % 90000) AS title", "true AS l", "true AS r")
+
+
+def test_titles_hardly_meet_more_often_in_larger_tables(spark):
+    def meetings(n):
+        alike = matching._signed(matching._rarest(numbered(spark, n), 0.9)).groupBy("kind", "sig").count()
+        return alike.selectExpr("sum(count * count)").first()[0] / n
+
+    assert meetings(8000) < 2 * meetings(2000)  # single parts: four times as often
+
+
+@pytest.mark.parametrize("least", [0.4, 0.75, 0.9])
+def test_similar_titles_are_all_found(spark, least):
+    pick = random.Random(5)
+
+    def made():
+        words = [pick.choice(["a", "bo", "ring", "new", "hot", "season", "of the", "x" * 30]) for _ in range(pick.choice([1, 1, 2, 3, 5, 12]))]
+        return " ".join([*words, str(pick.randrange(40))][pick.randrange(2) :]) or "z"
+
+    sides = [[(i // 2 * 2, made()) for i in range(160)] for _ in "ab"]
+    sides[1][:40] = [(i, t[: len(t) - i % 3] or t) for i, t in sides[0][:40]]
+    left, right = (spark.createDataFrame(rows, f"{key} INT, title STRING").withColumn("title", F.trim("title")) for rows, key in zip(sides, "ab", strict=True))
+    got = {(r["a"], r["b"]): r["similarity"] for r in matching.similar_titles(left, right, least).collect()}
+    every = left.crossJoin(right.withColumnRenamed("title", "other")).where("title <> '' AND other <> ''").select("a", "b", title_similarity(F.col("title"), F.col("other")).alias("v"))
+    want = {(r["a"], r["b"]): r["v"] for r in every.groupBy("a", "b").agg(F.max("v").alias("v")).where(F.col("v") >= least).collect()}
+    assert got == want and len(want) > 20
