@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import clamp_confidence
 from tessera.sources import store
+from tessera.sources.shared import staged
 
 from .classify import fold_status, resolve_evidence
 from .merge import unless_overridden
@@ -81,7 +82,9 @@ def language_pass(tables: dict[str, DataFrame], episodes: DataFrame, titles: Dat
     gone = old.where(F.col("provider") == DERIVED)
     if only is not None:
         fresh, gone = (df.join(only, "anime_id", "left_semi") for df in (fresh, gone))
-    affected = fresh.select("anime_id").unionByName(gone.select("anime_id")).distinct()
+    # Written once: else one stage would make all of them anew for each use, and a task would hold the sorts of all at a time.
+    fresh = staged(fresh, "fresh")
+    affected = staged(fresh.select("anime_id").unionByName(gone.select("anime_id")).distinct(), "affected")
     shapes = F.array(*[F.struct(F.lit(x).alias("language"), F.lit(y).alias("media")) for x, y in SHAPES])
     groups = affected.select("anime_id", F.inline(shapes))
     stays = old.where(~F.col("provider").eqNullSafe(DERIVED))
@@ -91,7 +94,7 @@ def language_pass(tables: dict[str, DataFrame], episodes: DataFrame, titles: Dat
     ours = (F.col("source") == "provider") & (F.col("evidence_type") == evidence_type(F.lit(DERIVED), F.col("media"))) & (F.col("source_url") == evidence_url(F.lit(DERIVED)))
     replaced = evidence.withColumn("_ours", F.coalesce(ours, F.lit(False)))
     kept = replaced.join(groups.withColumn("_ours", F.lit(True)), [*KEYS, "_ours"], "left_anti").select(*evidence.columns)
-    new_evidence = kept.unionByName(episode_evidence(fresh))
+    new_evidence = staged(kept.unionByName(episode_evidence(fresh)), "evidence")
     resolved = resolve_evidence(new_evidence.join(groups, KEYS, "left_semi"), KEYS, "source", "value", "confidence")
     says = groups.join(resolved, KEYS, "left").select(*KEYS, F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("score", F.lit(0)).cast("int").alias("confidence"), F.lit(False).alias("is_manual_override"))
     return {"episode_status": new_status, "evidence": new_evidence, "status": unless_overridden(status, says, KEYS, "is_manual_override")}

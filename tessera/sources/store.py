@@ -12,6 +12,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import shared
 
@@ -70,11 +71,12 @@ def at(spark: SparkSession, root: str, place: tuple[str, str]) -> DataFrame:
 def stage_parts(df: DataFrame, root: str, name: str, by: str, parts: list[int]) -> dict[str, tuple[str, str] | None]:
     """Write the parts of a table that ``by`` names into folders of their own, for ``publish``; a part without rows is None.
 
-    Rows of one part come to one task before they are written, unless AQE splits a large one.
+    Rows of one part come together before they are written, and AQE deals a large part out to several tasks: there are as many parts
+    however large the table is.
     """
     spark = df.sparkSession
     folder, kinds = f"tables/{name}-{uuid.uuid4().hex}", ", ".join(f"`{c}` {kind}" for c, kind in df.drop(by).dtypes)
-    df.repartition(by).write.partitionBy(by).parquet(f"{root}/{folder}")
+    df.hint("rebalance", F.col(by)).write.partitionBy(by).parquet(f"{root}/{folder}")
     there = set(shared.names(spark, f"{root}/{folder}"))
     return {f"{name}/{part}": (f"{folder}/{by}={part}", kinds) if f"{by}={part}" in there else None for part in parts}
 

@@ -1,14 +1,16 @@
 """Steps that once failed on larger tables: no side of a row a group or an episode goes through the driver."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import title_similarity
-from tessera.operators import matching
+from tessera.operators import language, matching
 from tessera.plans import collisions, jobs, planners, repairs  # noqa: F401  (they add their queries to the catalogue)
 from tessera.plans.catalogue import queries
+from tessera.sources import store
 from tessera.streaming import live
 
 DATA = "/root/testdata/sf0.001"
@@ -71,3 +73,25 @@ def test_similar_titles_are_all_found(spark, least):
     every = left.crossJoin(right.withColumnRenamed("title", "other")).where("title <> '' AND other <> ''").select("a", "b", title_similarity(F.col("title"), F.col("other")).alias("v"))
     want = {(r["a"], r["b"]): r["v"] for r in every.groupBy("a", "b").agg(F.max("v").alias("v")).where(F.col("v") >= least).collect()}
     assert got == want and len(want) > 20
+
+
+def test_a_language_pass_holds_few_sorts_at_a_time(spark):
+    before = {name: spark.createDataFrame([(1, *[None] * (schema.count(",")))], schema) for name, schema in language.TABLES.items()}
+    episodes = spark.createDataFrame([(1, 1, "2024-01-01")], "anime_id BIGINT, number INT, air_date STRING")
+    after = language.language_pass(before, episodes, spark.createDataFrame([(1, "JP")], "anime_id BIGINT, country STRING"), "2024-06-30")
+    assert all(planned(df).count("Join ") <= 3 for df in after.values())
+    assert {r["confidence"] for r in after["status"].where("language IS NOT NULL").collect()} == {75, 0}
+
+
+def test_a_part_of_a_store_is_dealt_out_to_several_tasks(spark, tmp_path):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 200_000, 1, 8).selectExpr("sha2(CAST(id AS STRING), 256) AS x", "1 AS part")
+        places = store.stage_parts(rows, f"file://{tmp_path}", "t", "part", [1])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len([f for f in os.listdir(f"{tmp_path}/{places['t/1'][0]}") if f.endswith("parquet")]) > 1
