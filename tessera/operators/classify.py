@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clamp_confidence, status_of
@@ -47,18 +49,18 @@ MISMATCH = ("local-mismatch-metadata-missing", "local-mismatch-metadata-differs"
 
 
 def ownership(rows: DataFrame, season: list[str], number: str, owner: str, orphan: Column, holder: Column) -> DataFrame:
-    """How two owners share a season's numbers: one class a season, from each owner's runs of consecutive distinct numbers above 0."""
+    """How two owners share a season's numbers: one class a season, from each owner's runs of consecutive distinct numbers above 0.
+
+    ``number`` is whole. Rows that come by ``relational.spread`` or a join of such rows on the season's keys stay in their tasks."""
     who = F.when(F.col(owner).isNull(), "u").when(F.col(owner) == orphan, "o").when(F.col(owner) == holder, "w").otherwise("x")
     kinds = rows.where(F.col(number) > 0).select(*season, F.col(number).alias("_n"), who.alias("_who")).distinct()
-    run = F.col("_n") - F.row_number().over(Window.partitionBy(*season, "_who").orderBy("_n"))
     of = lambda k, x: F.when(F.col("_who") == k, x)
-    a = kinds.withColumn("_run", run).groupBy(*season).agg(
+    a = kinds.groupBy(*season).agg(
         *[F.count_if(F.col("_who") == k).alias(f"n_{k}") for k in "owx"],
-        # one run if all numbers less their ranks are equal
-        *[(F.min(of(k, F.col("_run"))) == F.max(of(k, F.col("_run")))).alias(f"one_{k}") for k in "ow"],
         *[f(of(k, F.col("_n"))).alias(f"{n}_{k}") for k in "ow" for n, f in (("lo", F.min), ("hi", F.max))],
     )
-    c, single = F.col, F.col("one_o") & F.col("one_w")
+    c = F.col
+    single = reduce(Column.__and__, [c(f"hi_{k}") - c(f"lo_{k}") + 1 == c(f"n_{k}") for k in "ow"])  # distinct whole numbers without a gap are one run
     kind = first_reason(*zip(OWNERSHIP, (
         c("n_x") > 0, (c("n_o") == 0) & (c("n_w") == 0), c("n_w") == 0, c("n_o") == 0, single & (c("hi_w") + 1 == c("lo_o")), single & (c("hi_o") + 1 == c("lo_w")), single, F.lit(True),
     ), strict=True))

@@ -14,6 +14,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt out by its keys to as many tasks as the session has partitions for a shuffle. Left to itself Spark puts partitions
+    together by their compressed bytes; rows of a few numbers shrink so far that a task would sort and count millions of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _matched(left: DataFrame, right: DataFrame, on: dict[str, str], how: str) -> DataFrame:
     keys = right.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())])
     return left.join(keys, reduce(Column.__and__, [F.col(x) == F.col(f"_k{i}") for i, x in enumerate(on)]), how)

@@ -15,7 +15,7 @@ from tessera.sources.shared import staged
 
 from .classify import first_reason
 from .ranges import without_overlap
-from .relational import dealt
+from .relational import dealt, spread
 
 #: The greatest confidence of a mapping that a job may replace, and the reasons of each plan in their order.
 WEAK = 85
@@ -151,7 +151,7 @@ def dual_plan(seasons: DataFrame, rows: DataFrame, season: list[str]) -> DataFra
 
     ``rows``: season, anime_id, provider_number, local_number, kind. The segments must lie as the ownership class says.
     """
-    segments = aligned_segments(rows, [*season, "anime_id"])
+    segments = aligned_segments(spread(rows, [*season, "anime_id"]), [*season, "anime_id"])
     joined = seasons
     for who in ("owner", "orphan"):
         own = segments.select(*season, F.col("anime_id").alias(who), *[F.col(x).alias(f"{who}_{x}") for x in ("reason", "ps", "pe", "n")])

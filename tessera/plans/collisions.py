@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import classify, facts, matching, planning, repair, slugs
-from tessera.operators.relational import dealt
+from tessera.operators.relational import dealt, spread
 from tessera.sources.shared import staged
 
 from . import jobs, lookups, repairs
@@ -155,10 +155,10 @@ _ORPHAN, _DUAL_OWN = "season * 10 + 2 - season % 2", "(l_orderkey % 2 + 1)"
 )
 def dual_segment_job(spark: SparkSession, d: str) -> DataFrame:
     rows, split = _made(spark, d, repairs._DUAL, "lineitem"), _made(spark, d, repairs._SPLIT, "orders")
-    classes = classify.ownership(rows.join(split, "season"), ["season", "owner", "orphan"], "provider_number", "anime_id", F.col("orphan"), F.col("owner"))
+    classes = classify.ownership(spread(rows, ["season"]).join(dealt(split), "season"), ["season", "owner", "orphan"], "provider_number", "anime_id", F.col("orphan"), F.col("owner"))
     seasons = split.join(classes, ["season", "owner", "orphan"], "left")
     plans = repair.dual_plan(seasons, rows, ["season"]).select("season", F.col("reason").alias("plan"))
-    known = _facts(spark, d, _DUAL_OWN, _ORPHAN).drop("owner").join(plans, "season").join(seasons.select("season", "ownership"), "season").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("season"), "o_custkey"), "season")
+    known = spread(_facts(spark, d, _DUAL_OWN, _ORPHAN).drop("owner"), ["season"]).join(plans, "season").join(seasons.select("season", "ownership"), "season").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("season"), "o_custkey"), "season")
     return planning.reason_counts(planning.reject_single_use(known.withColumn("reason", facts.dual_segments(F.col("ownership"), F.col("plan"))), ["o_custkey"], "multiple-safe-orphans-for-entity"))
 
 
@@ -202,7 +202,7 @@ def season_ownership_job(spark: SparkSession, d: str) -> DataFrame:
     e = repairs._seasons(spark, d)
     held = spark.sql(repairs._HELD.replace("FROM e", "FROM {e}"), e=e).select("season", "episode_id", "anime_id")
     groups = _facts(spark, d, "2", _TARGET).where("n_others > 0").select("season", F.col("anime_id").alias("orphan"), (F.col("season") * 10 + 2).alias("holder"))
-    rows = e.select("season", "number", "episode_id").join(held, ["season", "episode_id"], "left").join(groups, "season")
+    rows = spread(e.select("season", "number", "episode_id").join(held, ["season", "episode_id"], "left"), ["season"]).join(dealt(groups), "season")
     return classify.ownership_summary(rows, ["season"], "number", "anime_id", F.col("orphan"), F.col("holder"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import classify, repair
+from tessera.operators.relational import dealt, spread
 
 from .catalogue import query, table
 
@@ -82,7 +83,7 @@ _SPLIT = "SELECT o_orderkey AS season, o_orderkey * 10 + o_orderkey % 2 + 1 AS o
 )
 def dual_plans(spark: SparkSession, d: str) -> DataFrame:
     rows, split = _made(spark, d, _DUAL, "lineitem"), _made(spark, d, _SPLIT, "orders")
-    owned = rows.join(split, "season")
+    owned = spread(rows, ["season"]).join(dealt(split), "season")
     classes = classify.ownership(owned, ["season", "owner", "orphan"], "provider_number", "anime_id", F.col("orphan"), F.col("owner"))
     return repair.dual_plan(split.join(classes, ["season", "owner", "orphan"], "left"), rows, ["season"])
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import title_similarity
-from tessera.operators import language, matching
+from tessera.operators import classify, language, matching
 from tessera.plans import collisions, jobs, planners, repairs  # noqa: F401  (they add their queries to the catalogue)
 from tessera.plans.catalogue import queries
 from tessera.sources import store
@@ -95,3 +95,40 @@ def test_a_part_of_a_store_is_dealt_out_to_several_tasks(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert len([f for f in os.listdir(f"{tmp_path}/{places['t/1'][0]}") if f.endswith("parquet")]) > 1
+
+
+@pytest.mark.parametrize("name", ["dual_plans", "dual_segment_job", "season_ownership_job"])
+def test_rows_of_seasons_are_dealt_to_all_tasks(spark, name):
+    assert planned(queries()[name](spark, DATA)).count("REPARTITION_BY_NUM") >= 1  # not put together by their bytes
+
+
+def test_plans_come_from_all_tasks(spark):
+    rows = queries()["dual_plans"](spark, DATA).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_runs_are_found_without_sorting(spark):
+    pick = random.Random(3)
+    seasons = {s: [(pick.choice([None, 0, -1, *range(1, 7)]), pick.choice([None, 10, 10, 20, 20, 20] + [30] * (s % 9 == 0))) for _ in range(pick.randrange(1, 8))] for s in range(400)}
+    seasons |= {400 + k: [(n + k % 3, 10 if (n <= k % 4 + 1) == (k % 2 > 0) else 20) for n in range(1, 6) if n != k % 11] for k in range(60)}
+
+    def runs(numbers):
+        return sum(n - 1 not in numbers for n in numbers)
+
+    def plain(rows):
+        rows = [(n, o) for n, o in rows if n is not None and n > 0]
+        o, w = ({n for n, x in rows if x == who} for who in (10, 20))
+        if not rows:
+            return None
+        if any(x == 30 for _, x in rows):
+            return "other-anime-involved"
+        if not o or not w:
+            return "owner-only" if w else "orphan-only" if o else "unmapped-only"
+        if runs(o) > 1 or runs(w) > 1:
+            return "fragmented-between-owner-and-orphan"
+        return "owner-then-orphan-adjacent" if max(w) + 1 == min(o) else "orphan-then-owner-adjacent" if max(o) + 1 == min(w) else "owner-orphan-with-gap"
+
+    df = classify.ownership(spark.createDataFrame([(s, *r) for s, rows in seasons.items() for r in rows], "s INT, n INT, o INT"), ["s"], "n", "o", F.lit(10), F.lit(20))
+    want = {s: kind for s, rows in seasons.items() if (kind := plain(rows))}
+    assert {r["s"]: r["ownership"] for r in df.collect()} == want and len(set(want.values())) == 8
+    assert "Window" not in planned(df)
