@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import staged
+
 from .classify import first_reason
 from .relational import dealt
 
@@ -22,6 +27,20 @@ def in_order(*steps: tuple[str, Column] | Column) -> Column:
     return F.coalesce(*[F.when(x[1], F.lit(x[0])) if isinstance(x, tuple) else x for x in steps])
 
 
+def gated_in_turn(rows: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``reason`` of every row, null for a candidate, where the gates of a step ask for more than the row's own columns.
+
+    A step gives the rows back with ``reason``, and is asked only for those that no step before has rejected. What it
+    gives is written before the next begins, so that only one step's exchanges lie on the disks at a time.
+    """
+    rejected = []
+    for step in steps:
+        judged = staged(step(rows), "judged", as_they_lie=True)
+        rejected.append(judged.where("reason IS NOT NULL").select("reason"))
+        rows = judged.where("reason IS NULL").drop("reason")
+    return reduce(DataFrame.unionByName, rejected, rows.select(F.lit(None).cast("string").alias("reason")))
+
+
 def reject_single_use(rows: DataFrame, keys: list[str], reason: str) -> DataFrame:
     """Candidates that share their keys with another candidate are all rejected; rows with a reason already keep it."""
     n = rows.where("reason IS NULL").groupBy(*keys).agg(F.count("*").alias("_n"))

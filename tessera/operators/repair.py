@@ -5,8 +5,6 @@ Each plan is one row a group with ``reason``, the first of a fixed order of reas
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,10 +172,11 @@ def whole_season_plan(pairs: DataFrame, episodes: DataFrame, mapped: DataFrame,
 
     ``episodes`` (season, episode_id, number), authoritative; ``mapped`` (season, episode_id, anime_id, local_number, kind), a row an episode;
     ``locals_`` (anime_id, number): normal episodes. The target must own the strict majority, the owner exactly the rest.
+    Pairs are sized by title first, and the plan lies by season; ``episodes`` and ``mapped`` that do so already don't move.
     """
     c = F.col
     a = episodes.groupBy(*season).agg(F.count("*").alias("n"), F.size(F.collect_set("number")).alias("dn"), F.size(F.collect_set("episode_id")).alias("di"), F.min("number").alias("lo"), F.max("number").alias("hi"))
-    own = locals_.groupBy("anime_id").agg(F.count("*").alias("k"), F.size(F.collect_set("number")).alias("dk"), F.min("number").alias("klo"), F.max("number").alias("khi"))
+    own = spread(locals_, ["anime_id"]).groupBy("anime_id").agg(F.count("*").alias("k"), F.size(F.collect_set("number")).alias("dk"), F.min("number").alias("klo"), F.max("number").alias("khi"))
     target = own.select(F.col("anime_id").alias("target"), "k", "dk", "klo", "khi")
     owner = own.select(F.col("anime_id").alias("owner"), F.col("k").alias("owner_k"))
     held = pairs.join(dealt(episodes), season).join(dealt(mapped.withColumn("_held", F.lit(True))), [*season, "episode_id"], "left")
@@ -190,7 +189,8 @@ def whole_season_plan(pairs: DataFrame, episodes: DataFrame, mapped: DataFrame,
         F.min(F.when(c("_fault").isNotNull(), F.struct("number", "_fault"))).alias("first"), F.count_if(mine).alias("n_target"), F.count_if(theirs).alias("n_owner"),
         F.array_sort(F.collect_list(F.when(theirs, c("number")))).alias("moves"),
     )
-    joined = pairs.join(dealt(a), season, "left").join(dealt(target), "target", "left").join(dealt(owner), "owner", "left").join(dealt(per), [*season, "target", "owner"], "left")
+    sized = pairs.join(dealt(target), "target", "left").join(dealt(owner), "owner", "left")
+    joined = sized.join(dealt(a), season, "left").join(dealt(per), [*season, "target", "owner"], "left")
     k = F.coalesce("k", F.lit(0))
     reason = F.coalesce(
         F.when(c("n").isNull() | ~_one_to_n(c("n"), c("dn"), c("lo"), c("hi")) | (c("di") < c("n")), SEASON_REASONS[0]), F.when(k != c("n"), SEASON_REASONS[1]),
@@ -207,12 +207,13 @@ def transfer_plan(moves: DataFrame, episodes: DataFrame, mapped: DataFrame, targ
 
     ``moves`` (group, owner, target, number); ``episodes`` (group, number, episode_id); ``mapped`` (group, episode_id,
     mapping_id, anime_id, from_id); ``targets`` (target, number, to_id, kind, populated), of which a normal one goes before others.
+    ``moves``, ``episodes`` and ``mapped`` that lie by group, and ``targets`` that lie by target, don't move for it.
     """
     c = F.col
     best = targets.groupBy("target", "number").agg(F.min_by(F.struct("to_id", "kind", "populated"), F.struct(~c("kind").eqNullSafe("normal"), "to_id")).alias("to"))
-    known = reduce(lambda df, other: df.join(dealt(other[0]), other[1], "left"), [
-        (episodes.select(*group, "number", "episode_id"), [*group, "number"]), (mapped.select(*group, "episode_id", "mapping_id", "anime_id", "from_id"), [*group, "episode_id"]), (best, ["target", "number"]),
-    ], moves)
+    known = moves.join(dealt(episodes.select(*group, "number", "episode_id")), [*group, "number"], "left")
+    known = known.join(dealt(mapped.select(*group, "episode_id", "mapping_id", "anime_id", "from_id")), [*group, "episode_id"], "left")
+    known = spread(known, ["target"]).join(dealt(best), ["target", "number"], "left")
     fault = first_reason(*zip(TRANSFER_REASONS[1:], (
         c("episode_id").isNull(), c("mapping_id").isNull(), ~c("anime_id").eqNullSafe(c("owner")), c("to").isNull(), ~c("to.kind").eqNullSafe("normal"), F.coalesce(c("to.populated"), F.lit(False)),
     ), strict=True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import classify, facts, matching, planning, repair, slugs
@@ -68,16 +68,18 @@ def _facts_sql(own: str, target: str) -> str:
       f AS (SELECT fb.*, EXISTS (SELECT 1 FROM out_ WHERE out_.anime_id = tg) AS tout, n_others = 1 AND EXISTS (SELECT 1 FROM out_ WHERE out_.anime_id = ow) AS oout FROM fb)"""
 
 
-def _facts(spark: SparkSession, d: str, own: str, target: str) -> DataFrame:
+def _facts(spark: SparkSession, d: str, own: str, target: str, scope: Column | bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """Facts of all seasons, or of those ``asked`` (season and more columns, which stay)."""
     orders, lines, e = table(spark, d, "orders"), table(spark, d, "lineitem"), repairs._seasons(spark, d)
-    groups = orders.selectExpr("o_orderkey AS season", f"{target.replace('season', 'o_orderkey')} AS anime_id", *_IDENT.format("o_orderkey").replace("'tmdb' AS provider, ", "'tmdb' AS provider|").split("|"))
+    asked = orders.selectExpr("o_orderkey AS season") if asked is None else asked
+    groups = asked.selectExpr("*", f"{target} AS anime_id", *_IDENT.format("season").replace("'tmdb' AS provider, ", "'tmdb' AS provider|").split("|"))
     from_lines = lambda text: spark.sql(text.replace("FROM lineitem", "FROM {rows}"), rows=lines)
     held = spark.sql(repairs._HELD.replace("FROM e", "FROM {e}"), e=e).select("anime_id", "episode_id")
     mapped = held.unionByName(from_lines(_FOREIGN)).withColumn("provider", F.lit("tmdb"))
-    seasons = e.select(F.lit("tmdb").alias("provider"), F.concat(F.col("season").cast("string"), F.lit(":1")).alias("provider_id"), "episode_id")
+    seasons = repairs._seasons(spark, d, provider_id="concat(CAST(season AS STRING), ':1')").select(F.lit("tmdb").alias("provider"), "provider_id", "episode_id")
     described = spark.sql(_DESCRIBED.replace("FROM orders JOIN customer", "FROM {o} JOIN {c}"), o=orders, c=dealt(table(spark, d, "customer")))
     own_sql = own.replace("l_season", "l_orderkey")
-    return facts.collision_facts(groups, from_lines(_ASSOCIATED.format(own=own_sql)), from_lines(_SEGMENTED), spark.sql(_PARENTS.replace("FROM orders", "FROM {rows}"), rows=orders), mapped, seasons, described)
+    return facts.collision_facts(groups, from_lines(_ASSOCIATED.format(own=own_sql)), from_lines(_SEGMENTED), spark.sql(_PARENTS.replace("FROM orders", "FROM {rows}"), rows=orders), mapped, seasons, described, scope)
 
 
 def _reasons(frame: DataFrame, key: str, name: str) -> DataFrame:
@@ -89,11 +91,23 @@ _JOINED_SQL = "FROM f JOIN w ON w.season = f.season JOIN i ON i.o_orderkey = f.s
 _TARGET = "season * 10 + 1"
 
 
+def _evidenced(spark: SparkSession, d: str) -> DataFrame:
+    """Every season with the reasons of the checks of its identity and its air date, written once."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("season"))
+    for name, checks in (("identity", jobs.identity_checks), ("airdate", jobs.airdate_checks)):
+        rows = rows.join(_reasons(checks(spark, d), "o_orderkey", name), "season")
+    return staged(rows, "evidenced")
+
+
+def _planned(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with the reason against a plan for the whole season."""
+    plans = repairs._whole_plans(rows, repairs._seasons(spark, d, season="season"), repairs._seasons(spark, d))
+    return rows.join(_reasons(plans, "season", "whole"), "season")
+
+
 def _checked(spark: SparkSession, d: str) -> DataFrame:
-    """The facts of every season and the reasons of the checks that are made elsewhere."""
-    rows = _facts(spark, d, "2", _TARGET).join(_reasons(repairs.whole_season_plans(spark, d), "season", "whole"), "season")
-    rows = rows.join(_reasons(jobs.identity_checks(spark, d), "o_orderkey", "identity"), "season").join(_reasons(jobs.airdate_checks(spark, d), "o_orderkey", "airdate"), "season")
-    return rows.join(_reasons(repairs.transfer_plans(spark, d), "season", "transfer"), "season", "left")
+    """The facts of every season and the reasons of the checks that are made elsewhere, written once."""
+    return staged(_planned(spark, d, _facts(spark, d, "2", _TARGET, asked=_evidenced(spark, d))), "checked", as_they_lie=True)
 
 
 _OWN_REASON = """CASE WHEN n_owners = 0 THEN 'missing-provider-entity' WHEN any_ THEN 'target-provider-association-already-exists' WHEN n_owners <> 1 THEN 'owner-count-not-one' WHEN cut > 0 THEN 'existing-provider-segments' WHEN parent IS NULL THEN 'missing-legacy-parent'
@@ -103,8 +117,21 @@ _OWN_REASON = """CASE WHEN n_owners = 0 THEN 'missing-provider-entity' WHEN any_
 
 @query("ownership_repair_job", f"WITH {repairs._SEASONS_SQL}, {_facts_sql('2', _TARGET)}, {_CHECKS_SQL} SELECT {_OWN_REASON} AS reason, count(*) AS n {_JOINED_SQL} GROUP BY 1")
 def ownership_repair_job(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col
-    return planning.reason_counts(_checked(spark, d).withColumn("reason", facts.ownership_repair(c("whole"), c("identity"), c("airdate"), c("transfer"))))
+    """Seasons by the first gate that they fail: facts first, then plans of those in scope, then transfers of what is left."""
+    c, kept = F.col, ["season", "described", "identity", "airdate", "reason"]
+
+    def in_scope(rows: DataFrame) -> DataFrame:
+        return _facts(spark, d, "2", _TARGET, facts.claimed().isNull(), rows).withColumn("reason", facts.out_of_scope()).select(*kept)
+
+    def supported(rows: DataFrame) -> DataFrame:
+        return _planned(spark, d, rows).withColumn("reason", facts.unsupported(c("whole"), c("identity"), c("airdate"))).select("season", "reason")
+
+    def transferable(rows: DataFrame) -> DataFrame:
+        e, titled = repairs._seasons(spark, d, season="season"), repairs._seasons(spark, d, target=repairs._TARGET)
+        plans = repairs._transfers(e.join(dealt(rows.select("season")), "season", "left_semi"), e, titled)
+        return rows.join(_reasons(plans, "season", "reason"), "season", "left")
+
+    return planning.reason_counts(planning.gated_in_turn(_evidenced(spark, d), in_scope, supported, transferable))
 
 
 _AIR_REASON = """CASE WHEN n_owners = 0 THEN 'missing-provider-entity' WHEN associated THEN 'target-association-already-exists' WHEN n_others <> 1 THEN 'owner-count-not-one' WHEN w.reason IS NOT NULL THEN w.reason WHEN NOT described THEN 'missing-target-metadata'
@@ -140,7 +167,7 @@ def count_mismatch_job(spark: SparkSession, d: str) -> DataFrame:
     e = repairs._seasons(spark, d)
     season = e.groupBy("season").agg(F.count("*").alias("n_season"), F.min("number").alias("lo"), F.max("number").alias("hi")).where("lo = 1 AND hi = n_season")
     own = spark.sql(repairs._LOCALS.replace("FROM e", "FROM {e}"), e=e).groupBy("anime_id").agg(F.count("*").alias("n_local"))
-    rows = _facts(spark, d, "2", _TARGET).where(facts.in_scope()).join(dealt(season), "season").join(dealt(own), "anime_id", "left")
+    rows = _facts(spark, d, "2", _TARGET, facts.claimed().isNull()).where(facts.in_scope()).join(dealt(season), "season").join(dealt(own), "anime_id", "left")
     return rows.withColumn("n_local", F.coalesce("n_local", F.lit(0))).where("n_local <> n_season").select("season", "n_season", "n_local")
 
 
@@ -180,7 +207,7 @@ def collision_segment_job(spark: SparkSession, d: str) -> DataFrame:
     plans = repair.linear_segments(rows, "anime_id", ["provider_id"]).withColumnRenamed("reason", "plan")
     none, clear = groups.limit(0), groups.where("identity IS NULL")
     owners = _made(spark, d, _OWNERS, "orders")
-    known = facts.collision_facts(clear, owners, none.select(F.lit(0).cast("bigint").alias("association_id")), owners, none.select("anime_id", "provider", F.lit(0).alias("episode_id")), none.select("provider", "provider_id", F.lit(0).alias("episode_id")), none.select("anime_id"))
+    known = facts.collision_facts(clear, owners, none.select(F.lit(0).cast("bigint").alias("association_id")), owners, none.select("anime_id", "provider", F.lit(0).alias("episode_id")), none.select("provider", "provider_id", F.lit(0).alias("episode_id")), none.select("anime_id"), False)
     outcomes = known.join(plans, ["anime_id", "provider_id"], "left").withColumn("reason", facts.collision_segments(F.col("identity"), F.col("plan")))
     outcomes = outcomes.select("anime_id", "provider_id", "reason", "ps", "pe")
     # Groups without an identity have their reason already; most would meet under a null key.
@@ -224,7 +251,7 @@ def merged_transform_job(spark: SparkSession, d: str) -> DataFrame:
     e = repairs._seasons(spark, d)
     season = e.groupBy("season", "o_custkey").agg(F.count("*").alias("n_season")).selectExpr("season", "n_season", f"{_COUNT} AS count")
     own = spark.sql(repairs._LOCALS.replace("FROM e", "FROM {e}"), e=e).groupBy("anime_id").agg(F.count("*").alias("n_local"))
-    rows = _facts(spark, d, "2", _TARGET).where(facts.in_scope()).join(dealt(season), "season").join(dealt(own), "anime_id", "left").withColumn("n_local", F.coalesce("n_local", F.lit(0)))
+    rows = _facts(spark, d, "2", _TARGET, facts.claimed().isNull()).where(facts.in_scope()).join(dealt(season), "season").join(dealt(own), "anime_id", "left").withColumn("n_local", F.coalesce("n_local", F.lit(0)))
     mismatch = classify.count_mismatch(F.col("n_season"), F.col("n_local"), F.col("count"))
     chosen = rows.where(mismatch == "local-mismatch-metadata-differs").select("season", "anime_id", "count")
     held = spark.sql(repairs._HELD.replace("FROM e", "FROM {e}"), e=e).select("season", "episode_id", "anime_id", "local_number")

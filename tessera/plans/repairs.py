@@ -88,11 +88,15 @@ def dual_plans(spark: SparkSession, d: str) -> DataFrame:
     return repair.dual_plan(split.join(classes, ["season", "owner", "orphan"], "left"), rows, ["season"])
 
 
-def _seasons(spark: SparkSession, d: str) -> DataFrame:
-    """Seasons of three to seven episodes; each 13th lacks its first number."""
+def _seasons(spark: SparkSession, d: str, **by: str) -> DataFrame:
+    """Seasons of three to seven episodes; each 13th lacks its first number.
+
+    With ``by``, a column's name and what it is of a season, orders are dealt out by it before they become several episodes: tables
+    made of these lie by it (``shared.staged``)."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("season"), "o_custkey")
+    o = spread(o.withColumns({name: F.expr(text) for name, text in by.items()}), list(by)) if by else o
     numbers = F.sequence(F.when(F.col("season") % 13 == 0, 2).otherwise(1), (F.col("season") % 5 + 3).cast("int"))
-    return o.select("season", "o_custkey", F.explode(numbers).alias("number")).withColumn("episode_id", F.col("season") * 100 + F.col("number"))
+    return o.select(*{"season": 0, "o_custkey": 0, **by}, F.explode(numbers).alias("number")).withColumn("episode_id", F.col("season") * 100 + F.col("number"))
 
 
 _SEASONS_SQL = "e AS (SELECT season, o_custkey, number, season * 100 + number AS episode_id FROM (SELECT o_orderkey AS season, o_custkey, unnest(range(CASE WHEN o_orderkey % 13 = 0 THEN 2 ELSE 1 END, o_orderkey % 5 + 4)) AS number FROM orders))"
@@ -118,12 +122,17 @@ _LOCALS = """SELECT season * 10 + 1 AS anime_id, number + CASE WHEN season % 17
 )
 def whole_season_plans(spark: SparkSession, d: str) -> DataFrame:
     e = _seasons(spark, d)
-    mapped, locals_ = (spark.sql(text.replace("FROM e", "FROM {e}"), e=e) for text in (_HELD, _LOCALS))
-    pairs = e.select("season").distinct().select("season", (F.col("season") * 10 + 1).alias("target"), (F.col("season") * 10 + 2).alias("owner"))
-    plan = repair.whole_season_plan(pairs, e.select("season", "episode_id", "number"), mapped.select("season", "episode_id", "anime_id", "local_number", "kind"), locals_, ["season"])
+    plan = _whole_plans(e, e, e)
     return plan.withColumn("moves", F.array_join("moves", ","))
 
 
+def _whole_plans(asked: DataFrame, e: DataFrame, own: DataFrame) -> DataFrame:
+    """Plans of the seasons ``asked``, each of which may come several times: by episodes ``e``, and ``own`` ones of titles."""
+    mapped, locals_ = (rows.sparkSession.sql(text.replace("FROM e", "FROM {e}"), e=rows) for text, rows in ((_HELD, e), (_LOCALS, own)))
+    pairs = asked.select("season").distinct().select("season", (F.col("season") * 10 + 1).alias("target"), (F.col("season") * 10 + 2).alias("owner"))
+    return repair.whole_season_plan(pairs, e.select("season", "episode_id", "number"), mapped.select("season", "episode_id", "anime_id", "local_number", "kind"), locals_, ["season"])
+
+
 @query(
     "transfer_plans",
     f"""WITH {_SEASONS_SQL}, m AS ({_HELD}), v AS (SELECT season, number FROM e WHERE (episode_id + o_custkey) % 3 = 0 UNION ALL SELECT season, 50 FROM e WHERE number = 3 AND season % 29 = 0 UNION ALL SELECT season, number FROM e WHERE number = 3 AND season % 31 = 0),
@@ -136,8 +145,17 @@ def whole_season_plans(spark: SparkSession, d: str) -> DataFrame:
 )
 def transfer_plans(spark: SparkSession, d: str) -> DataFrame:
     e = _seasons(spark, d)
+    return _transfers(e, e, e.withColumn("target", F.expr(_TARGET)))
+
+
+_TARGET = "season * 10 + 1"
+
+
+def _transfers(asked: DataFrame, e: DataFrame, titled: DataFrame) -> DataFrame:
+    """Plans of the transfers of the episodes ``asked``: by all episodes ``e``, and ``titled`` ones that have their target."""
+    spark = e.sparkSession
     mapped = spark.sql(_HELD.replace("FROM e", "FROM {e}"), e=e)
-    asked = """SELECT season, number FROM {e} WHERE (episode_id + o_custkey) % 3 = 0 UNION ALL SELECT season, 50 FROM {e} WHERE number = 3 AND season % 29 = 0 UNION ALL SELECT season, number FROM {e} WHERE number = 3 AND season % 31 = 0"""
-    moves = spark.sql(asked, e=e).withColumns({"owner": F.col("season") * 10 + 2, "target": F.col("season") * 10 + 1})
-    targets = e.where("episode_id % 21 > 0").select((F.col("season") * 10 + 1).alias("target"), "number", F.col("episode_id").alias("to_id"), F.when(F.col("episode_id") % 23 == 0, "special").otherwise("normal").alias("kind"), (F.col("episode_id") % 27 == 0).alias("populated"))
+    moved = """SELECT season, number FROM {e} WHERE (episode_id + o_custkey) % 3 = 0 UNION ALL SELECT season, 50 FROM {e} WHERE number = 3 AND season % 29 = 0 UNION ALL SELECT season, number FROM {e} WHERE number = 3 AND season % 31 = 0"""
+    moves = spark.sql(moved, e=asked).withColumns({"owner": F.col("season") * 10 + 2, "target": F.expr(_TARGET)})
+    targets = titled.where("episode_id % 21 > 0").select("target", "number", F.col("episode_id").alias("to_id"), F.when(F.col("episode_id") % 23 == 0, "special").otherwise("normal").alias("kind"), (F.col("episode_id") % 27 == 0).alias("populated"))
     return repair.transfer_plan(moves, e.select("season", "number", "episode_id"), mapped.select("season", "episode_id", "mapping_id", "anime_id", "from_id"), targets, ["season"])[0]

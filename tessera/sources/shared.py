@@ -6,6 +6,8 @@ import json
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 from urllib.parse import unquote, urlparse
 
@@ -26,10 +28,35 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: what is used twice is made once, and lost executors cost nothing."""
+@contextmanager
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """While it lasts, the session's settings are these."""
+    before = {key: spark.conf.get(key) for key in values}
+    changed = {key: value for key, value in values.items() if before[key] != value}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in changed:
+            spark.conf.set(key, before[key])
+
+
+#: What a query wrote to disk for its exchanges goes when it ends; else it stays until the driver happens to collect garbage, and a
+#: job of several steps holds the exchanges of all of them.
+_FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Tables that both lie by some of a join's keys are joined where they lie; else Spark deals both out again by all keys.
+_AS_THEY_LIE = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def staged(df: DataFrame, name: str, as_they_lie: bool = False) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: what is used twice is made once, and lost executors cost nothing.
+    Its exchanges are gone from the disks by then.
+
+    ``as_they_lie``: joins don't move tables that ``relational.spread`` dealt by some of their keys, which must be even enough."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with _set(df.sparkSession, _FREED | (_AS_THEY_LIE if as_they_lie else {})):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import facts, repair, slugs
 from tessera.plans import collisions  # noqa: F401  (adds its queries to the catalogue)
@@ -65,6 +66,18 @@ def test_facts_of_a_collision(spark):
     assert (got[(9, "a")]["n_owners"], got[(9, "a")]["described"], got[(9, "a")]["parent"]) == (0, False, None) and len(got) == 4
 
 
+def test_other_episodes_are_looked_up_in_scope_only(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    named = "anime_id INT, provider STRING, provider_id STRING"
+    groups = make([(1, "p", "a"), (1, "p", "a"), (3, "p", "b"), (None, "p", "a")], named)
+    owners, episodes = make([(1, 2, "p", "a"), (2, 2, "p", "b")], f"association_id INT, {named}"), make([("p", "a", 10), ("p", "b", 11)], "provider STRING, provider_id STRING, episode_id INT")
+    mapped = make([(1, "p", 10), (1, "p", 11), (1, "q", 12), (2, "p", 10), (3, "p", 10)], "anime_id INT, provider STRING, episode_id INT")
+    found = {scope: facts.collision_facts(groups, owners, make([], "association_id INT"), make([], named), mapped, episodes, make([], "anime_id INT"), scope and F.expr(scope)) for scope in ("provider_id = 'a'", "anime_id = 9", False)}
+    got = {scope: sorted((str(r["anime_id"]), r["provider_id"], r["target_outside"], r["owner_outside"]) for r in df.collect()) for scope, df in found.items() if scope}
+    assert got == {"provider_id = 'a'": [("1", "a", 1, 0), ("1", "a", 1, 0), ("3", "b", 0, 0), ("None", "a", 0, 0)], "anime_id = 9": [("1", "a", 0, 0), ("1", "a", 0, 0), ("3", "b", 0, 0), ("None", "a", 0, 0)]}
+    assert found[False].count() == 4 and "target_outside" not in found[False].columns
+
+
 def test_overlaps_are_looked_for_among_survivors(spark):
     rows = [(1, 1, None, 1, 5), (2, 1, None, 4, 9), (3, 1, "missing-provider-entity", 9, 20), (4, 1, None, 10, 12), (5, 2, None, 1, 5)]
     got = repair.overlapping(spark.createDataFrame(rows, "owner INT, identity INT, reason STRING, ps INT, pe INT"), "owner", ["identity"])
